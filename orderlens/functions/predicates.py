@@ -33,7 +33,7 @@ def search_any(term: str | None, cols: list[Column]) -> Column | None:
     """``c1 ILIKE %t% OR c2 ILIKE %t% ...``, skipped when empty."""
     if not term:
         return None
-    pattern = F.lit(like_pattern(term))
+    pattern = like_pattern(term)
     return reduce(lambda a, b: a | b, [c.ilike(pattern) for c in cols])
 
 

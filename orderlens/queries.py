@@ -107,3 +107,122 @@ for _name, _p, _u in (("today_hour", "today", "hour"), ("week_day", "week", "day
                       ("last_month_day", "last_month", "day")):
     register(f"timeline_{_name}", _timeline_sql(_p, _u))(
         lambda t, p=_p, u=_u: stats.timeline(t, p, AS_OF, u))
+
+
+# --- V1, V2: order lists ------------------------------------------------------
+
+from orderlens.operators import customers, orders  # noqa: E402
+from orderlens.plans.paging import page_count  # noqa: E402
+
+_AS_OF_DAY = "DATE '2001-07-31'"
+
+
+def _orders_list_sql(cols: list[str], where: str, limit: int, offset: int = 0) -> str:
+    sel = ", ".join("CAST(o.total_amount AS DOUBLE) AS total_amount" if c == "total_amount" else f"o.{c}"
+                    for c in cols)
+    grp = ", ".join(f"o.{c}" for c in cols)
+    off = f" OFFSET {offset}" if offset else ""
+    return oracle_prelude("shop_orders", "order_items") + f"""
+SELECT {sel}, COUNT(oi.order_item_id) AS item_count
+FROM shop_orders o LEFT JOIN order_items oi ON o.order_id = oi.order_id
+WHERE {where}
+GROUP BY {grp}
+ORDER BY o.order_date DESC NULLS FIRST, o.order_id DESC
+LIMIT {limit}{off}"""
+
+
+register("todays_orders_live", _orders_list_sql(
+    orders.TODAY_COLUMNS_LIVE, f"CAST(o.order_date AS DATE) = {_AS_OF_DAY}", 20))(
+    lambda t: orders.todays_orders(t, AS_OF, "live"))
+register("todays_orders_from", _orders_list_sql(
+    orders.TODAY_COLUMNS, f"CAST(o.order_date AS DATE) >= {_AS_OF_DAY}", 50))(
+    lambda t: orders.todays_orders(t, AS_OF, "from"))
+register("todays_orders_until_now", _orders_list_sql(
+    orders.TODAY_COLUMNS, bounds_sql("today", "o.order_date"), 50))(
+    lambda t: orders.todays_orders(t, AS_OF, "until_now"))
+
+
+def _search_sql(term: str, cols: list[str], alias: str = "o") -> str:
+    pat = "'%" + term.replace("'", "''") + "%'"
+    return "(" + " OR ".join(f"{c} ILIKE {pat}" for c in cols) + ")"
+
+
+_ORDER_SEARCH_COLS = ["o.user_name", "o.user_phone", "o.user_email", "CAST(o.order_id AS VARCHAR)"]
+_USER_SEARCH_COLS = ["u.full_name", "u.phone", "u.email"]
+
+register("orders_page", _orders_list_sql(orders.LIST_COLUMNS, "TRUE", 20))(
+    lambda t: orders.list_orders(t, page=1))
+register("orders_page_3", _orders_list_sql(orders.LIST_COLUMNS, "TRUE", 20, 40))(
+    lambda t: orders.list_orders(t, page=3))
+register("orders_page_live", _orders_list_sql(orders.LIST_COLUMNS_LIVE, "TRUE", 20))(
+    lambda t: orders.list_orders(t, page=1, live_columns=True))
+register("orders_page_status", _orders_list_sql(orders.LIST_COLUMNS, "o.status = 'pending'", 20, 20))(
+    lambda t: orders.list_orders(t, page=2, status="pending"))
+register("orders_search", _orders_list_sql(
+    orders.LIST_COLUMNS, _search_sql("#0000011", _ORDER_SEARCH_COLS), 20))(
+    lambda t: orders.list_orders(t, search="#0000011"))
+register("orders_search_wildcard", _orders_list_sql(
+    orders.LIST_COLUMNS, "o.status = 'delivered' AND " + _search_sql("9_0%12", _ORDER_SEARCH_COLS), 20))(
+    lambda t: orders.list_orders(t, status="delivered", search="9_0%12"))
+register("orders_count_filtered", oracle_prelude("shop_orders") + f"""
+SELECT COUNT(*) AS total FROM shop_orders o
+WHERE o.status = 'shipped' AND {_search_sql('0001', _ORDER_SEARCH_COLS)}""")(
+    lambda t: orders.count_orders(t, status="shipped", search="0001"))
+register("orders_count_distinct", oracle_prelude("shop_orders") + f"""
+SELECT COUNT(DISTINCT o.order_id) AS total FROM shop_orders o
+WHERE {_search_sql('CUSTOMER#00000', _ORDER_SEARCH_COLS)}""")(
+    lambda t: orders.count_orders_distinct(t, search="CUSTOMER#00000"))
+register("orders_page_count", oracle_prelude("shop_orders") + """
+SELECT total, CAST(GREATEST(CEIL(total / 20.0), 1) AS BIGINT) AS total_pages
+FROM (SELECT COUNT(*) AS total FROM shop_orders o WHERE o.status = 'pending')""")(
+    lambda t: page_count(orders.count_orders(t, status="pending")))
+register("order_item_counts", oracle_prelude("shop_orders", "order_items") + """
+SELECT o.order_id, COUNT(oi.order_item_id) AS item_count
+FROM shop_orders o LEFT JOIN order_items oi ON o.order_id = oi.order_id GROUP BY o.order_id""")(
+    orders.item_counts)
+
+
+# --- V4, V5: customers ---------------------------------------------------------
+
+_USER_COLS = ["id", "full_name", "phone", "email", "city", "state", "is_active", "created_at"]
+
+
+def _customers_sql(where: str, limit: int | None, offset: int = 0) -> str:
+    sel = ", ".join("CAST(u.created_at AS TIMESTAMP) AS created_at" if c == "created_at" else f"u.{c}"
+                    for c in _USER_COLS)
+    grp = ", ".join(f"u.{c}" for c in _USER_COLS)
+    tail = ""
+    if limit is not None:
+        tail = f"ORDER BY u.created_at DESC NULLS FIRST, u.id DESC LIMIT {limit}" + (f" OFFSET {offset}" if offset else "")
+    return oracle_prelude("users", "shop_orders") + f"""
+SELECT {sel}, COUNT(o.order_id) AS total_orders,
+  COALESCE(CAST(SUM(o.total_amount) AS DOUBLE), 0) AS total_spent, MAX(o.order_date) AS last_order_date
+FROM users u LEFT JOIN shop_orders o ON u.id = o.user_id
+WHERE {where}
+GROUP BY {grp}
+{tail}"""
+
+
+register("customers_page", _customers_sql("TRUE", 20))(lambda t: customers.list_customers(t, page=1))
+register("customers_page_2", _customers_sql("TRUE", 20, 20))(lambda t: customers.list_customers(t, page=2))
+register("customers_search", _customers_sql(_search_sql("customer#00000", _USER_SEARCH_COLS), 20))(
+    lambda t: customers.list_customers(t, search="customer#00000"))
+register("customers_count_filtered", oracle_prelude("users") + f"""
+SELECT COUNT(*) AS total FROM users u WHERE {_search_sql('.0000012', _USER_SEARCH_COLS)}""")(
+    lambda t: customers.count_customers(t, search=".0000012"))
+register("customer_metrics", _customers_sql("TRUE", None))(customers.customer_metrics)
+register("customer_dossier_stats", oracle_prelude("users", "shop_orders") + """
+SELECT u.id AS user_id, COUNT(o.order_id) AS total_orders,
+  COALESCE(CAST(SUM(o.total_amount) AS DOUBLE), 0) AS total_spent,
+  COALESCE(CAST(SUM(o.total_amount) AS DOUBLE) / CAST(COUNT(o.total_amount) AS DOUBLE), 0) AS avg_order_value
+FROM users u LEFT JOIN shop_orders o ON u.id = o.user_id GROUP BY u.id""")(customers.customer_stats)
+register("customer_recent_orders", oracle_prelude("shop_orders") + """
+SELECT * FROM (
+  SELECT o.*, row_number() OVER (PARTITION BY user_id ORDER BY order_date DESC NULLS FIRST, order_id DESC)
+    AS recent_rank
+  FROM shop_orders o WHERE user_id IS NOT NULL)
+WHERE recent_rank <= 10""")(
+    lambda t: customers.recent_orders(t).withColumn("recent_rank", F.col("recent_rank").cast("bigint")))
+register("customer_addresses", oracle_prelude("addresses") + """
+SELECT a.*, CASE WHEN a.is_default IS NULL THEN 0 WHEN a.is_default THEN 1 ELSE 2 END AS default_rank
+FROM addresses a""")(customers.addresses_ranked)
