@@ -226,3 +226,68 @@ WHERE recent_rank <= 10""")(
 register("customer_addresses", oracle_prelude("addresses") + """
 SELECT a.*, CASE WHEN a.is_default IS NULL THEN 0 WHEN a.is_default THEN 1 ELSE 2 END AS default_rank
 FROM addresses a""")(customers.addresses_ranked)
+
+
+# --- V3, V12: dossiers and payments --------------------------------------------
+
+from orderlens.operators import dossiers  # noqa: E402
+
+_RUPEE = "'₹' || format('{:,.2f}', CAST(%s AS DOUBLE))"
+_DT_FMT = "coalesce(strftime(%s, '%%d %%b %%Y, %%I:%%M %%p'), '')"
+
+register("order_items_named", oracle_prelude("order_items", "services", "menu") + f"""
+SELECT oi.order_item_id, oi.order_id, oi.item_type, oi.item_id, oi.item_name, oi.quantity,
+  CAST(oi.total AS DOUBLE) AS total, CAST(oi.price AS DOUBLE) AS price,
+  CASE WHEN oi.item_type = 'service' THEN s.name WHEN oi.item_type = 'menu' THEN m.name
+    ELSE 'Unknown Item' END AS full_name,
+  {_RUPEE % 'oi.price'} AS price_formatted, {_RUPEE % 'oi.total'} AS total_formatted
+FROM order_items oi
+LEFT JOIN services s ON oi.item_type = 'service' AND oi.item_id = s.id
+LEFT JOIN menu m ON oi.item_type = 'menu' AND oi.item_id = m.id""")(lambda t: dossiers.named_items(t))
+
+_FIRST_PAYMENT = """first_payment AS (
+  SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY order_id
+    ORDER BY payment_id, amount, payment_status, transaction_id, razorpay_signature) AS rn FROM payments p)
+  WHERE rn = 1)"""
+_DEFAULT_ADDRESS = """default_address AS (
+  SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY user_id ORDER BY id) AS rn
+    FROM addresses a WHERE a.is_default) WHERE rn = 1)"""
+
+register("order_dossier_flat", oracle_prelude("shop_orders", "order_items", "payments", "users", "addresses",
+                                             extra=(_FIRST_PAYMENT, _DEFAULT_ADDRESS)) + f"""
+SELECT o.order_id, o.user_id, o.user_name, o.user_phone, o.user_email, CAST(o.total_amount AS DOUBLE) AS total_amount,
+  o.payment_mode, o.delivery_location, o.status, o.order_date, o.delivery_date,
+  (SELECT COUNT(oi.order_item_id) FROM order_items oi WHERE oi.order_id = o.order_id) AS item_count,
+  {_DT_FMT % 'o.order_date'} AS order_date_formatted, {_RUPEE % 'o.total_amount'} AS total_amount_formatted,
+  p.payment_id, p.payment_status, CAST(p.amount AS DOUBLE) AS payment_amount,
+  u.full_name AS customer_name, u.email AS customer_email,
+  CASE WHEN u.id IS NOT NULL THEN a.id END AS default_address_id,
+  CASE WHEN u.id IS NOT NULL THEN a.city END AS default_address_city
+FROM shop_orders o
+LEFT JOIN first_payment p ON p.order_id = o.order_id
+LEFT JOIN users u ON o.user_id IS NOT NULL AND o.user_id <> 0 AND u.id = o.user_id
+LEFT JOIN default_address a ON a.user_id = u.id""")(lambda t: dossiers.order_dossier_flat(t))
+
+register("order_payment", oracle_prelude("payments", extra=(_FIRST_PAYMENT,)) + """
+SELECT order_id, payment_id, CAST(amount AS DOUBLE) AS amount, payment_status, transaction_id, razorpay_signature
+FROM first_payment""")(lambda t: dossiers.first_payments(t).select("order_id", "payment.*"))
+
+register("order_customer_default_address", oracle_prelude("addresses", extra=(_DEFAULT_ADDRESS,)) + """
+SELECT user_id, id, is_default, city, state FROM default_address""")(
+    lambda t: dossiers.default_addresses(t).select("user_id", "address.*"))
+
+register("payment_details", oracle_prelude("shop_orders", "payments", extra=(_FIRST_PAYMENT,)) + f"""
+SELECT p.order_id, p.payment_id, o.user_name, o.payment_mode, p.payment_status,
+  CAST(p.amount AS DOUBLE) AS amount, {_RUPEE % 'p.amount'} AS amount_formatted,
+  CASE lower(p.payment_status) WHEN 'pending' THEN 'warning' WHEN 'completed' THEN 'success'
+    WHEN 'failed' THEN 'danger' WHEN 'refunded' THEN 'secondary' WHEN 'processing' THEN 'info'
+    ELSE 'secondary' END AS payment_badge,
+  'N/A' AS payment_date_formatted, p.transaction_id,
+  CAST(NULL AS VARCHAR) AS razorpay_order_id, CAST(NULL AS VARCHAR) AS razorpay_payment_id,
+  CASE WHEN p.razorpay_signature IS NOT NULL THEN substr(p.razorpay_signature, 1, 30) || '...' END
+    AS signature_masked
+FROM first_payment p LEFT JOIN shop_orders o ON o.order_id = p.order_id""")(
+    lambda t: dossiers.payment_details(t))
+
+register("order_dossier_json")(lambda t: dossiers.order_documents(t, chunk_size=3))
+register("customer_dossier_json")(lambda t: dossiers.customer_documents(t, chunk_size=1))

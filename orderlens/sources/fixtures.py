@@ -134,11 +134,13 @@ def _closure(names: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(ordered)
 
 
-def oracle_prelude(*names: str) -> str:
+def oracle_prelude(*names: str, extra: tuple[str, ...] = ()) -> str:
     """``WITH`` clauses defining the named derived tables (and what they read)
-    for DuckDB, where the source tables are pre-registered views."""
+    for DuckDB, where the source tables are pre-registered views.  ``extra``
+    CTEs (``name AS (...)``) follow and may read the derived ones."""
     parts = []
     for n in _closure(tuple(names)):
         body = _PLACEHOLDER.sub(lambda m: m.group(1), DERIVED_SQL[n]).strip()
         parts.append(f"{n} AS (\n{body}\n)")
+    parts.extend(extra)
     return "WITH " + ",\n".join(parts) + "\n"
