@@ -291,3 +291,67 @@ FROM first_payment p LEFT JOIN shop_orders o ON o.order_id = p.order_id""")(
 
 register("order_dossier_json")(lambda t: dossiers.order_documents(t, chunk_size=3))
 register("customer_dossier_json")(lambda t: dossiers.customer_documents(t, chunk_size=1))
+
+
+# --- V10: catalogue ------------------------------------------------------------
+
+from orderlens.functions.format import DEFAULT_IMAGE  # noqa: E402
+from orderlens.operators import catalogue, updates  # noqa: E402
+
+_CATALOGUE_CTES = (
+    """cat AS (SELECT 'service' AS item_type, s.* FROM services s
+  UNION ALL SELECT 'menu' AS item_type, m.* FROM menu m)""",
+    """sales AS (SELECT item_type, item_id AS id, COUNT(*) AS times_ordered, SUM(quantity) AS total_quantity
+  FROM order_items GROUP BY item_type, item_id)""",
+)
+
+
+def _catalogue_sql(where: str) -> str:
+    return oracle_prelude("services", "menu", "order_items", extra=_CATALOGUE_CTES) + f"""
+SELECT c.item_type, c.id, c.name, c.category, c.status, '{DEFAULT_IMAGE}' AS photo_url,
+  CASE WHEN length(c.description) > 50 THEN left(c.description, 50) || '...' ELSE c.description END
+    AS description_short,
+  CAST(c.price AS DOUBLE) AS price, CAST(c.discount AS DOUBLE) AS discount,
+  CAST(c.price - c.discount AS DOUBLE) AS final_price,
+  {_RUPEE % 'c.price'} AS price_formatted, {_RUPEE % 'c.discount'} AS discount_formatted,
+  {_RUPEE % '(c.price - c.discount)'} AS final_price_formatted,
+  (c.discount > 0) AS has_discount, COALESCE(s.times_ordered, 0) AS times_ordered,
+  CAST(s.total_quantity AS BIGINT) AS total_quantity,
+  CASE WHEN c.status = 'active' THEN 'success' ELSE 'danger' END AS status_badge
+FROM cat c LEFT JOIN sales s ON s.item_type = c.item_type AND s.id = c.id
+WHERE {where}"""
+
+
+register("catalogue_sales", _catalogue_sql("TRUE"))(lambda t: catalogue.catalogue(t))
+register("catalogue_search", _catalogue_sql("c.item_type = 'menu' AND c.name ILIKE '%rod%'"))(
+    lambda t: catalogue.catalogue(t, item_type="menu", search="rod"))
+
+
+# --- V11: status updates ---------------------------------------------------------
+
+_UPDATE_CTES = (
+    "valid AS (SELECT u.* FROM status_updates u WHERE EXISTS "
+    "(SELECT 1 FROM shop_orders o WHERE o.order_id = u.order_id))",
+    """seq AS (SELECT v.*, lag(new_status) OVER w AS prev_status, row_number() OVER w AS rn FROM valid v
+  WINDOW w AS (PARTITION BY order_id ORDER BY created_at ASC NULLS FIRST, update_id ASC))""",
+    """last_update AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY order_id
+  ORDER BY created_at DESC NULLS LAST, update_id DESC) AS rn FROM valid v) WHERE rn = 1)""",
+)
+
+register("status_updates_log", oracle_prelude("shop_orders", "status_updates", extra=_UPDATE_CTES) + """
+SELECT s.update_id AS log_id, s.order_id, s.admin_id, 'status_update' AS action, s.notes AS details,
+  CASE WHEN s.rn = 1 THEN o.status ELSE s.prev_status END AS old_status, s.new_status, s.created_at
+FROM seq s JOIN shop_orders o ON o.order_id = s.order_id""")(
+    lambda t: updates.apply_status_updates(t.orders, t.status_updates).logs)
+
+register("status_updates_snapshot", oracle_prelude("shop_orders", "status_updates", extra=_UPDATE_CTES) + """
+SELECT o.order_id, o.user_id, o.user_name, o.user_phone, o.user_email, CAST(o.total_amount AS DOUBLE) AS total_amount,
+  o.payment_mode, o.delivery_location,
+  CASE WHEN l.order_id IS NOT NULL THEN l.new_status ELSE o.status END AS status, o.order_date, o.delivery_date
+FROM shop_orders o LEFT JOIN last_update l ON l.order_id = o.order_id""")(
+    lambda t: updates.apply_status_updates(t.orders, t.status_updates).snapshot)
+
+register("status_updates_rejects", oracle_prelude("shop_orders", "status_updates") + """
+SELECT u.*, 'Order not found' AS reason FROM status_updates u
+WHERE NOT EXISTS (SELECT 1 FROM shop_orders o WHERE o.order_id = u.order_id)""")(
+    lambda t: updates.apply_status_updates(t.orders, t.status_updates).rejects)
