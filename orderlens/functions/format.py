@@ -139,7 +139,7 @@ def address_block(*cols: str | Column) -> Column:
 
 def two_decimals(col: str | Column) -> Column:
     """``toFixed(2)`` without grouping commas."""
-    return F.format_number(_c(col).cast("double"), "0.00")
+    return F.call_function("format_number", _c(col).cast("double"), F.lit("0.00"))
 
 
 def or_default(col: str | Column, default: str) -> Column:

@@ -355,3 +355,230 @@ register("status_updates_rejects", oracle_prelude("shop_orders", "status_updates
 SELECT u.*, 'Order not found' AS reason FROM status_updates u
 WHERE NOT EXISTS (SELECT 1 FROM shop_orders o WHERE o.order_id = u.order_id)""")(
     lambda t: updates.apply_status_updates(t.orders, t.status_updates).rejects)
+
+
+# --- V7, V8: dashboard and KPIs; A15, A16, W3 ------------------------------------
+
+register("dashboard_kpis", oracle_prelude("shop_orders", "users") + f"""
+SELECT
+  (SELECT COUNT(*) FROM shop_orders WHERE CAST(order_date AS DATE) = {_AS_OF_DAY}) AS today_orders,
+  (SELECT COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) FROM shop_orders
+    WHERE CAST(order_date AS DATE) = {_AS_OF_DAY}) AS today_revenue,
+  (SELECT COALESCE(CAST(SUM(total_amount) AS DOUBLE) / CAST(COUNT(total_amount) AS DOUBLE), 0) FROM shop_orders
+    WHERE CAST(order_date AS DATE) = {_AS_OF_DAY}) AS today_avg_order_value,
+  (SELECT COUNT(*) FROM shop_orders WHERE status = 'pending') AS pending_orders,
+  (SELECT COUNT(*) FROM users WHERE CAST(created_at AS DATE) = {_AS_OF_DAY}) AS new_customers""")(
+    lambda t: stats.dashboard_kpis(t, AS_OF))
+
+register("dashboard_top5", _top_items_sql(
+    "today", 5, extra=",\n  CASE WHEN length(oi.item_name) > 20 THEN left(oi.item_name, 20) || '...' "
+    "ELSE oi.item_name END AS item_label"))(lambda t: stats.dashboard_top(t, AS_OF))
+
+register("today_totals", oracle_prelude("shop_orders") + f"""
+SELECT COUNT(*) AS total_orders, COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) AS total_revenue,
+  COALESCE(CAST(SUM(total_amount) AS DOUBLE) / CAST(COUNT(total_amount) AS DOUBLE), 0) AS avg_order_value
+FROM shop_orders WHERE CAST(order_date AS DATE) = {_AS_OF_DAY}""")(lambda t: stats.today_totals(t, AS_OF))
+
+register("pending_orders", oracle_prelude("shop_orders") + """
+SELECT COUNT(*) AS pending FROM shop_orders WHERE status = 'pending'""")(stats.pending_orders)
+
+register("new_users_today", oracle_prelude("users") + f"""
+SELECT COUNT(*) AS new_customers FROM users WHERE CAST(created_at AS DATE) = {_AS_OF_DAY}""")(
+    lambda t: stats.new_users_on(t, AS_OF))
+
+register("admin_kpis", oracle_prelude("shop_orders", "users") + f"""
+SELECT (SELECT COUNT(*) FROM shop_orders) AS total_orders,
+  (SELECT COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) FROM shop_orders) AS total_revenue_amount,
+  (SELECT COUNT(*) FROM users) AS total_customers,
+  (SELECT COUNT(*) FROM shop_orders WHERE status = 'pending') AS pending_orders,
+  {_RUPEE % '(SELECT COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) FROM shop_orders)'} AS total_revenue""")(
+    stats.admin_kpis)
+
+register("top_items_avg_price", _top_items_sql(
+    "month", 10,
+    extra=",\n  CASE WHEN COALESCE(SUM(oi.quantity), 0) > 0 THEN COALESCE(CAST(SUM(oi.total) AS DOUBLE), 0)"
+          " / CAST(COALESCE(SUM(oi.quantity), 0) AS DOUBLE) ELSE 0.0 END AS avg_price,\n"
+          "  '₹' || format('{:,.2f}', CASE WHEN COALESCE(SUM(oi.quantity), 0) > 0 THEN"
+          " COALESCE(CAST(SUM(oi.total) AS DOUBLE), 0) / CAST(COALESCE(SUM(oi.quantity), 0) AS DOUBLE)"
+          " ELSE 0.0 END) AS avg_price_formatted"))(
+    lambda t: stats.with_avg_price(stats.top_items(t, "month", AS_OF)))
+
+register("best_seller", oracle_prelude("shop_orders", "order_items") + f"""
+SELECT COALESCE((SELECT oi.item_name
+  FROM order_items oi JOIN shop_orders o ON oi.order_id = o.order_id
+  WHERE {bounds_sql('week', 'o.order_date')}
+  GROUP BY oi.item_name, oi.item_type
+  ORDER BY COALESCE(SUM(oi.quantity), 0) DESC, oi.item_name ASC NULLS LAST, oi.item_type ASC NULLS LAST
+  LIMIT 1), 'N/A') AS best_seller""")(lambda t: stats.best_seller(t, "week", AS_OF))
+
+register("status_share", oracle_prelude("shop_orders") + f"""
+SELECT status, count, CAST(floor(CAST(count AS DOUBLE) / CAST(SUM(count) OVER () AS DOUBLE) * 100.0 + 0.5)
+  AS BIGINT) AS percentage
+FROM (SELECT status, COUNT(*) AS count FROM shop_orders WHERE {bounds_sql('all')} GROUP BY status)""")(
+    lambda t: stats.status_share(stats.status_distribution(t, "all", AS_OF)))
+
+
+# --- V9: chart series --------------------------------------------------------------
+
+from orderlens.operators import charts  # noqa: E402
+
+
+def _chart_timeline_sql(period: str, unit: str, label: str) -> str:
+    expr = {"hour": "date_trunc('hour', order_date)", "day": "CAST(order_date AS DATE)",
+            "month": "date_trunc('month', order_date)"}[unit]
+    return oracle_prelude("shop_orders") + f"""
+SELECT strftime(period, '{label}') AS label, order_count AS orders, revenue,
+  CAST(row_number() OVER (ORDER BY period NULLS FIRST) AS BIGINT) AS position
+FROM (SELECT {expr} AS period, COUNT(*) AS order_count,
+  COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) AS revenue
+  FROM shop_orders WHERE {bounds_sql(period)} GROUP BY 1 ORDER BY 1 NULLS FIRST LIMIT 20)"""
+
+
+register("chart_timeline", _chart_timeline_sql("month", "day", "%Y-%m-%d"))(
+    lambda t: charts.chart_timeline(stats.timeline(t, "month", AS_OF)))
+register("chart_timeline_all", _chart_timeline_sql("all", "month", "%d %b %I:%M %p"))(
+    lambda t: charts.chart_timeline(stats.timeline(t, "all", AS_OF)))
+
+register("chart_items", oracle_prelude("shop_orders", "order_items") + f"""
+SELECT CASE WHEN length(item_name) > 20 THEN left(item_name, 20) || '...' ELSE item_name END AS label,
+  total_quantity AS quantities, total_revenue AS revenues,
+  CAST(row_number() OVER (ORDER BY total_quantity DESC, item_name ASC NULLS LAST, item_type ASC NULLS LAST)
+    AS BIGINT) AS position
+FROM (
+  SELECT oi.item_name, oi.item_type, CAST(COALESCE(SUM(oi.quantity), 0) AS BIGINT) AS total_quantity,
+    COALESCE(CAST(SUM(oi.total) AS DOUBLE), 0) AS total_revenue
+  FROM order_items oi JOIN shop_orders o ON oi.order_id = o.order_id
+  WHERE {bounds_sql('all', 'o.order_date')}
+  GROUP BY oi.item_name, oi.item_type
+  ORDER BY total_quantity DESC, oi.item_name ASC NULLS LAST, oi.item_type ASC NULLS LAST LIMIT 10)""")(
+    lambda t: charts.chart_items(stats.top_items(t, "all", AS_OF)))
+
+_STATUS_LABEL = "upper(substr(coalesce(status, 'unknown'), 1, 1)) || lower(substr(coalesce(status, 'unknown'), 2))"
+register("chart_status", oracle_prelude("shop_orders") + f"""
+SELECT {_STATUS_LABEL} AS label, count AS value,
+  CASE lower({_STATUS_LABEL}) WHEN 'pending' THEN '#ffc107' WHEN 'confirmed' THEN '#17a2b8'
+    WHEN 'processing' THEN '#007bff' WHEN 'shipped' THEN '#6f42c1' WHEN 'delivered' THEN '#28a745'
+    WHEN 'cancelled' THEN '#dc3545' ELSE '#6c757d' END AS color,
+  CAST(row_number() OVER (ORDER BY status NULLS FIRST) AS BIGINT) AS position
+FROM (SELECT status, COUNT(*) AS count FROM shop_orders
+  WHERE {bounds_sql('all')} GROUP BY status)""")(
+    lambda t: charts.chart_status(stats.status_distribution(t, "all", AS_OF)))
+
+
+# --- X*, M*: formatting over whole tables --------------------------------------------
+
+from orderlens.functions import format as fmt  # noqa: E402
+
+register("fmt_currency", oracle_prelude("shop_orders") + f"""
+SELECT order_id, {_RUPEE % 'total_amount'} AS total_amount_formatted,
+  {_RUPEE % '(-total_amount)'} AS negative_formatted FROM shop_orders""")(
+    lambda t: t.orders.select("order_id", fmt.currency("total_amount").alias("total_amount_formatted"),
+                              fmt.currency(-F.col("total_amount")).alias("negative_formatted")))
+
+register("fmt_datetime", oracle_prelude("shop_orders") + f"""
+SELECT order_id, {_DT_FMT % 'order_date'} AS order_date_text,
+  strftime(order_date, '%I:%M %p') AS order_time_text,
+  strftime(order_date, '%d %b %I:%M %p') AS order_short_text FROM shop_orders""")(
+    lambda t: t.orders.select("order_id", fmt.datetime_text("order_date").alias("order_date_text"),
+                              fmt.datetime_text("order_date", fmt.TIME_FORMAT).alias("order_time_text"),
+                              fmt.datetime_text("order_date", fmt.CHART_LABEL_FORMAT).alias("order_short_text")))
+
+# Asia/Kolkata has been UTC+05:30 without daylight saving since 1945.
+register("fmt_datetime_ist", oracle_prelude("shop_orders") + f"""
+SELECT order_id, order_date + INTERVAL 330 MINUTE AS order_date_ist,
+  {_DT_FMT % '(order_date + INTERVAL 330 MINUTE)'} AS order_date_ist_text,
+  coalesce(strftime(delivery_date + INTERVAL 330 MINUTE, '%d %b %Y, %I:%M %p'), 'N/A') AS delivery_text
+FROM shop_orders""")(
+    lambda t: t.orders.select("order_id", fmt.to_display_zone("order_date").alias("order_date_ist"),
+                              fmt.datetime_text("order_date", convert=True).alias("order_date_ist_text"),
+                              fmt.datetime_text_or_na("delivery_date").alias("delivery_text")))
+
+
+def _as_text(t):
+    raw = F.when(F.col("order_id") % 10 == 0, F.lit("not a date")).otherwise(F.col("order_date").cast("string"))
+    return t.orders.select("order_id", raw.alias("raw"))
+
+
+register("fmt_datetime_text", oracle_prelude("shop_orders") + """
+SELECT order_id, raw, coalesce(strftime(try_strptime(raw, '%Y-%m-%d %H:%M:%S'), '%d %b %Y, %I:%M %p'), raw, '')
+  AS text
+FROM (SELECT order_id, CASE WHEN order_id % 10 = 0 THEN 'not a date' ELSE CAST(order_date AS VARCHAR) END AS raw
+  FROM shop_orders)""")(
+    lambda t: _as_text(t).select("order_id", "raw", fmt.datetime_text_from_string("raw").alias("text")))
+
+register("truncate_text", oracle_prelude("menu") + """
+SELECT id, CASE WHEN length(description) > 50 THEN left(description, 50) || '...' ELSE description END
+    AS description_short,
+  CASE WHEN length(name) > 20 THEN left(name, 20) || '...' ELSE name END AS name_short,
+  CASE WHEN length(description) > 20 THEN left(description, 20) || '...' ELSE description END AS label
+FROM menu""")(
+    lambda t: t.menu.select("id", fmt.truncate("description", 50).alias("description_short"),
+                            fmt.truncate("name", 20).alias("name_short"),
+                            fmt.truncate("description", 20).alias("label")))
+
+register("title_case", oracle_prelude("users") + """
+SELECT id, list_aggregate(list_transform(string_split(lower(city), ' '), lambda x: upper(x[1]) || x[2:]),
+    'string_agg', ' ') AS city_title,
+  list_aggregate(list_transform(string_split(lower(state), ' '), lambda x: upper(x[1]) || x[2:]),
+    'string_agg', ' ') AS state_title
+FROM users""")(
+    lambda t: t.users.select("id", fmt.title_case("city").alias("city_title"),
+                             fmt.title_case("state").alias("state_title")))
+
+_BADGE_SQL = """CASE lower(status) WHEN 'pending' THEN 'warning' WHEN 'confirmed' THEN 'info'
+    WHEN 'processing' THEN 'primary' WHEN 'shipped' THEN 'purple' WHEN 'delivered' THEN 'success'
+    WHEN 'cancelled' THEN 'danger' WHEN 'refunded' THEN 'secondary' ELSE 'secondary' END"""
+register("status_badge", oracle_prelude("shop_orders") + f"""
+SELECT order_id, status, {_BADGE_SQL} AS status_badge,
+  {_BADGE_SQL.replace('lower(status)', 'lower(upper(status))')} AS upper_badge
+FROM shop_orders""")(
+    lambda t: t.orders.select("order_id", "status", fmt.status_badge("status").alias("status_badge"),
+                              fmt.status_badge(F.upper("status")).alias("upper_badge")))
+
+register("payment_badge", oracle_prelude("payments") + """
+SELECT payment_id, CASE lower(payment_status) WHEN 'pending' THEN 'warning' WHEN 'completed' THEN 'success'
+    WHEN 'failed' THEN 'danger' WHEN 'refunded' THEN 'secondary' WHEN 'processing' THEN 'info'
+    ELSE 'secondary' END AS payment_badge
+FROM payments""")(
+    lambda t: t.payments.select("payment_id", fmt.payment_badge("payment_status").alias("payment_badge")))
+
+
+def _coords(t):
+    return t.users.select("id", (F.col("id") % 180 - 90).cast("int").alias("lat"),
+                          (F.col("id") % 360 - 180).cast("int").alias("lon"))
+
+
+register("map_link", oracle_prelude("users") + """
+SELECT id, lat, lon, CASE WHEN lat <> 0 AND lon <> 0 THEN
+  'https://www.google.com/maps?q=' || CAST(lat AS VARCHAR) || ',' || CAST(lon AS VARCHAR) END AS map_link
+FROM (SELECT id, CAST(id % 180 - 90 AS INTEGER) AS lat, CAST(id % 360 - 180 AS INTEGER) AS lon FROM users)""")(
+    lambda t: _coords(t).select("id", "lat", "lon", fmt.map_link("lat", "lon").alias("map_link")))
+
+
+def _photos(t):
+    url = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://img.example.com/"), F.col("id").cast("string")))
+    return t.menu.select("id", F.when(F.col("id") % 3 == 1, F.col("name")).otherwise(url).alias("photo_url"))
+
+
+register("image_url", oracle_prelude("menu") + f"""
+SELECT id, photo_url, CASE WHEN starts_with(photo_url, 'http') THEN photo_url ELSE '{DEFAULT_IMAGE}' END AS image
+FROM (SELECT id, CASE WHEN id % 3 = 1 THEN name WHEN id % 3 = 0 THEN 'https://img.example.com/' ||
+  CAST(id AS VARCHAR) END AS photo_url FROM menu)""")(
+    lambda t: _photos(t).select("id", "photo_url", fmt.image_url("photo_url").alias("image")))
+
+register("location_text", oracle_prelude("users") + """
+SELECT id, CASE WHEN city IS NULL OR city = '' THEN 'N/A' WHEN state IS NULL OR state = '' THEN city
+  ELSE city || ', ' || state END AS location,
+  CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS active_text,
+  concat_ws(chr(10), nullif(city, ''), nullif(state, '')) AS address_text,
+  coalesce(CAST(NULL AS VARCHAR), 'Never') AS last_login_text
+FROM users""")(
+    lambda t: t.users.select("id", fmt.location_text("city", "state").alias("location"),
+                             fmt.active_text("is_active").alias("active_text"),
+                             fmt.address_block("city", "state").alias("address_text"),
+                             fmt.or_default(F.lit(None).cast("string"), "Never").alias("last_login_text")))
+
+register("two_decimals", oracle_prelude("order_items") + """
+SELECT order_item_id, order_id, item_id, printf('%.2f', CAST(total AS DOUBLE)) AS total_text FROM order_items""")(
+    lambda t: t.order_items.select("order_item_id", "order_id", "item_id",
+                                   fmt.two_decimals("total").alias("total_text")))
