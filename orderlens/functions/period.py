@@ -75,3 +75,23 @@ def date_lit(value: date | datetime) -> Column:
 def sql_ts(value: datetime) -> str:
     """The same literal as SQL text (Spark and DuckDB both accept it)."""
     return f"TIMESTAMP '{ts_text(value)}'"
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(col: str | Column) -> Column:
+    """A ``timestamp_ntz`` wall time read as UTC, as a ``timestamp`` instant.
+
+    Needed for ``withWatermark``/``window`` (they reject NTZ).  Computed as a
+    microsecond difference from the epoch, so the session time zone plays no
+    part (a plain cast would apply it).
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), c))
+
+
+def instant_to_ntz(col: str | Column) -> Column:
+    """Inverse of :func:`ntz_to_instant`: the UTC wall time of an instant."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))

@@ -582,3 +582,29 @@ register("two_decimals", oracle_prelude("order_items") + """
 SELECT order_item_id, order_id, item_id, printf('%.2f', CAST(total AS DOUBLE)) AS total_text FROM order_items""")(
     lambda t: t.order_items.select("order_item_id", "order_id", "item_id",
                                    fmt.two_decimals("total").alias("total_text")))
+
+
+# --- V14: stream jobs (run to completion over the available files) ----------------------
+
+from orderlens.sources.fixtures import derive_streaming  # noqa: E402
+from orderlens.streaming import live  # noqa: E402
+
+
+def _live_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = derive_streaming(spark, sf_dir, "shop_orders", "orders")
+    return for_check(live.live_timeline(spark, stream))
+
+
+def _stream_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = shop_tables(spark, sf_dir)
+    stream = derive_streaming(spark, sf_dir, "status_updates", "events")
+    return for_check(live.stream_status_updates(stream, t.orders))
+
+
+QUERIES["live_timeline"] = _live_timeline
+ORACLE["live_timeline"] = oracle_prelude("shop_orders") + """
+SELECT date_trunc('hour', order_date) AS period, COUNT(*) AS order_count,
+  COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) AS total_revenue
+FROM shop_orders WHERE order_date IS NOT NULL GROUP BY 1"""
+QUERIES["status_updates_stream_log"] = _stream_status_log
+ORACLE["status_updates_stream_log"] = ORACLE["status_updates_log"]

@@ -144,3 +144,21 @@ def oracle_prelude(*names: str, extra: tuple[str, ...] = ()) -> str:
         parts.append(f"{n} AS (\n{body}\n)")
     parts.extend(extra)
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def stream_source(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """A source table read as a file stream (schema taken from the file)."""
+    base = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{base}/{name}.parquet").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(base))
+
+
+def derive_streaming(spark: SparkSession, sf_dir: str, target: str, streamed: str) -> DataFrame:
+    """Derived table ``target`` with the source ``streamed`` read as a stream
+    and everything else static (stream-static joins)."""
+    env: dict[str, DataFrame] = read_sources(spark, sf_dir)
+    env[streamed] = stream_source(spark, sf_dir, streamed)
+    for name in _closure((target,)):
+        env[name] = spark.sql(DERIVED_SQL[name], **{d: env[d] for d in set(_deps(name))})
+    return env[target]
