@@ -43,31 +43,34 @@ def col_or_null(df: DataFrame, name: str, dtype: T.DataType) -> F.Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype).alias(name)
 
 
+def catalogue_names(t: Tables) -> DataFrame:
+    """``(item_type, id, name)`` of both catalogues under one type tag."""
+    return (t.services.select(F.lit("service").alias("_type"), F.col("id").alias("_id"), F.col("name").alias("_name"))
+            .unionByName(t.menu.select(F.lit("menu").alias("_type"), F.col("id").alias("_id"),
+                                       F.col("name").alias("_name"))))
+
+
 def named_items(t: Tables, ids=None) -> DataFrame:
     """P7 + J4/J5 + O6: order items with their catalogue name.
 
     ``CASE type WHEN service THEN s.name WHEN menu THEN m.name ELSE 'Unknown
-    Item'``; a typed item without a catalogue match gets NULL.  Each catalogue
-    join carries the type test in its ON clause (left join with a one-sided
-    condition).  The catalogues are broadcast only when a bounded probe shows
-    they are small; otherwise AQE plans from runtime sizes.
+    Item'``; a typed item without a catalogue match gets NULL.  The two
+    one-sided left joins of the reference (``ON type = 'service' AND id =
+    s.id`` and the same for menu) are one equi-join on ``(type, id)`` against
+    the tagged union of both catalogues: same rows, one pass over the items.
+    The union is broadcast only when a bounded probe shows it is small;
+    otherwise AQE plans from runtime sizes (and splits a hot item's skewed
+    partition).
     """
     items = _only(t.order_items, "order_id", ids)
-    svc = small_side(t.services.select(F.col("id").alias("_sid"), F.col("name").alias("_sname")),
-                     CATALOGUE_BROADCAST_ROWS)
-    menu = small_side(t.menu.select(F.col("id").alias("_mid"), F.col("name").alias("_mname")),
-                      CATALOGUE_BROADCAST_ROWS)
+    names = small_side(catalogue_names(t), CATALOGUE_BROADCAST_ROWS)
+    joined = items.join(names, (F.col("item_type") == F.col("_type")) & (F.col("item_id") == F.col("_id")), "left")
     it = F.col("item_type")
-    joined = (items
-              .join(svc, (it == F.lit("service")) & (F.col("item_id") == F.col("_sid")), "left")
-              .join(menu, (it == F.lit("menu")) & (F.col("item_id") == F.col("_mid")), "left"))
-    full = (F.when(it == "service", F.col("_sname"))
-            .when(it == "menu", F.col("_mname"))
-            .otherwise(F.lit(UNKNOWN_ITEM)))
+    full = F.when(it.isin("service", "menu"), F.col("_name")).otherwise(F.lit(UNKNOWN_ITEM))
     return (joined.withColumn("full_name", full)
             .withColumn("price_formatted", fmt.currency("price"))
             .withColumn("total_formatted", fmt.currency("total"))
-            .drop("_sid", "_sname", "_mid", "_mname"))
+            .drop("_type", "_id", "_name"))
 
 
 def default_addresses(t: Tables) -> DataFrame:
@@ -87,14 +90,19 @@ def customers_with_default_address(t: Tables) -> DataFrame:
     return users.join(default_addresses(t), "user_id", "left")
 
 
-def order_headers(t: Tables, ids=None) -> DataFrame:
+def item_counts_by_order(t: Tables, ids=None) -> DataFrame:
+    """Per order: ``item_count`` (COUNT(order_item_id)) and ``_n`` (rows)."""
+    return (_only(t.order_items, "order_id", ids).groupBy("order_id")
+            .agg(F.count("order_item_id").alias("item_count"), F.count(F.lit(1)).alias("_n")))
+
+
+def order_headers(t: Tables, ids=None, counts: DataFrame | None = None) -> DataFrame:
     """V3 header: every order column, formatted fields, item count, payment
     struct and customer (user + default address).  ``customer`` is NULL when
     the order has no user (NULL or 0 id, F12) or the user is unknown."""
     orders = _only(t.orders, "order_id", ids)
-    counts = (_only(t.order_items, "order_id", ids).groupBy("order_id")
-              .agg(F.count("order_item_id").alias("item_count")))
-    out = attach_counts(orders, counts, "order_id", "item_count")
+    counts = counts if counts is not None else item_counts_by_order(t, ids)
+    out = attach_counts(orders, counts.select("order_id", "item_count"), "order_id", "item_count")
     out = out.join(first_payments(t, ids), "order_id", "left")
     cust = customers_with_default_address(t)
     has_user = F.col("user_id").isNotNull() & (F.col("user_id") != 0)
@@ -134,7 +142,8 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
     elements per document, each part sorted).  Sections are unioned, never
     joined to each other, so no order's items are paired with its logs.
     """
-    header = order_headers(t, ids)
+    counts = item_counts_by_order(t, ids)
+    header = order_headers(t, ids, counts)
     order_cols = [c for c in t.orders.columns]
     head_doc = header.select(
         "order_id", F.lit("order").alias("section"), F.lit(0).cast("long").alias("part"),
@@ -145,7 +154,7 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
     items = named_items(t, ids)
     item_payload = [c for c in items.columns if c not in ("order_id", "order_item_id", "item_id", "total")]
     item_chunks = nest_chunks(items, "order_id", ["order_item_id", "item_id", "total"], item_payload,
-                              chunk_size, alias="items")
+                              chunk_size, alias="items", counts=counts.select("order_id", "_n"))
     item_docs = item_chunks.select("order_id", F.lit("items").alias("section"), "part", "parts",
                                    fmt.to_json_record("items").alias("json"))
     docs = head_doc.unionByName(item_docs)

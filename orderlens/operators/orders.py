@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.predicates import all_of, between, from_day, on_day, order_search, status_is
 from orderlens.plans.joins import attach_counts, bounded_broadcast
+from orderlens.plans.lineage import materialize_bounded
 from orderlens.plans.paging import check_page, keyset_page, newest_first, offset_page
 from orderlens.sources.tables import Tables
 
@@ -36,7 +37,8 @@ def newest() -> list:
 
 def item_counts_for(page: DataFrame, t: Tables, max_rows: int) -> DataFrame:
     """A1 + J1 for a bounded set of orders: ``COUNT(order_item_id)`` per order,
-    0 when it has none, in the page's order."""
+    0 when it has none, in the page's order.  The page is computed once."""
+    page = materialize_bounded(page)
     keys = bounded_broadcast(page.select("order_id"), max_rows)
     counts = (t.order_items.select("order_id", "order_item_id")
               .join(keys, "order_id", "left_semi")

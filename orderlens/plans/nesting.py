@@ -20,18 +20,22 @@ from pyspark.sql import functions as F
 
 def nest_chunks(children: DataFrame, key: str, sort_cols: Sequence[str | Column],
                 payload: Sequence[str] | None = None, chunk_size: int = 1000,
-                alias: str = "children", descending: bool = False) -> DataFrame:
+                alias: str = "children", descending: bool = False,
+                counts: DataFrame | None = None) -> DataFrame:
     """Rows ``(key, part, parts, <alias>: array<struct>)``.
 
     ``sort_cols`` lead each struct, so ``sort_array`` orders the elements by
-    them (descending when asked); ``payload`` columns follow.
+    them (descending when asked); ``payload`` columns follow.  ``counts``
+    (``key, _n``: children per key) may be passed when the caller already
+    aggregated them, so the children are not counted twice.
     """
     if chunk_size < 1:
         raise ValueError("chunk_size must be >= 1")
     sort_exprs = [F.col(c) if isinstance(c, str) else c for c in sort_cols]
     sort_names = [c for c in sort_cols if isinstance(c, str)]
     payload = [c for c in (payload or children.columns) if c != key and c not in sort_names]
-    counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     parts = F.greatest(F.ceil(F.col("_n") / F.lit(chunk_size)), F.lit(1)).cast("long")
     salted = (children.join(counts, key)
               .withColumn("parts", parts)

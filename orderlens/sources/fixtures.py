@@ -97,8 +97,23 @@ def read_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{base}/{name}.parquet") for name in SOURCE_TABLES}
 
 
+_DERIVED_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All derived tables as lazy DataFrames, keyed by derived name."""
+    """All derived tables as lazy DataFrames, keyed by derived name.
+
+    Analysing the eight derivations costs over a second of driver time, so
+    the (lazy, unexecuted) DataFrames are kept per session and folder and
+    reused by every query; nothing is cached in executors.
+    """
+    key = (f"{spark.sparkContext.applicationId}:{id(spark)}", sf_dir.rstrip("/"))
+    if key not in _DERIVED_CACHE:
+        _DERIVED_CACHE[key] = _derive(spark, sf_dir)
+    return _DERIVED_CACHE[key]
+
+
+def _derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     env: dict[str, DataFrame] = read_sources(spark, sf_dir)
     out: dict[str, DataFrame] = {}
     for name, text in DERIVED_SQL.items():
