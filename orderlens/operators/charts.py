@@ -62,3 +62,10 @@ def chart_status(distribution: DataFrame) -> DataFrame:
     out = distribution.select("status", label.alias("label"), F.col("count").alias("value"))
     out = out.withColumn("color", fmt.status_color(F.col("label")))
     return _numbered(out, F.asc_nulls_first("status")).drop("status")
+
+
+def chart_series(statistics) -> dict[str, DataFrame]:
+    """V9: the three chart frames from an ``OrderStatistics`` bundle."""
+    return {"timeline": chart_timeline(statistics.orders_timeline),
+            "items": chart_items(statistics.top_items),
+            "status": chart_status(statistics.status_distribution)}

@@ -104,3 +104,17 @@ def addresses_ranked(t: Tables) -> DataFrame:
     rank = (F.when(F.col("is_default").isNull(), F.lit(0))
             .when(F.col("is_default"), F.lit(1)).otherwise(F.lit(2)))
     return t.addresses.withColumn("default_rank", rank)
+
+
+def with_display(page: DataFrame) -> DataFrame:
+    """The customer list as the page shows it (V4 route formatting):
+    formatted dates and spend, location text, active flag and defaults."""
+    from orderlens.functions import format as fmt
+
+    return (page.withColumn("created_at_formatted", fmt.datetime_text(F.col("created_at").cast("timestamp_ntz")))
+            .withColumn("last_order_date_formatted", fmt.datetime_text("last_order_date"))
+            .withColumn("total_spent_formatted", fmt.currency("total_spent"))
+            .withColumn("location", fmt.location_text("city", "state"))
+            .withColumn("active_text", fmt.active_text("is_active"))
+            .withColumn("last_order_text", F.when(F.col("total_orders") > 0, F.col("last_order_date_formatted"))
+                        .otherwise(F.lit("No orders"))))

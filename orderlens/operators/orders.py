@@ -107,3 +107,24 @@ def count_orders(t: Tables, status: str | None = None, search: str | None = None
 def count_orders_distinct(t: Tables, status: str | None = None, search: str | None = None) -> DataFrame:
     """``COUNT(DISTINCT order_id)`` with the same predicates."""
     return filtered_orders(t, status, search).agg(F.count_distinct("order_id").alias("total"))
+
+
+def with_display(page: DataFrame, t: Tables, max_rows: int = 20) -> DataFrame:
+    """The order list as the page shows it (D8): payment status joined from
+    ``payments`` (lowest payment id; 'pending' when none), badges, and
+    formatted amount and date.  ``page`` is a bounded page (<= ``max_rows``),
+    so its keys are broadcast into the payments scan."""
+    from orderlens.functions import format as fmt
+    from orderlens.plans.joins import pick_one
+
+    page = materialize_bounded(page)
+    keys = bounded_broadcast(page.select("order_id"), max_rows)
+    pays = pick_one(t.payments.join(keys, "order_id", "left_semi"), "order_id", ["payment_id"], "_pay")
+    out = page.join(bounded_broadcast(pays, max_rows), "order_id", "left")
+    return (out.withColumn("payment_status", fmt.or_default(F.col("_pay.payment_status"), "pending"))
+            .drop("_pay")
+            .withColumn("status_badge", fmt.status_badge("status"))
+            .withColumn("payment_badge", fmt.payment_badge("payment_status"))
+            .withColumn("total_amount_formatted", fmt.currency("total_amount"))
+            .withColumn("order_date_formatted", fmt.datetime_text("order_date"))
+            .orderBy(*newest()))

@@ -209,3 +209,20 @@ def pending_orders(t: Tables) -> DataFrame:
 def new_users_on(t: Tables, as_of: datetime) -> DataFrame:
     """Users created on the as-of day."""
     return t.users.agg(F.count_if(on_day("created_at", as_of)).alias("new_customers"))
+
+
+@dataclass(frozen=True)
+class Dashboard:
+    kpis: DataFrame
+    todays_orders: DataFrame
+    top_items: DataFrame
+    statistics: OrderStatistics
+
+
+def dashboard(t: Tables, as_of: datetime) -> Dashboard:
+    """V7: everything the dashboard shows, as DataFrames (figures in one row,
+    today's orders, top 5 items of today, and today's statistics)."""
+    from orderlens.operators.orders import todays_orders
+
+    return Dashboard(kpis=dashboard_kpis(t, as_of), todays_orders=todays_orders(t, as_of, "live"),
+                     top_items=dashboard_top(t, as_of), statistics=order_statistics(t, "today", as_of))

@@ -608,3 +608,45 @@ SELECT date_trunc('hour', order_date) AS period, COUNT(*) AS order_count,
 FROM shop_orders WHERE order_date IS NOT NULL GROUP BY 1"""
 QUERIES["status_updates_stream_log"] = _stream_status_log
 ORACLE["status_updates_stream_log"] = ORACLE["status_updates_log"]
+
+
+# --- display layers, log order ----------------------------------------------------
+
+register("orders_page_display", oracle_prelude("shop_orders", "order_items", "payments", extra=(_FIRST_PAYMENT,)) + f"""
+SELECT pg.*, coalesce(p.payment_status, 'pending') AS payment_status,
+  {_BADGE_SQL} AS status_badge,
+  CASE lower(coalesce(p.payment_status, 'pending')) WHEN 'pending' THEN 'warning' WHEN 'completed' THEN 'success'
+    WHEN 'failed' THEN 'danger' WHEN 'refunded' THEN 'secondary' WHEN 'processing' THEN 'info'
+    ELSE 'secondary' END AS payment_badge,
+  {_RUPEE % 'pg.total_amount'} AS total_amount_formatted, {_DT_FMT % 'pg.order_date'} AS order_date_formatted
+FROM (
+  SELECT o.order_id, o.user_name, o.user_phone, o.user_email, CAST(o.total_amount AS DOUBLE) AS total_amount,
+    o.payment_mode, o.delivery_location, o.status, o.order_date, o.delivery_date,
+    COUNT(oi.order_item_id) AS item_count
+  FROM shop_orders o LEFT JOIN order_items oi ON o.order_id = oi.order_id
+  WHERE o.status = 'cancelled'
+  GROUP BY o.order_id, o.user_name, o.user_phone, o.user_email, o.total_amount, o.payment_mode,
+    o.delivery_location, o.status, o.order_date, o.delivery_date
+  ORDER BY o.order_date DESC NULLS FIRST, o.order_id DESC LIMIT 20 OFFSET 20) pg
+LEFT JOIN first_payment p ON p.order_id = pg.order_id""")(
+    lambda t: orders.with_display(orders.list_orders(t, page=2, status="cancelled"), t))
+
+register("customers_page_display", oracle_prelude("users", "shop_orders") + f"""
+SELECT c.*, {_DT_FMT % 'c.created_at'} AS created_at_formatted,
+  {_DT_FMT % 'c.last_order_date'} AS last_order_date_formatted,
+  {_RUPEE % 'c.total_spent'} AS total_spent_formatted,
+  CASE WHEN c.city IS NULL OR c.city = '' THEN 'N/A' WHEN c.state IS NULL OR c.state = '' THEN c.city
+    ELSE c.city || ', ' || c.state END AS location,
+  CASE WHEN c.is_active THEN 'Active' ELSE 'Inactive' END AS active_text,
+  CASE WHEN c.total_orders > 0 THEN {_DT_FMT % 'c.last_order_date'} ELSE 'No orders' END AS last_order_text
+FROM (
+  SELECT u.id, u.full_name, u.phone, u.email, u.city, u.state, u.is_active,
+    CAST(u.created_at AS TIMESTAMP) AS created_at, COUNT(o.order_id) AS total_orders,
+    COALESCE(CAST(SUM(o.total_amount) AS DOUBLE), 0) AS total_spent, MAX(o.order_date) AS last_order_date
+  FROM users u LEFT JOIN shop_orders o ON u.id = o.user_id
+  GROUP BY u.id, u.full_name, u.phone, u.email, u.city, u.state, u.is_active, u.created_at
+  ORDER BY u.created_at DESC NULLS FIRST, u.id DESC LIMIT 20 OFFSET 40) c""")(
+    lambda t: customers.with_display(customers.list_customers(t, page=3)))
+
+register("order_logs_desc", ORACLE["status_updates_log"])(
+    lambda t: dossiers.order_logs_sorted(updates.apply_status_updates(t.orders, t.status_updates).logs))
