@@ -61,6 +61,20 @@ def between(col: str, start: datetime, end: datetime) -> Column:
     return F.col(col).between(ts_lit(start), ts_lit(end))
 
 
+def prune_months(df: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Add the ``order_month`` partition filter matching ``[start, end]`` when
+    the table is stored partitioned by month (Spark does not derive partition
+    filters from filters on data columns)."""
+    if "order_month" not in df.columns:
+        return df
+    month = F.col("order_month")
+    if start is not None:
+        df = df.where(month >= start.strftime("%Y-%m"))
+    if end is not None:
+        df = df.where(month <= end.strftime("%Y-%m"))
+    return df
+
+
 def in_period(df: DataFrame, period: str, as_of: datetime, col: str = "order_date") -> DataFrame:
     """Rows of ``df`` whose ``col`` lies in the period.
 
@@ -69,7 +83,4 @@ def in_period(df: DataFrame, period: str, as_of: datetime, col: str = "order_dat
     so whole folders are skipped, not just row groups.
     """
     start, end = period_bounds(period, as_of)
-    out = df.where(between(col, start, end))
-    if "order_month" in df.columns:
-        out = out.where(F.col("order_month").between(start.strftime("%Y-%m"), end.strftime("%Y-%m")))
-    return out
+    return prune_months(df.where(between(col, start, end)), start, end)

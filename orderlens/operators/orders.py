@@ -15,7 +15,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.predicates import all_of, between, from_day, on_day, order_search, status_is
+from orderlens.functions.predicates import (all_of, between, from_day, on_day, order_search, prune_months,
+                                            status_is)
 from orderlens.plans.joins import attach_counts, bounded_broadcast
 from orderlens.plans.lineage import materialize_bounded
 from orderlens.plans.paging import check_page, keyset_page, newest_first, offset_page
@@ -63,17 +64,17 @@ def todays_orders(t: Tables, as_of: datetime, mode: str = "from", limit: int | N
     ``from`` is ``DATE(order_date) >= today`` (8 columns, top 50);
     ``until_now`` is ``order_date BETWEEN midnight AND as_of`` (8 columns, top 50).
     """
+    midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
     if mode == "live":
-        pred, cols = on_day("order_date", as_of), TODAY_COLUMNS_LIVE
+        pred, cols, months = on_day("order_date", as_of), TODAY_COLUMNS_LIVE, (midnight, midnight)
     elif mode == "from":
-        pred, cols = from_day("order_date", as_of), TODAY_COLUMNS
+        pred, cols, months = from_day("order_date", as_of), TODAY_COLUMNS, (midnight, None)
     elif mode == "until_now":
-        midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
-        pred, cols = between("order_date", midnight, as_of), TODAY_COLUMNS
+        pred, cols, months = between("order_date", midnight, as_of), TODAY_COLUMNS, (midnight, as_of)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     n = limit or TODAY_LIMIT[mode]
-    page = t.orders.where(pred).select(*cols).orderBy(*newest()).limit(n)
+    page = prune_months(t.orders.where(pred), *months).select(*cols).orderBy(*newest()).limit(n)
     return item_counts_for(page, t, n)
 
 

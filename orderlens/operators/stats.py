@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.format import currency
 from orderlens.functions.period import timeline_unit
-from orderlens.functions.predicates import in_period, on_day
+from orderlens.functions.predicates import in_period, on_day, prune_months
 from orderlens.sources.tables import MONEY, Tables
 
 
@@ -47,7 +47,8 @@ def totals(t: Tables, period: str, as_of: datetime) -> DataFrame:
 
 def today_totals(t: Tables, as_of: datetime) -> DataFrame:
     """A4: the dashboard's whole-day totals (``DATE(order_date) = today``)."""
-    return t.orders.where(on_day("order_date", as_of)).agg(*_totals_aggs())
+    day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+    return prune_months(t.orders.where(on_day("order_date", as_of)), day, day).agg(*_totals_aggs())
 
 
 def top_items(t: Tables, period: str, as_of: datetime, limit: int | None = 10) -> DataFrame:

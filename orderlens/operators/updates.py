@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.plans.lineage import materialize
 from orderlens.plans.sequence import with_previous
 
 # The action written to the log and the reject reason.
@@ -46,7 +47,17 @@ def last_updates(updates: DataFrame) -> DataFrame:
 
 def apply_status_updates(orders: DataFrame, updates: DataFrame,
                          num_partitions: int | None = None) -> StatusUpdateResult:
-    keys = orders.select("order_id")
+    """Apply ``updates`` to ``orders``.
+
+    Only orders named by the batch are touched: ``orders`` is semi-joined with
+    the batch's distinct keys (the small side, which AQE broadcasts when a
+    micro-batch is small, so the orders table is scanned but not shuffled),
+    and that touched set is checkpointed once for the three uses below.
+    """
+    batch_keys = updates.select("order_id").distinct()
+    touched = materialize(orders.select("order_id", F.col("status").alias("_current"))
+                          .join(batch_keys, "order_id", "left_semi"))
+    keys = touched.select("order_id")
     valid = updates.join(keys, "order_id", "left_semi")
     rejects = (updates.join(keys, "order_id", "left_anti")
                .withColumn("reason", F.lit(NOT_FOUND)))
@@ -54,8 +65,7 @@ def apply_status_updates(orders: DataFrame, updates: DataFrame,
     seq = with_previous(valid, "order_id", UPDATE_ORDER, "new_status", num_partitions)
     # Only the first update of each order needs the order's current status:
     # one row per order meets the orders table, so a hot order adds no skew.
-    firsts = (seq.where(~F.col("has_prev"))
-              .join(orders.select("order_id", F.col("status").alias("_current")), "order_id", "left"))
+    firsts = seq.where(~F.col("has_prev")).join(touched, "order_id", "left")
     rest = seq.where(F.col("has_prev")).withColumn("_current", F.lit(None).cast("string"))
     both = firsts.unionByName(rest)
     old = F.when(F.col("has_prev"), F.col("prev_new_status")).otherwise(F.col("_current"))

@@ -18,3 +18,10 @@ def materialize_bounded(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several consumers and cut its lineage with a
+    reliable checkpoint (any size; written to the shared checkpoint folder)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
