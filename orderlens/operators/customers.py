@@ -15,7 +15,7 @@ from orderlens.functions.predicates import customer_search
 from orderlens.operators.stats import money_avg, money_sum
 from orderlens.plans.joins import bounded_broadcast
 from orderlens.plans.lineage import materialize_bounded
-from orderlens.plans.paging import check_page, offset_page
+from orderlens.plans.paging import check_page, offset_page, sort_bounded
 from orderlens.sources.tables import Tables
 
 RECENT_ORDERS = 10
@@ -69,7 +69,7 @@ def list_customers(t: Tables, page: int = 1, per_page: int = 20, search: str | N
     keys = bounded_broadcast(top.select(F.col("id").alias("user_id")), per_page)
     orders = t.orders.select("user_id", "order_id", "total_amount", "order_date").join(keys, "user_id", "left_semi")
     metrics = bounded_broadcast(_lifetime(orders), per_page)
-    return _attach(top, metrics).orderBy(*newest_users())
+    return sort_bounded(_attach(top, metrics), newest_users())
 
 
 def count_customers(t: Tables, search: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from orderlens.functions.predicates import (all_of, between, from_day, on_day, o
                                             status_is)
 from orderlens.plans.joins import attach_counts, bounded_broadcast
 from orderlens.plans.lineage import materialize_bounded
-from orderlens.plans.paging import check_page, keyset_page, newest_first, offset_page
+from orderlens.plans.paging import check_page, keyset_page, newest_first, offset_page, sort_bounded
 from orderlens.sources.tables import Tables
 
 # Column lists of the reference's order lists.
@@ -44,7 +44,7 @@ def item_counts_for(page: DataFrame, t: Tables, max_rows: int) -> DataFrame:
     counts = (t.order_items.select("order_id", "order_item_id")
               .join(keys, "order_id", "left_semi")
               .groupBy("order_id").agg(F.count("order_item_id").alias("item_count")))
-    return attach_counts(page, bounded_broadcast(counts, max_rows), "order_id", "item_count").orderBy(*newest())
+    return sort_bounded(attach_counts(page, bounded_broadcast(counts, max_rows), "order_id", "item_count"), newest())
 
 
 def item_counts(t: Tables) -> DataFrame:
@@ -122,10 +122,10 @@ def with_display(page: DataFrame, t: Tables, max_rows: int = 20) -> DataFrame:
     keys = bounded_broadcast(page.select("order_id"), max_rows)
     pays = pick_one(t.payments.join(keys, "order_id", "left_semi"), "order_id", ["payment_id"], "_pay")
     out = page.join(bounded_broadcast(pays, max_rows), "order_id", "left")
-    return (out.withColumn("payment_status", fmt.or_default(F.col("_pay.payment_status"), "pending"))
+    out = (out.withColumn("payment_status", fmt.or_default(F.col("_pay.payment_status"), "pending"))
             .drop("_pay")
             .withColumn("status_badge", fmt.status_badge("status"))
             .withColumn("payment_badge", fmt.payment_badge("payment_status"))
             .withColumn("total_amount_formatted", fmt.currency("total_amount"))
-            .withColumn("order_date_formatted", fmt.datetime_text("order_date"))
-            .orderBy(*newest()))
+            .withColumn("order_date_formatted", fmt.datetime_text("order_date")))
+    return sort_bounded(out, newest())

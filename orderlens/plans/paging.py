@@ -56,6 +56,12 @@ def keyset_page(df: DataFrame, date_col: str, id_col: str, per_page: int, after=
     return df.orderBy(*newest_first(date_col, id_col)).limit(per_page)
 
 
+def sort_bounded(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Order a result known to be small (a page): one partition, sorted in
+    place, instead of a range-partitioned global sort."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def page_count(total: DataFrame, per_page: int = 20, col: str = "total") -> DataFrame:
     """``ceil(total / per_page)``, and 1 when there are no rows."""
     return total.withColumn(
