@@ -57,3 +57,24 @@ def test_no_cartesian_and_no_python_in_registered_queries(spark):
         p = plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_bucketed_tables_join_on_order_id_without_shuffle(spark):
+    from orderlens.sources.tables import read_catalog_tables, write_bucketed_tables
+
+    src = shop_tables(spark, SF_SMALL)
+    write_bucketed_tables(src, "shop_bucketed", 4, mode="overwrite")
+    t = read_catalog_tables(spark, "shop_bucketed")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        top = stats.top_items(t, "all", AS_OF)
+        p = plan(top)
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning(order_id" not in p
+        from orderlens.operators import orders as ops
+        assert "Exchange hashpartitioning(order_id" not in plan(ops.item_counts(t))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = stats.top_items(src, "all", AS_OF).collect()
+    assert top.collect() == want
