@@ -145,18 +145,17 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
     counts = item_counts_by_order(t, ids)
     header = order_headers(t, ids, counts)
     order_cols = [c for c in t.orders.columns]
-    head_doc = header.select(
+    head_doc = _document(header.select(
         "order_id", F.lit("order").alias("section"), F.lit(0).cast("long").alias("part"),
         F.lit(1).cast("long").alias("parts"),
-        fmt.to_json_record(F.struct(*order_cols, "order_date_formatted", "total_amount_formatted",
-                                    "item_count").alias("order"),
-                           "customer", "payment").alias("json"))
+        F.struct(*order_cols, "order_date_formatted", "total_amount_formatted", "item_count").alias("order"),
+        "customer", "payment"), "order_id")
     items = named_items(t, ids)
     item_payload = [c for c in items.columns if c not in ("order_id", "order_item_id", "item_id", "total")]
     item_chunks = nest_chunks(items, "order_id", ["order_item_id", "item_id", "total"], item_payload,
                               chunk_size, alias="items", counts=counts.select("order_id", "_n"))
-    item_docs = item_chunks.select("order_id", F.lit("items").alias("section"), "part", "parts",
-                                   fmt.to_json_record("items").alias("json"))
+    item_docs = _document(item_chunks.select("order_id", F.lit("items").alias("section"), "part", "parts",
+                                             "items"), "order_id")
     docs = head_doc.unionByName(item_docs)
     logs = logs if logs is not None else t.order_logs
     if logs is not None:
@@ -164,11 +163,21 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
         payload = [c for c in lg.columns if c not in ("order_id", "created_at", "log_id")]
         log_chunks = nest_chunks(lg, "order_id", ["created_at", "log_id"], payload, chunk_size,
                                  alias="logs", descending=True)
-        docs = docs.unionByName(log_chunks.select("order_id", F.lit("logs").alias("section"), "part", "parts",
-                                                  fmt.to_json_record("logs").alias("json")))
+        docs = docs.unionByName(_document(log_chunks.select("order_id", F.lit("logs").alias("section"), "part",
+                                                            "parts", "logs"), "order_id"))
     return docs
 
 
+def _document(df: DataFrame, key: str) -> DataFrame:
+    """Key columns plus the whole row as one self-describing JSON text."""
+    return df.select(key, "section", "part", "parts", fmt.to_json_record(*df.columns).alias("json"))
+
+
+def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K3: export documents as JSON lines, one folder per section."""
+    docs.select("section", "json").write.mode(mode).partitionBy("section").text(path)
+
+
 # --- V12: payment view ---------------------------------------------------------
 
 def payment_details(t: Tables, ids=None) -> DataFrame:
@@ -204,24 +213,23 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
 
     users = _only(t.users, "id", ids)
     stats = customer_stats(t.with_tables(users=users))
-    head = (users.withColumnRenamed("id", "user_id").join(stats, "user_id", "left")
-            .select("user_id", F.lit("user").alias("section"), F.lit(0).cast("long").alias("part"),
-                    F.lit(1).cast("long").alias("parts"),
-                    fmt.to_json_record(F.struct(*[F.col(c) for c in users.columns if c != "id"],
-                                                F.col("user_id").alias("id")).alias("user"),
-                                       F.struct("total_orders", "total_spent", "avg_order_value",
-                                                fmt.currency("total_spent").alias("total_spent_formatted"),
-                                                fmt.currency("avg_order_value").alias("avg_order_value_formatted"))
-                                       .alias("stats")).alias("json")))
+    head = _document(users.withColumnRenamed("id", "user_id").join(stats, "user_id", "left").select(
+        "user_id", F.lit("user").alias("section"), F.lit(0).cast("long").alias("part"),
+        F.lit(1).cast("long").alias("parts"),
+        F.struct(*[F.col(c) for c in users.columns if c != "id"], F.col("user_id").alias("id")).alias("user"),
+        F.struct("total_orders", "total_spent", "avg_order_value",
+                 fmt.currency("total_spent").alias("total_spent_formatted"),
+                 fmt.currency("avg_order_value").alias("avg_order_value_formatted")).alias("stats")), "user_id")
     recent = recent_orders(t.with_tables(orders=_only(t.orders, "user_id", ids)))
     order_cols = [c for c in recent.columns if c not in ("user_id", "recent_rank")]
-    recent_docs = (recent.groupBy("user_id")
-                   .agg(F.sort_array(F.collect_list(F.struct("recent_rank", *order_cols))).alias("orders"))
-                   .select("user_id", F.lit("orders").alias("section"), F.lit(0).cast("long").alias("part"),
-                           F.lit(1).cast("long").alias("parts"), fmt.to_json_record("orders").alias("json")))
+    recent_docs = _document(
+        recent.groupBy("user_id")
+        .agg(F.sort_array(F.collect_list(F.struct("recent_rank", *order_cols))).alias("orders"))
+        .select("user_id", F.lit("orders").alias("section"), F.lit(0).cast("long").alias("part"),
+                F.lit(1).cast("long").alias("parts"), "orders"), "user_id")
     addr = _only(addresses_ranked(t), "user_id", ids)
     payload = [c for c in addr.columns if c not in ("user_id", "default_rank", "id")]
-    addr_docs = (nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
-                 .select("user_id", F.lit("addresses").alias("section"), "part", "parts",
-                         fmt.to_json_record("addresses").alias("json")))
+    addr_docs = _document(
+        nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
+        .select("user_id", F.lit("addresses").alias("section"), "part", "parts", "addresses"), "user_id")
     return head.unionByName(recent_docs).unionByName(addr_docs)
