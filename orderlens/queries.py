@@ -24,6 +24,8 @@ AS_OF = datetime(2001, 7, 31, 12, 0, 0)
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
+# The library call behind each registered query, on any Tables bundle.
+OPERATORS: dict[str, Callable] = {}
 
 
 def for_check(df: DataFrame) -> DataFrame:
@@ -42,6 +44,7 @@ def for_check(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: for_check(fn(shop_tables(spark, sf_dir)))
+        OPERATORS[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         return fn
