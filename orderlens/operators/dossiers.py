@@ -14,6 +14,7 @@ those children cut into bounded chunks (``plans.nesting``).
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,3 +234,38 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
         nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
         .select("user_id", F.lit("addresses").alias("section"), "part", "parts", "addresses"), "user_id")
     return head.unionByName(recent_docs).unionByName(addr_docs)
+
+
+# --- V3 / V5 bundles ---------------------------------------------------------------
+
+@dataclass(frozen=True)
+class OrderDossiers:
+    headers: DataFrame   # one row per order: order, item_count, payment, customer
+    items: DataFrame     # one row per item, with catalogue name and sort key
+    logs: DataFrame | None  # one row per log entry (newest first within an order)
+
+
+def order_dossiers(t: Tables, ids=None, logs: DataFrame | None = None) -> OrderDossiers:
+    """V3 for all orders (or ``ids``): the dossier's sections as flat, keyed
+    DataFrames; :func:`order_documents` renders them as JSON."""
+    logs = logs if logs is not None else t.order_logs
+    return OrderDossiers(headers=order_headers(t, ids), items=named_items(t, ids),
+                         logs=order_logs_sorted(logs, ids) if logs is not None else None)
+
+
+@dataclass(frozen=True)
+class CustomerDossiers:
+    users: DataFrame          # user columns with total_orders, total_spent, avg_order_value
+    addresses: DataFrame      # every address with its default_rank
+    recent_orders: DataFrame  # last 10 orders per user with recent_rank
+
+
+def customer_dossiers(t: Tables, ids=None) -> CustomerDossiers:
+    """V5 for all users (or ``ids``) as flat, keyed sections."""
+    from orderlens.operators.customers import addresses_ranked, customer_stats, recent_orders
+
+    users = _only(t.users, "id", ids)
+    stats = customer_stats(t.with_tables(users=users)).withColumnRenamed("user_id", "id")
+    return CustomerDossiers(users=users.join(stats, "id", "left"),
+                            addresses=_only(addresses_ranked(t), "user_id", ids),
+                            recent_orders=recent_orders(t.with_tables(orders=_only(t.orders, "user_id", ids))))

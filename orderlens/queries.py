@@ -233,7 +233,7 @@ FROM addresses a""")(customers.addresses_ranked)
 
 # --- V3, V12: dossiers and payments --------------------------------------------
 
-from orderlens.operators import dossiers  # noqa: E402
+from orderlens.operators import dossiers, updates  # noqa: E402
 
 _RUPEE = "'₹' || format('{:,.2f}', CAST(%s AS DOUBLE))"
 _DT_FMT = "coalesce(strftime(%s, '%%d %%b %%Y, %%I:%%M %%p'), '')"
@@ -292,14 +292,15 @@ SELECT p.order_id, p.payment_id, o.user_name, o.payment_mode, p.payment_status,
 FROM first_payment p LEFT JOIN shop_orders o ON o.order_id = p.order_id""")(
     lambda t: dossiers.payment_details(t))
 
-register("order_dossier_json")(lambda t: dossiers.order_documents(t, chunk_size=3))
+register("order_dossier_json")(lambda t: dossiers.order_documents(
+    t, chunk_size=3, logs=updates.apply_status_updates(t.orders, t.status_updates).logs))
 register("customer_dossier_json")(lambda t: dossiers.customer_documents(t, chunk_size=1))
 
 
 # --- V10: catalogue ------------------------------------------------------------
 
 from orderlens.functions.format import DEFAULT_IMAGE  # noqa: E402
-from orderlens.operators import catalogue, updates  # noqa: E402
+from orderlens.operators import catalogue  # noqa: E402
 
 _CATALOGUE_CTES = (
     """cat AS (SELECT 'service' AS item_type, s.* FROM services s

@@ -107,3 +107,13 @@ def test_documents_are_self_describing(t, tmp_path):
     out = str(tmp_path / "docs")
     dossiers.write_documents(docs, out)
     assert docs.sparkSession.read.text(out).count() == docs.count()
+
+
+def test_dossier_bundles_cover_every_order_and_user(t):
+    d = dossiers.order_dossiers(t, logs=updates.apply_status_updates(t.orders, t.status_updates).logs)
+    assert d.headers.count() == t.orders.count()
+    assert d.items.count() == t.order_items.count()
+    assert d.logs.count() > 0
+    from orderlens.operators.dossiers import customer_dossiers
+    c = customer_dossiers(t, ids=[1, 2, 3])
+    assert c.users.count() == 3 and c.recent_orders.agg(F.max("recent_rank")).first()[0] <= 10
