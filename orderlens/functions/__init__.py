@@ -1,0 +1 @@
+"""orderlens.functions"""
