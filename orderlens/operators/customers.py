@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.predicates import customer_search
 from orderlens.operators.stats import money_avg, money_sum
-from orderlens.plans.joins import bounded_broadcast
+from orderlens.plans.joins import bounded_broadcast, restrict_to_keys
 from orderlens.plans.lineage import materialize_bounded
 from orderlens.plans.paging import check_page, offset_page, sort_bounded
 from orderlens.sources.tables import Tables
@@ -62,12 +62,12 @@ def list_customers(t: Tables, page: int = 1, per_page: int = 20, search: str | N
 
     The page is taken from ``users`` alone (metrics take no part in filtering
     or ordering), then only that page's orders are aggregated: the page's ids
-    are broadcast into the orders scan as a semi-join key set.
+    reach the orders scan as a pushed ``IN`` filter.
     """
     check_page(page, per_page)
     top = materialize_bounded(offset_page(filtered_users(t, search), newest_users(), page, per_page))
-    keys = bounded_broadcast(top.select(F.col("id").alias("user_id")), per_page)
-    orders = t.orders.select("user_id", "order_id", "total_amount", "order_date").join(keys, "user_id", "left_semi")
+    orders = restrict_to_keys(t.orders.select("user_id", "order_id", "total_amount", "order_date"),
+                              top, "user_id", per_page, key_col="id")
     metrics = bounded_broadcast(_lifetime(orders), per_page)
     return sort_bounded(_attach(top, metrics), newest_users())
 

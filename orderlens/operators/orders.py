@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.predicates import (all_of, between, from_day, on_day, order_search, prune_months,
                                             status_is)
-from orderlens.plans.joins import attach_counts, bounded_broadcast
+from orderlens.plans.joins import attach_counts, bounded_broadcast, restrict_to_keys
 from orderlens.plans.lineage import materialize_bounded
 from orderlens.plans.paging import check_page, keyset_page, newest_first, offset_page, sort_bounded
 from orderlens.sources.tables import Tables
@@ -38,11 +38,10 @@ def newest() -> list:
 
 def item_counts_for(page: DataFrame, t: Tables, max_rows: int) -> DataFrame:
     """A1 + J1 for a bounded set of orders: ``COUNT(order_item_id)`` per order,
-    0 when it has none, in the page's order.  The page is computed once."""
+    0 when it has none, in the page's order.  The page is computed once; its
+    keys reach the item scan as a pushed ``IN`` filter."""
     page = materialize_bounded(page)
-    keys = bounded_broadcast(page.select("order_id"), max_rows)
-    counts = (t.order_items.select("order_id", "order_item_id")
-              .join(keys, "order_id", "left_semi")
+    counts = (restrict_to_keys(t.order_items.select("order_id", "order_item_id"), page, "order_id", max_rows)
               .groupBy("order_id").agg(F.count("order_item_id").alias("item_count")))
     return sort_bounded(attach_counts(page, bounded_broadcast(counts, max_rows), "order_id", "item_count"), newest())
 
@@ -119,8 +118,7 @@ def with_display(page: DataFrame, t: Tables, max_rows: int = 20) -> DataFrame:
     from orderlens.plans.joins import pick_one
 
     page = materialize_bounded(page)
-    keys = bounded_broadcast(page.select("order_id"), max_rows)
-    pays = pick_one(t.payments.join(keys, "order_id", "left_semi"), "order_id", ["payment_id"], "_pay")
+    pays = pick_one(restrict_to_keys(t.payments, page, "order_id", max_rows), "order_id", ["payment_id"], "_pay")
     out = page.join(bounded_broadcast(pays, max_rows), "order_id", "left")
     out = (out.withColumn("payment_status", fmt.or_default(F.col("_pay.payment_status"), "pending"))
             .drop("_pay")

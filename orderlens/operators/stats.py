@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 from orderlens.functions.format import currency
 from orderlens.functions.period import timeline_unit
 from orderlens.functions.predicates import in_period, on_day, prune_months
+from orderlens.plans.joins import restrict_to_key_range
 from orderlens.sources.tables import MONEY, Tables
 
+# Periods short enough that pushing their order-id range into the item scan
+# pays for the one-row bounds query.
+SHORT_PERIODS = ("today", "yesterday", "week", "month", "last_month")
+
 
 def money_sum(col: str | Column) -> Column:
     """``COALESCE(SUM(x), 0)`` summed exactly in decimal, shown as double."""
@@ -58,10 +63,14 @@ def top_items(t: Tables, period: str, as_of: datetime, limit: int | None = 10) -
     shuffled from that side; for a short period AQE turns the join into a
     broadcast from the runtime size.  The aggregate is partial before the
     shuffle, so a best-seller holding a third of all lines costs one row per
-    map task.  Ties are broken by name, then type.
+    map task.  Ties are broken by name, then type.  For short periods the
+    item scan also gets the period's ``order_id`` range as a pushed filter.
     """
     keys = in_period(t.orders.select("order_id", "order_date"), period, as_of).select("order_id")
-    lines = t.order_items.join(keys, "order_id", "left_semi")
+    items = t.order_items
+    if period in SHORT_PERIODS:
+        items = restrict_to_key_range(items, keys, "order_id")
+    lines = items.join(keys, "order_id", "left_semi")
     agg = lines.groupBy("item_name", "item_type").agg(
         F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("total_quantity"),
         money_sum("total").alias("total_revenue"),

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.plans.joins import restrict_to_key_range
 from orderlens.plans.lineage import materialize
 from orderlens.plans.sequence import with_previous
 
@@ -55,8 +56,11 @@ def apply_status_updates(orders: DataFrame, updates: DataFrame,
     and that touched set is checkpointed once for the three uses below.
     """
     batch_keys = updates.select("order_id").distinct()
-    touched = materialize(orders.select("order_id", F.col("status").alias("_current"))
-                          .join(batch_keys, "order_id", "left_semi"))
+    # the batch's id range is pushed into the orders scan (a superset filter:
+    # recent orders have recent ids, so a micro-batch reads a narrow slice)
+    current = restrict_to_key_range(orders.select("order_id", F.col("status").alias("_current")),
+                                    batch_keys, "order_id")
+    touched = materialize(current.join(batch_keys, "order_id", "left_semi"))
     keys = touched.select("order_id")
     valid = updates.join(keys, "order_id", "left_semi")
     rejects = (updates.join(keys, "order_id", "left_anti")

@@ -67,3 +67,36 @@ def keys_of(df: DataFrame, key: str) -> DataFrame:
 
 def coalesce0(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(0))
+
+
+def restrict_to_keys(child: DataFrame, keys: DataFrame, col: str, max_keys: int,
+                     key_col: str | None = None) -> DataFrame:
+    """Keep the ``child`` rows whose ``col`` is among ``keys`` (a result of at
+    most ``max_keys`` rows by construction, e.g. a checkpointed page).
+
+    The keys become a literal ``IN`` list, which Spark pushes into the parquet
+    scan (row-group statistics, bucket pruning) — a broadcast semi join would
+    still read the whole child table.  Above ``max_keys`` it falls back to a
+    semi join, so no unbounded list ever reaches the driver.
+    """
+    key_col = key_col or col
+    values = [r[0] for r in keys.select(key_col).limit(max_keys + 1).collect()]
+    if len(values) > max_keys:
+        return child.join(keys.select(F.col(key_col).alias(col)), col, "left_semi")
+    values = [v for v in values if v is not None]
+    return child.where(F.col(col).isin(values)) if values else child.where(F.lit(False))
+
+
+def restrict_to_key_range(child: DataFrame, keys: DataFrame, col: str, key_col: str | None = None) -> DataFrame:
+    """Add ``col BETWEEN min(key) AND max(key)`` of ``keys`` to ``child``.
+
+    Always a superset of the semi join it accompanies, so results are
+    unchanged; when ids grow with time (recent orders have recent ids) it lets
+    the child scan skip every row group outside a period's id range.  The
+    bounds are one aggregated row.
+    """
+    key_col = key_col or col
+    lo, hi = keys.agg(F.min(key_col), F.max(key_col)).first()
+    if lo is None:
+        return child.where(F.lit(False))
+    return child.where(F.col(col).between(F.lit(lo), F.lit(hi)))

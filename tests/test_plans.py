@@ -78,3 +78,10 @@ def test_bucketed_tables_join_on_order_id_without_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = stats.top_items(src, "all", AS_OF).collect()
     assert top.collect() == want
+
+
+def test_page_keys_and_period_range_reach_the_item_scan(stored):
+    p = plan(orders.list_orders(stored, page=2))
+    assert "PushedFilters: [In(order_id" in p or "PushedFilters: [IsNotNull(order_id), In(order_id" in p
+    p = plan(stats.top_items(stored, "month", AS_OF))
+    assert "GreaterThanOrEqual(order_id," in p and "LessThanOrEqual(order_id," in p
