@@ -654,3 +654,16 @@ FROM (
 
 register("order_logs_desc", ORACLE["status_updates_log"])(
     lambda t: dossiers.order_logs_sorted(updates.apply_status_updates(t.orders, t.status_updates).logs))
+
+
+# --- V6 bundle: the statistics page in one pass over orders ----------------------------
+
+for _p, _u, _tl in (("month", "day", "month_day"), ("today", "hour", "today_hour"), ("all", "month", "all_month")):
+    register(f"statistics_{_p}_totals", ORACLE[f"totals_{_p}"])(
+        lambda t, p=_p: stats.order_statistics(t, p, AS_OF).totals)
+    register(f"statistics_{_p}_timeline", ORACLE[f"timeline_{_tl}"])(
+        lambda t, p=_p: stats.order_statistics(t, p, AS_OF).orders_timeline)
+register("statistics_month_status", ORACLE["status_distribution_month"])(
+    lambda t: stats.order_statistics(t, "month", AS_OF).status_distribution)
+register("statistics_all_status", ORACLE["status_distribution_all"])(
+    lambda t: stats.order_statistics(t, "all", AS_OF).status_distribution)

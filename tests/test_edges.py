@@ -134,3 +134,17 @@ def test_catalogue_final_price_and_unsold(spark):
     assert rows[1]["total_quantity"] == 3 and rows[1]["description_short"] == "x" * 50 + "..."
     assert rows[2]["times_ordered"] == 0 and rows[2]["total_quantity"] is None
     assert rows[2]["status_badge"] == "danger"
+
+
+def test_statistics_bundle_on_empty_period(spark):
+    t = make_tables(spark, users=[user(1)], orders=[order(1, when=datetime(1999, 1, 1))])
+    st = stats.order_statistics(t, "today", AS_OF)
+    assert tuple(st.totals.first()) == (0, 0.0, 0.0)
+    assert st.status_distribution.count() == 0 and st.orders_timeline.count() == 0
+
+
+def test_statistics_bundle_keeps_null_status_group(spark):
+    t = make_tables(spark, users=[user(1)], orders=[order(1, status=None), order(2), order(3)])
+    st = stats.order_statistics(t, "all", AS_OF)
+    assert {r["status"]: r["count"] for r in st.status_distribution.collect()} == {None: 1, "pending": 2}
+    assert st.totals.first()["total_orders"] == 3
