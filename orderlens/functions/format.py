@@ -6,6 +6,8 @@ whole DataFrames; no Python UDFs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +47,11 @@ STATUS_COLOR = {
 }
 DEFAULT_BADGE = "secondary"
 DEFAULT_COLOR = "#6c757d"
+MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 # -----------------------------------------------------------------------------
 
+_TOKEN = re.compile(r"yyyy|MMM|MM|dd|HH|hh|mm|ss|a|.", re.S)
+
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -58,6 +63,31 @@ def currency(col: str | Column) -> Column:
     return F.concat(F.lit(CURRENCY_SIGN), F.format_number(amount, 2))
 
 
+def format_ntz(col: str | Column, pattern: str) -> Column:
+    """A ``timestamp_ntz`` as text in a date pattern (``yyyy MM MMM dd HH hh mm
+    ss a``; other characters are literal).  NULL stays NULL.
+
+    ``date_format`` casts NTZ values through the session time zone, which
+    moves wall times inside a daylight-saving gap by an hour; here the text
+    is composed from the value's own zone-free string form instead.
+    """
+    s = _c(col).cast("timestamp_ntz").cast("string")  # yyyy-MM-dd HH:mm:ss[.f]
+    hour = F.substring(s, 12, 2).cast("int")
+    fields = {
+        "yyyy": F.substring(s, 1, 4),
+        "MM": F.substring(s, 6, 2),
+        "MMM": F.element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), F.substring(s, 6, 2).cast("int")),
+        "dd": F.substring(s, 9, 2),
+        "HH": F.substring(s, 12, 2),
+        "hh": F.lpad(((hour + 11) % 12 + 1).cast("string"), 2, "0"),
+        "mm": F.substring(s, 15, 2),
+        "ss": F.substring(s, 18, 2),
+        "a": F.when(hour < 12, F.lit("AM")).otherwise(F.lit("PM")),
+    }
+    parts = [fields.get(tok, F.lit(tok)) for tok in _TOKEN.findall(pattern)]
+    return F.when(s.isNotNull(), F.concat(*parts))
+
+
 def to_display_zone(col: str | Column) -> Column:
     """A naive timestamp taken as UTC, shown in IST (NULL stays NULL)."""
     return F.convert_timezone(F.lit(STORAGE_ZONE), F.lit(DISPLAY_ZONE), _c(col).cast("timestamp_ntz"))
@@ -70,19 +100,20 @@ def datetime_text(col: str | Column, fmt: str = DATETIME_FORMAT, convert: bool =
     UTC to IST first, as the richer layer does.
     """
     ts = to_display_zone(col) if convert else _c(col)
-    return F.coalesce(F.date_format(ts, fmt), F.lit(""))
+    return F.coalesce(format_ntz(ts, fmt), F.lit(""))
 
 
 def datetime_text_from_string(col: str | Column, fmt: str = DATETIME_FORMAT) -> Column:
     """Text input; text that does not parse is returned unchanged."""
     s = _c(col)
-    parsed = F.try_to_timestamp(s, F.lit(TEXT_TIMESTAMP_FORMAT))
-    return F.coalesce(F.date_format(parsed, fmt), s, F.lit(""))
+    shape = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"  # what strptime(TEXT_TIMESTAMP_FORMAT) takes
+    parsed = F.when(s.rlike(shape), s.try_cast("timestamp_ntz"))
+    return F.coalesce(format_ntz(parsed, fmt), s, F.lit(""))
 
 
 def datetime_text_or_na(col: str | Column, fmt: str = DATETIME_FORMAT) -> Column:
     """Browser formatting with 'N/A' for missing values."""
-    return F.coalesce(F.date_format(to_display_zone(col), fmt), F.lit("N/A"))
+    return F.coalesce(format_ntz(to_display_zone(col), fmt), F.lit("N/A"))
 
 
 def truncate(col: str | Column, n: int) -> Column:

@@ -31,8 +31,8 @@ def chart_timeline(timeline: DataFrame, max_points: int | None = MAX_TIMELINE_PO
     reference does (``None`` keeps all).
     """
     is_date = isinstance(timeline.schema["period"].dataType, T.DateType)
-    label = (F.date_format("period", "yyyy-MM-dd") if is_date
-             else F.date_format("period", fmt.CHART_LABEL_FORMAT))
+    label = (F.col("period").cast("string") if is_date
+             else fmt.format_ntz("period", fmt.CHART_LABEL_FORMAT))
     rows = timeline.orderBy(F.asc_nulls_first("period"))
     if max_points is not None:
         rows = rows.limit(max_points)

@@ -180,7 +180,7 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists",
     spark = tables.orders.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = root.rstrip("/")
-    orders = tables.orders.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
+    orders = tables.orders.withColumn("order_month", F.substring(F.col("order_date").cast("string"), 1, 7))
     (orders.repartitionByRange(n, "order_month", "order_id").sortWithinPartitions("order_month", "order_id")
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("order_month").parquet(f"{base}/orders"))

@@ -59,3 +59,17 @@ def test_map_link_image_location_signature(spark):
                      fmt.signature_mask("sig")).collect()
     assert tuple(rows[0]) == ("https://www.google.com/maps?q=12,-3", "http://a/b.png", "Pune, MH", "s" * 30 + "...")
     assert tuple(rows[1]) == (None, fmt.DEFAULT_IMAGE, "N/A", None)
+
+
+def test_formatting_ignores_session_zone_in_dst_gap(spark):
+    """02:43 on 6 Apr 1997 does not exist in Los Angeles; a naive wall time
+    must still print as written whatever the session zone is."""
+    df = spark.createDataFrame([("1997-04-06 02:43:39",)], "s string").select(F.col("s").cast("timestamp_ntz").alias("v"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        row = df.select(fmt.datetime_text("v"), fmt.datetime_text("v", fmt.TIME_FORMAT),
+                        fmt.format_ntz("v", "yyyy-MM-dd HH:mm:ss")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert tuple(row) == ("06 Apr 1997, 02:43 AM", "02:43 AM", "1997-04-06 02:43:39")
