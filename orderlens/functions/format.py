@@ -116,6 +116,16 @@ def datetime_text_or_na(col: str | Column, fmt: str = DATETIME_FORMAT) -> Column
     return F.coalesce(format_ntz(to_display_zone(col), fmt), F.lit("N/A"))
 
 
+def browser_datetime_text(col: str | Column, fmt: str = DATETIME_FORMAT) -> Column:
+    """X6 for text input (``formatDateTime``): 'N/A' when missing or empty,
+    the text itself when it is not a date, else the IST rendering."""
+    s = _c(col)
+    shape = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?$"
+    parsed = F.when(s.rlike(shape), F.regexp_replace(s, "T", " ").try_cast("timestamp_ntz"))
+    shown = F.coalesce(format_ntz(to_display_zone(parsed), fmt), s)
+    return F.when(s.isNull() | (s == ""), F.lit("N/A")).otherwise(shown)
+
+
 def truncate(col: str | Column, n: int) -> Column:
     """First ``n`` characters plus '...' when longer, else unchanged."""
     c = _c(col)

@@ -73,3 +73,9 @@ def test_formatting_ignores_session_zone_in_dst_gap(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert tuple(row) == ("06 Apr 1997, 02:43 AM", "02:43 AM", "1997-04-06 02:43:39")
+
+
+def test_browser_datetime_text(spark):
+    df = spark.createDataFrame([("2001-07-31T13:05:00",), ("2001-07-31 13:05",), ("soon",), ("",), (None,)], "v string")
+    got = [r[0] for r in df.select(fmt.browser_datetime_text("v")).collect()]
+    assert got == ["31 Jul 2001, 06:35 PM", "31 Jul 2001, 06:35 PM", "soon", "N/A", "N/A"]
