@@ -1,11 +1,12 @@
 """V1, V2: today's orders and the searchable, paged order list with counts.
 
 Plan shape for every list: filter orders (pushed into the scan), take the
-ordered page as a top-k (TakeOrderedAndProject, no global sort), then count
-items for the page's keys only.  The page has at most ``per_page`` rows, so
-it is broadcast into the item scan as a semi-join key set and the item table
-is never shuffled whole.  ``item_count`` takes no part in filtering or
-ordering, so counting after paging gives the reference's result.
+ordered page as a top-k (TakeOrderedAndProject, no global sort), checkpoint
+that page once, then count items for the page's keys only.  The page has at
+most ``per_page`` rows, so its keys reach the item scan as a pushed ``IN``
+filter (row-group statistics, bucket pruning) and the item table is never
+shuffled whole.  ``item_count`` takes no part in filtering or ordering, so
+counting after paging gives the reference's result.
 """
 
 from __future__ import annotations
