@@ -135,6 +135,26 @@ def order_logs_sorted(logs: DataFrame, ids=None) -> DataFrame:
     return _only(logs, "order_id", ids).orderBy("order_id", F.desc_nulls_first("created_at"), F.desc("log_id"))
 
 
+def order_item_chunks(t: Tables, ids=None, chunk_size: int = 500, counts: DataFrame | None = None) -> DataFrame:
+    """J11 + A17: each order's named items as sorted arrays of about
+    ``chunk_size`` elements, ``(order_id, part, parts, items)``."""
+    counts = counts if counts is not None else item_counts_by_order(t, ids)
+    items = named_items(t, ids)
+    payload = [c for c in items.columns if c not in ("order_id", "order_item_id", "item_id", "total")]
+    return nest_chunks(items, "order_id", ["order_item_id", "item_id", "total"], payload,
+                       chunk_size, alias="items", counts=counts.select("order_id", "_n"))
+
+
+def address_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
+    """J8 + O7 + A17: each user's addresses, default first, as sorted arrays
+    of about ``chunk_size`` elements, ``(user_id, part, parts, addresses)``."""
+    from orderlens.operators.customers import addresses_ranked
+
+    addr = _only(addresses_ranked(t), "user_id", ids)
+    payload = [c for c in addr.columns if c not in ("user_id", "default_rank", "id")]
+    return nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
+
+
 def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame | None = None) -> DataFrame:
     """Dossiers as JSON documents ``(order_id, section, part, parts, json)``.
 
@@ -151,10 +171,7 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
         F.lit(1).cast("long").alias("parts"),
         F.struct(*order_cols, "order_date_formatted", "total_amount_formatted", "item_count").alias("order"),
         "customer", "payment"), "order_id")
-    items = named_items(t, ids)
-    item_payload = [c for c in items.columns if c not in ("order_id", "order_item_id", "item_id", "total")]
-    item_chunks = nest_chunks(items, "order_id", ["order_item_id", "item_id", "total"], item_payload,
-                              chunk_size, alias="items", counts=counts.select("order_id", "_n"))
+    item_chunks = order_item_chunks(t, ids, chunk_size, counts)
     item_docs = _document(item_chunks.select("order_id", F.lit("items").alias("section"), "part", "parts",
                                              "items"), "order_id")
     docs = head_doc.unionByName(item_docs)
@@ -210,7 +227,7 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
     """V5 as JSON documents ``(user_id, section, part, parts, json)``: the user
     with totals, the last 10 orders (bounded by construction), and the
     addresses (chunked)."""
-    from orderlens.operators.customers import addresses_ranked, customer_stats, recent_orders
+    from orderlens.operators.customers import customer_stats, recent_orders
 
     users = _only(t.users, "id", ids)
     stats = customer_stats(t.with_tables(users=users))
@@ -228,10 +245,8 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("recent_rank", *order_cols))).alias("orders"))
         .select("user_id", F.lit("orders").alias("section"), F.lit(0).cast("long").alias("part"),
                 F.lit(1).cast("long").alias("parts"), "orders"), "user_id")
-    addr = _only(addresses_ranked(t), "user_id", ids)
-    payload = [c for c in addr.columns if c not in ("user_id", "default_rank", "id")]
     addr_docs = _document(
-        nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
+        address_chunks(t, ids, chunk_size)
         .select("user_id", F.lit("addresses").alias("section"), "part", "parts", "addresses"), "user_id")
     return head.unionByName(recent_docs).unionByName(addr_docs)
 

@@ -667,3 +667,15 @@ register("statistics_month_status", ORACLE["status_distribution_month"])(
     lambda t: stats.order_statistics(t, "month", AS_OF).status_distribution)
 register("statistics_all_status", ORACLE["status_distribution_all"])(
     lambda t: stats.order_statistics(t, "all", AS_OF).status_distribution)
+
+
+# --- nested dossier parts, compared flattened ------------------------------------------
+
+def _exploded(chunks: DataFrame, key: str, alias: str) -> DataFrame:
+    return chunks.select(key, F.explode(alias).alias("_e")).select(key, "_e.*")
+
+
+register("order_item_chunks_flat", ORACLE["order_items_named"])(
+    lambda t: _exploded(dossiers.order_item_chunks(t, chunk_size=3), "order_id", "items"))
+register("address_chunks_flat", ORACLE["customer_addresses"])(
+    lambda t: _exploded(dossiers.address_chunks(t, chunk_size=1), "user_id", "addresses"))
