@@ -148,3 +148,9 @@ def test_statistics_bundle_keeps_null_status_group(spark):
     st = stats.order_statistics(t, "all", AS_OF)
     assert {r["status"]: r["count"] for r in st.status_distribution.collect()} == {None: 1, "pending": 2}
     assert st.totals.first()["total_orders"] == 3
+
+
+def test_jdbc_reader_requires_bounds_for_parallel_reads(spark):
+    from orderlens.sources.tables import read_jdbc_table
+    with pytest.raises(ValueError):
+        read_jdbc_table(spark, "jdbc:postgresql://db/shop", "orders", {"user": "u"}, partition_column="order_id")
