@@ -2,7 +2,6 @@
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from orderlens.functions import format as fmt
 
