@@ -14,6 +14,11 @@ nothing else.  Readers see committed batches only.  The current status of an
 order is the base snapshot overridden by its newest committed delta, found
 with a partial aggregate (``max(struct(batch_id, ...))``), so cost follows
 the number of changes, not the size of ``orders``.
+
+:func:`compact` folds the deltas up to a batch into a new base snapshot
+(``_bases/batch_id=N``, committed by its own marker written last); readers
+then start from the newest committed base and aggregate only later deltas,
+so the override aggregate does not grow with the whole history.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ def _path(root: str, section: str) -> str:
     return f"{root.rstrip('/')}/{section}"
 
 
-def committed(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+def committed(spark: SparkSession, root: str, before: int | None = None,
+              marker: str = "_commits") -> DataFrame | None:
     """Committed batch ids (optionally those below ``before``), or None."""
     try:
-        commits = spark.read.parquet(_path(root, "_commits")).select("batch_id").distinct()
+        commits = spark.read.parquet(_path(root, marker)).select("batch_id").distinct()
     except Exception:  # no batch committed yet
         return None
     if before is not None:
@@ -41,10 +47,13 @@ def committed(spark: SparkSession, root: str, before: int | None = None) -> Data
     return commits
 
 
-def _read_section(spark: SparkSession, root: str, section: str, before: int | None = None) -> DataFrame | None:
+def _read_section(spark: SparkSession, root: str, section: str, before: int | None = None,
+                  after: int | None = None) -> DataFrame | None:
     commits = committed(spark, root, before)
     if commits is None:
         return None
+    if after is not None:
+        commits = commits.where(F.col("batch_id") > after)
     try:
         df = spark.read.parquet(_path(root, section))
     except Exception:
@@ -52,6 +61,14 @@ def _read_section(spark: SparkSession, root: str, section: str, before: int | No
     return df.join(commits, "batch_id", "left_semi")
 
 
+def _latest_base(spark: SparkSession, root: str, before: int | None) -> int | None:
+    """Newest committed compaction below ``before`` (one aggregated row)."""
+    bases = committed(spark, root, before, marker="_base_commits")
+    if bases is None:
+        return None
+    return bases.agg(F.max("batch_id")).first()[0]
+
+
 def write_batch(spark: SparkSession, root: str, batch_id: int, result: StatusUpdateResult) -> None:
     for section, df in (("status_delta", result.changes), ("order_logs", result.logs),
                         ("rejects", result.rejects)):
@@ -60,9 +77,11 @@ def write_batch(spark: SparkSession, root: str, batch_id: int, result: StatusUpd
     marker.write.mode("overwrite").parquet(f"{_path(root, '_commits')}/batch_id={batch_id}")
 
 
-def overrides(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Newest committed status per changed order: ``(order_id, _new)``."""
-    delta = _read_section(spark, root, "status_delta", before)
+def overrides(spark: SparkSession, root: str, before: int | None = None,
+              after: int | None = None) -> DataFrame | None:
+    """Newest committed status per changed order: ``(order_id, _new)``,
+    over deltas with ``after < batch_id < before``."""
+    delta = _read_section(spark, root, "status_delta", before, after)
     if delta is None:
         return None
     last = delta.groupBy("order_id").agg(F.max(F.struct("batch_id", "created_at", "update_id", "status")).alias("_l"))
@@ -70,11 +89,28 @@ def overrides(spark: SparkSession, root: str, before: int | None = None) -> Data
 
 
 def current_orders(spark: SparkSession, base: DataFrame, root: str, before: int | None = None) -> DataFrame:
-    """The base orders with every committed change (below ``before``) applied."""
-    ov = overrides(spark, root, before)
+    """The orders with every committed change (below ``before``) applied:
+    the newest compacted base if there is one, else ``base``, overridden by
+    the later committed deltas."""
+    compacted = _latest_base(spark, root, before)
+    if compacted is not None:
+        base = spark.read.parquet(f"{_path(root, '_bases')}/batch_id={compacted}")
+    ov = overrides(spark, root, before, after=compacted)
     return base if ov is None else current_status(base, ov)
 
 
+def compact(spark: SparkSession, base: DataFrame, root: str, upto: int) -> None:
+    """Write the orders as of committed batch ``upto`` as a new base.
+
+    A full rewrite of the orders table, meant to run rarely (e.g. daily);
+    the marker is written last, so readers switch only to a complete base.
+    """
+    snapshot = current_orders(spark, base, root, before=upto + 1)
+    snapshot.write.mode("overwrite").parquet(f"{_path(root, '_bases')}/batch_id={upto}")
+    marker = spark.range(1).select(F.lit(True).alias("committed"))
+    marker.write.mode("overwrite").parquet(f"{_path(root, '_base_commits')}/batch_id={upto}")
+
+
 def read_logs(spark: SparkSession, root: str) -> DataFrame | None:
     logs = _read_section(spark, root, "order_logs")
     return None if logs is None else logs.drop("batch_id")
