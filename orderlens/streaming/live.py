@@ -84,11 +84,12 @@ def live_timeline(spark: SparkSession, orders_stream: DataFrame, root: str | Non
 
 def start_status_updates(updates_stream: DataFrame, base_orders: DataFrame, root: str,
                          checkpoint: str | None = None, processing_time: str | None = None,
-                         num_partitions: int | None = None) -> StreamingQuery:
+                         num_partitions: int | None = None, compact_every: int | None = None) -> StreamingQuery:
     """Run ST2: apply each micro-batch of status updates and commit it.
 
     Batch N reads the status as committed by batches < N, so a replayed batch
-    sees the same input and rewrites the same output.
+    sees the same input and rewrites the same output.  ``compact_every=k``
+    folds the deltas into a new base snapshot after every k-th batch.
     """
     spark = base_orders.sparkSession
 
@@ -96,6 +97,8 @@ def start_status_updates(updates_stream: DataFrame, base_orders: DataFrame, root
         current = status_store.current_orders(spark, base_orders, root, before=batch_id)
         result = apply_status_updates(current, batch, num_partitions)
         status_store.write_batch(spark, root, batch_id, result)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            status_store.compact(spark, base_orders, root, upto=batch_id)
 
     writer = (updates_stream.writeStream.foreachBatch(apply)
               .option("checkpointLocation", checkpoint or f"{root}/_checkpoint"))
