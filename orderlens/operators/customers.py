@@ -49,7 +49,7 @@ def _attach(users: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def customer_metrics(t: Tables) -> DataFrame:
     """A2 + J2 over all users: orders, spend and last order date per user."""
-    return _attach(t.users, _lifetime(t.orders.select("user_id", "order_id", "total_amount", "order_date")))
+    return _attach(t.users, _lifetime(t.user_orders.select("user_id", "order_id", "total_amount", "order_date")))
 
 
 def filtered_users(t: Tables, search: str | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def list_customers(t: Tables, page: int = 1, per_page: int = 20, search: str | N
     """
     check_page(page, per_page)
     top = materialize_bounded(offset_page(filtered_users(t, search), newest_users(), page, per_page))
-    orders = restrict_to_keys(t.orders.select("user_id", "order_id", "total_amount", "order_date"),
+    orders = restrict_to_keys(t.user_orders.select("user_id", "order_id", "total_amount", "order_date"),
                               top, "user_id", per_page, key_col="id")
     metrics = bounded_broadcast(_lifetime(orders), per_page)
     return sort_bounded(_attach(top, metrics), newest_users())
@@ -80,7 +80,7 @@ def count_customers(t: Tables, search: str | None = None) -> DataFrame:
 def customer_stats(t: Tables) -> DataFrame:
     """A12 for every user: order count, spend and average order value, zeros
     for users without orders."""
-    metrics = _lifetime(t.orders.select("user_id", "order_id", "total_amount"), with_avg=True)
+    metrics = _lifetime(t.user_orders.select("user_id", "order_id", "total_amount"), with_avg=True)
     return _attach(t.users.select("id"), metrics).withColumnRenamed("id", "user_id")
 
 
@@ -92,7 +92,7 @@ def recent_orders(t: Tables, n: int = RECENT_ORDERS) -> DataFrame:
     with a third of all orders costs ``n`` rows per task, not the whole group.
     """
     w = Window.partitionBy("user_id").orderBy(F.desc_nulls_first("order_date"), F.desc("order_id"))
-    ranked = t.orders.where(F.col("user_id").isNotNull()).withColumn("recent_rank", F.row_number().over(w))
+    ranked = t.user_orders.where(F.col("user_id").isNotNull()).withColumn("recent_rank", F.row_number().over(w))
     return ranked.where(F.col("recent_rank") <= n)
 
 

@@ -238,7 +238,8 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
         F.struct("total_orders", "total_spent", "avg_order_value",
                  fmt.currency("total_spent").alias("total_spent_formatted"),
                  fmt.currency("avg_order_value").alias("avg_order_value_formatted")).alias("stats")), "user_id")
-    recent = recent_orders(t.with_tables(orders=_only(t.orders, "user_id", ids)))
+    recent = recent_orders(t.with_tables(orders=_only(t.orders, "user_id", ids),
+                                         orders_by_user=_only(t.user_orders, "user_id", ids)))
     order_cols = [c for c in recent.columns if c not in ("user_id", "recent_rank")]
     recent_docs = _document(
         recent.groupBy("user_id")
@@ -283,4 +284,6 @@ def customer_dossiers(t: Tables, ids=None) -> CustomerDossiers:
     stats = customer_stats(t.with_tables(users=users)).withColumnRenamed("user_id", "id")
     return CustomerDossiers(users=users.join(stats, "id", "left"),
                             addresses=_only(addresses_ranked(t), "user_id", ids),
-                            recent_orders=recent_orders(t.with_tables(orders=_only(t.orders, "user_id", ids))))
+                            recent_orders=recent_orders(t.with_tables(
+                                orders=_only(t.orders, "user_id", ids),
+                                orders_by_user=_only(t.user_orders, "user_id", ids))))

@@ -109,6 +109,14 @@ class Tables:
     menu: DataFrame
     order_logs: DataFrame | None = None
     status_updates: DataFrame | None = None
+    # optional second copy of ``orders`` laid out by ``user_id`` (bucketed),
+    # used by the per-customer operators when present
+    orders_by_user: DataFrame | None = None
+
+    @property
+    def user_orders(self) -> DataFrame:
+        """Orders for per-user access: the user-bucketed copy if present."""
+        return self.orders_by_user if self.orders_by_user is not None else self.orders
 
     def with_tables(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)
@@ -140,6 +148,7 @@ def read_parquet_tables(spark: SparkSession, root: str) -> Tables:
         orders=read("orders"), order_items=read("order_items"), users=read("users"),
         addresses=read("addresses"), payments=read("payments"), services=read("services"),
         menu=read("menu"), order_logs=read("order_logs", False), status_updates=read("status_updates", False),
+        orders_by_user=read("orders_by_user", False),
     )
 
 
@@ -186,7 +195,7 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists",
      .partitionBy("order_month").parquet(f"{base}/orders"))
     by_key = {"order_items": "order_id", "payments": "order_id", "addresses": "user_id",
               "users": "id", "services": "id", "menu": "id", "order_logs": "order_id",
-              "status_updates": "order_id"}
+              "status_updates": "order_id", "orders_by_user": "user_id"}
     for name in tables.names():
         if name == "orders":
             continue
@@ -201,6 +210,7 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists",
 BUCKET_KEYS = {
     "orders": "order_id", "order_items": "order_id", "payments": "order_id", "order_logs": "order_id",
     "status_updates": "order_id", "users": "id", "addresses": "user_id", "services": "id", "menu": "id",
+    "orders_by_user": "user_id",
 }
 
 
@@ -209,11 +219,16 @@ def write_bucketed_tables(tables: Tables, database: str, buckets: int, mode: str
 
     Joins and aggregations on ``order_id`` between orders, items, payments
     and logs then read co-partitioned buckets instead of shuffling either
-    side (``spark.sql.sources.bucketing.enabled``).  Choose ``buckets`` so a
+    side (``spark.sql.sources.bucketing.enabled``).  A second copy of orders,
+    ``orders_by_user``, is bucketed by ``user_id``: per-customer aggregates
+    need no shuffle and a customer page's ``user_id IN (...)`` reads only the
+    buckets holding those users.  Choose ``buckets`` so a
     bucket of the largest table fits a task comfortably (e.g. 100-200 MB).
     """
     spark = tables.orders.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    if tables.orders_by_user is None:
+        tables = tables.with_tables(orders_by_user=tables.orders)
     for name in tables.names():
         key = BUCKET_KEYS[name]
         (getattr(tables, name).write.mode(mode).format("parquet")
@@ -234,4 +249,5 @@ def read_catalog_tables(spark: SparkSession, database: str) -> Tables:
         orders=table("orders"), order_items=table("order_items"), users=table("users"),
         addresses=table("addresses"), payments=table("payments"), services=table("services"),
         menu=table("menu"), order_logs=table("order_logs", False), status_updates=table("status_updates", False),
+        orders_by_user=table("orders_by_user", False),
     )

@@ -85,3 +85,23 @@ def test_page_keys_and_period_range_reach_the_item_scan(stored):
     assert "PushedFilters: [In(order_id" in p or "PushedFilters: [IsNotNull(order_id), In(order_id" in p
     p = plan(stats.top_items(stored, "month", AS_OF))
     assert "GreaterThanOrEqual(order_id," in p and "LessThanOrEqual(order_id," in p
+
+
+def test_user_bucketed_orders_prune_buckets_and_skip_shuffles(spark):
+    from orderlens.sources.tables import read_catalog_tables, write_bucketed_tables
+
+    src = shop_tables(spark, SF_SMALL)
+    write_bucketed_tables(src, "shop_by_user", 8, mode="overwrite")
+    t = read_catalog_tables(spark, "shop_by_user")
+    assert t.orders_by_user is not None
+    page = customers.list_customers(t, page=1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(customers.list_customers(t, page=1))
+        assert "SelectedBucketsCount" in p and "out of 8" in p
+        assert "Exchange hashpartitioning(user_id" not in plan(customers.customer_stats(t))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert page.collect() == customers.list_customers(src, page=1).collect()
