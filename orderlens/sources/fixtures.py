@@ -124,7 +124,14 @@ def _derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
-def shop_tables(spark: SparkSession, sf_dir: str) -> Tables:
+# Spark conf switch: write the derived tables once per session and read them
+# back (default), or derive them inside every query ("false").
+MATERIALIZE_CONF = "orderlens.fixtures.materialize"
+_TABLES_CACHE: dict[tuple[str, str], Tables] = {}
+
+
+def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived shop tables as lazy DataFrames over the source files."""
     d = derive(spark, sf_dir)
     return Tables(
         orders=d["shop_orders"], order_items=d["order_items"], users=d["users"],
@@ -133,6 +140,39 @@ def shop_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def shop_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The shop tables for ``sf_dir``.
+
+    By default they are derived once per session and folder and written as
+    parquet (range-partitioned by key, so scans run in parallel) under the
+    session's ``spark.checkpoint.dir``; every query then reads those files,
+    as it would read the shop's stored tables.  With
+    ``orderlens.fixtures.materialize=false`` every query derives them from the
+    source files instead.
+    """
+    if spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
+        return derived_tables(spark, sf_dir)
+    key = (f"{spark.sparkContext.applicationId}:{id(spark)}", sf_dir.rstrip("/"))
+    if key not in _TABLES_CACHE:
+        _TABLES_CACHE[key] = _materialize(spark, derived_tables(spark, sf_dir))
+    return _TABLES_CACHE[key]
+
+
+def _materialize(spark: SparkSession, tables: Tables) -> Tables:
+    import uuid
+
+    from orderlens.session import ensure_checkpoint_dir
+    from orderlens.sources.tables import BUCKET_KEYS, read_parquet_tables
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shop-tables-{uuid.uuid4().hex[:12]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in tables.names():
+        key = BUCKET_KEYS[name]
+        (getattr(tables, name).repartitionByRange(n, key).sortWithinPartitions(key)
+         .write.mode("errorifexists").parquet(f"{root}/{name}"))
+    return read_parquet_tables(spark, root)
+
+
 @lru_cache(maxsize=None)
 def _closure(names: tuple[str, ...]) -> tuple[str, ...]:
     ordered: list[str] = []

@@ -30,3 +30,15 @@ def test_every_query_has_an_oracle_unless_listed():
 def test_query_matches_oracle(spark, con, name):
     res = compare(QS[name](spark, SF_SMALL), con, ORC[name])
     assert res["ok"], res
+
+
+@pytest.mark.parametrize("name", ["top_items_all", "orders_page", "customer_metrics", "status_updates_log"])
+def test_query_matches_oracle_when_derived_in_query(spark, con, name):
+    """The same queries with the shop tables derived inside the query plan
+    (no materialized copy)."""
+    spark.conf.set("orderlens.fixtures.materialize", "false")
+    try:
+        res = compare(QS[name](spark, SF_SMALL), con, ORC[name])
+    finally:
+        spark.conf.unset("orderlens.fixtures.materialize")
+    assert res["ok"], res
