@@ -165,7 +165,9 @@ def _materialize(spark: SparkSession, tables: Tables) -> Tables:
     from orderlens.sources.tables import BUCKET_KEYS, read_parquet_tables
 
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shop-tables-{uuid.uuid4().hex[:12]}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one file per core: enough for parallel scans, not a file per shuffle
+    # partition of a 200-partition default session
+    n = max(1, spark.sparkContext.defaultParallelism)
     for name in tables.names():
         key = BUCKET_KEYS[name]
         (getattr(tables, name).repartitionByRange(n, key).sortWithinPartitions(key)
