@@ -679,3 +679,26 @@ register("order_item_chunks_flat", ORACLE["order_items_named"])(
     lambda t: _exploded(dossiers.order_item_chunks(t, chunk_size=3), "order_id", "items"))
 register("address_chunks_flat", ORACLE["customer_addresses"])(
     lambda t: _exploded(dossiers.address_chunks(t, chunk_size=1), "user_id", "addresses"))
+
+
+# --- remaining periods, unfiltered counts, keyset paging ------------------------------
+
+for _p in ("yesterday", "last_month"):
+    register(f"top_items_{_p}", _top_items_sql(_p))(lambda t, p=_p: stats.top_items(t, p, AS_OF))
+for _p in ("today", "yesterday", "week", "last_month"):
+    register(f"status_distribution_{_p}", _status_sql(_p))(
+        lambda t, p=_p: stats.status_distribution(t, p, AS_OF))
+
+register("orders_count_all", oracle_prelude("shop_orders") + """
+SELECT COUNT(*) AS total FROM shop_orders""")(lambda t: orders.count_orders(t))
+register("customers_count_all", oracle_prelude("users") + """
+SELECT COUNT(*) AS total FROM users""")(lambda t: customers.count_customers(t))
+
+
+def _keyset_second_page(t):
+    """Page 2 reached by seeking past the last row of page 1."""
+    last = orders.list_orders(t, page=1).orderBy(F.asc_nulls_last("order_date"), F.asc("order_id")).first()
+    return orders.list_orders(t, after=(last["order_date"], last["order_id"]))
+
+
+register("orders_keyset_page", _orders_list_sql(orders.LIST_COLUMNS, "TRUE", 20, 20))(_keyset_second_page)
