@@ -34,3 +34,4 @@ for name, fn in qs.items():
     bad += not r["ok"]
     print(name, json.dumps(r, default=str), flush=True)
 print("FAILED" if bad else "ALL OK", bad, "of", len(qs))
+sys.exit(1 if bad else 0)

@@ -137,3 +137,14 @@ def test_status_store_compaction(spark, t, tmp_path):
     got = status_store.current_orders(spark, t.orders, root)
     assert got.exceptAll(whole.snapshot).count() == 0 and whole.snapshot.exceptAll(got).count() == 0
     assert status_store.read_logs(spark, root).exceptAll(whole.logs).count() == 0
+
+
+def test_customer_pages_concatenate_to_unpaged_list(t):
+    from orderlens.operators import customers
+
+    total = customers.count_customers(t).first()["total"]
+    seen = []
+    for page in range(1, total // 20 + 2):
+        seen += [r["id"] for r in customers.list_customers(t, page=page).collect()]
+    full = [r["id"] for r in t.users.orderBy(F.desc_nulls_first("created_at"), F.desc("id")).collect()]
+    assert seen == full
