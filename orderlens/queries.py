@@ -702,3 +702,16 @@ def _keyset_second_page(t):
 
 
 register("orders_keyset_page", _orders_list_sql(orders.LIST_COLUMNS, "TRUE", 20, 20))(_keyset_second_page)
+
+
+register("fmt_browser_datetime", oracle_prelude("shop_orders") + """
+SELECT order_id, raw,
+  CASE WHEN raw IS NULL OR raw = '' THEN 'N/A'
+    ELSE coalesce(strftime(try_strptime(raw, '%Y-%m-%d %H:%M:%S') + INTERVAL 330 MINUTE, '%d %b %Y, %I:%M %p'), raw)
+  END AS text
+FROM (SELECT order_id, CASE WHEN order_id % 10 = 0 THEN 'not a date' WHEN order_id % 10 = 1 THEN ''
+  ELSE CAST(order_date AS VARCHAR) END AS raw FROM shop_orders)""")(
+    lambda t: t.orders.select("order_id", F.when(F.col("order_id") % 10 == 0, F.lit("not a date"))
+                              .when(F.col("order_id") % 10 == 1, F.lit(""))
+                              .otherwise(F.col("order_date").cast("string")).alias("raw"))
+    .select("order_id", "raw", fmt.browser_datetime_text("raw").alias("text")))

@@ -1,5 +1,7 @@
 """Random inputs: Spark expressions equal the reference's Python rules."""
 
+from datetime import datetime
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -34,3 +36,16 @@ def test_truncate_equals_python_slice(spark, values, n):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r[0] for r in df.select(fmt.truncate("v", n)).collect()]
     assert got == [v[:n] + ("..." if len(v) > n else "") for v in values]
+
+timestamps = st.lists(st.datetimes(min_value=datetime(1000, 1, 1), max_value=datetime(9999, 12, 31)),
+                      min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(timestamps)
+def test_format_ntz_equals_python_strftime(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v timestamp_ntz")
+    rows = df.select(fmt.datetime_text("v"), fmt.datetime_text("v", fmt.CHART_LABEL_FORMAT),
+                     fmt.datetime_text("v", fmt.TIME_FORMAT)).collect()
+    want = [(v.strftime("%d %b %Y, %I:%M %p"), v.strftime("%d %b %I:%M %p"), v.strftime("%I:%M %p")) for v in values]
+    assert [tuple(r) for r in rows] == want
