@@ -1,7 +1,12 @@
 """Run every registered query against its oracle (default sf0.01) and print a
-summary.  ``python tests/check_all.py [sf_dir] [name ...]``"""
+summary.  ``python tests/check_all.py [sf_dir] [name ...]``
+
+``ORDERLENS_CHECK_TZ=America/Los_Angeles`` runs the Spark side in that session
+time zone (results must not depend on it).
+"""
 
 import json
+import os
 import sys
 import time
 
@@ -15,6 +20,8 @@ from orderlens.session import local_session  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 only = set(sys.argv[2:])
 spark = local_session()
+if os.environ.get("ORDERLENS_CHECK_TZ"):
+    spark.conf.set("spark.sql.session.timeZone", os.environ["ORDERLENS_CHECK_TZ"])
 con = duck(sf)
 qs, orc = E.queries(), E.oracle_sql()
 bad = 0
