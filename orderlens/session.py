@@ -49,11 +49,18 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only when
-    the session names none (local runs and tests)."""
+    """Return the session's checkpoint folder.
+
+    A scratch folder is created only for a local-mode session that names none
+    (tests, local runs).  On a cluster a machine-local folder would not be
+    shared by the executors, so an unset ``spark.checkpoint.dir`` is an error.
+    """
     root = checkpoint_root(spark)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                           "(checkpoints, pages and stream outputs are written there)")
     root = tempfile.mkdtemp(prefix="orderlens-ckpt-")
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext.getCheckpointDir() or root
