@@ -114,7 +114,7 @@ def with_display(page: DataFrame, t: Tables, max_rows: int = 20) -> DataFrame:
     """The order list as the page shows it (D8): payment status joined from
     ``payments`` (lowest payment id; 'pending' when none), badges, and
     formatted amount and date.  ``page`` is a bounded page (<= ``max_rows``),
-    so its keys are broadcast into the payments scan."""
+    so its keys reach the payments scan as a pushed ``IN`` filter."""
     from orderlens.functions import format as fmt
     from orderlens.plans.joins import pick_one
 
