@@ -15,7 +15,7 @@ from orderlens.functions.predicates import customer_search
 from orderlens.operators.stats import money_avg, money_sum
 from orderlens.plans.joins import bounded_broadcast, restrict_to_keys
 from orderlens.plans.lineage import materialize_bounded
-from orderlens.plans.paging import check_page, offset_page, sort_bounded
+from orderlens.plans.paging import check_page, keyset_page, offset_page, sort_bounded
 from orderlens.sources.tables import Tables
 
 RECENT_ORDERS = 10
@@ -57,15 +57,21 @@ def filtered_users(t: Tables, search: str | None = None) -> DataFrame:
     return t.users.where(pred) if pred is not None else t.users
 
 
-def list_customers(t: Tables, page: int = 1, per_page: int = 20, search: str | None = None) -> DataFrame:
+def list_customers(t: Tables, page: int = 1, per_page: int = 20, search: str | None = None,
+                   after=None) -> DataFrame:
     """V4: a page of users, newest first, with lifetime metrics.
 
     The page is taken from ``users`` alone (metrics take no part in filtering
     or ordering), then only that page's orders are aggregated: the page's ids
-    reach the orders scan as a pushed ``IN`` filter.
+    reach the orders scan as a pushed ``IN`` filter.  ``after=(created_at,
+    id)`` switches to keyset paging (``page`` is then ignored).
     """
-    check_page(page, per_page)
-    top = materialize_bounded(offset_page(filtered_users(t, search), newest_users(), page, per_page))
+    if after is not None:
+        top = keyset_page(filtered_users(t, search), "created_at", "id", per_page, after)
+    else:
+        check_page(page, per_page)
+        top = offset_page(filtered_users(t, search), newest_users(), page, per_page)
+    top = materialize_bounded(top)
     orders = restrict_to_keys(t.user_orders.select("user_id", "order_id", "total_amount", "order_date"),
                               top, "user_id", per_page, key_col="id")
     metrics = bounded_broadcast(_lifetime(orders), per_page)

@@ -40,10 +40,9 @@ def after_key(date_col: str, id_col: str, last_date, last_id) -> Column:
     d, i = F.col(date_col), F.col(id_col)
     if last_date is None:
         return (d.isNull() & (i < F.lit(last_id))) | d.isNotNull()
-    key = F.lit(last_date)
-    if hasattr(last_date, "hour"):
-        from orderlens.functions.period import ts_lit
-        key = ts_lit(last_date)
+    from orderlens.functions.period import date_lit, ts_lit
+
+    key = ts_lit(last_date) if hasattr(last_date, "hour") else date_lit(last_date)
     return d.isNotNull() & ((d < key) | ((d == key) & (i < F.lit(last_id))))
 
 

@@ -715,3 +715,13 @@ FROM (SELECT order_id, CASE WHEN order_id % 10 = 0 THEN 'not a date' WHEN order_
                               .when(F.col("order_id") % 10 == 1, F.lit(""))
                               .otherwise(F.col("order_date").cast("string")).alias("raw"))
     .select("order_id", "raw", fmt.browser_datetime_text("raw").alias("text")))
+
+
+
+def _keyset_second_customer_page(t):
+    """Customer page 2 reached by seeking past the last row of page 1."""
+    last = customers.list_customers(t, page=1).orderBy(F.asc_nulls_last("created_at"), F.asc("id")).first()
+    return customers.list_customers(t, after=(last["created_at"], last["id"]))
+
+
+register("customers_keyset_page", _customers_sql("TRUE", 20, 20))(_keyset_second_customer_page)
