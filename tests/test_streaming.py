@@ -40,3 +40,30 @@ def test_live_timeline_over_several_batches_equals_batch(spark, tmp_path):
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.coalesce(F.sum("total_amount").cast("double"), F.lit(0.0)).alias("total_revenue")))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_status_update_stream_over_several_batches_equals_batch(spark, tmp_path):
+    """Updates arrive in three time-ordered files (three micro-batches); each
+    batch starts from the statuses committed by the earlier ones, so the log
+    and the final statuses equal one batch application of all updates."""
+    from orderlens.operators import updates
+    from orderlens.sources import status_store
+
+    t = shop_tables(spark, SF_SMALL)
+    ups = t.status_updates
+    q1, q2 = ups.selectExpr("percentile_approx(created_at, array(0.33, 0.66))").first()[0]
+    src = tmp_path / "updates_in"
+    parts = [ups.where(F.col("created_at") <= F.lit(q1)),
+             ups.where((F.col("created_at") > F.lit(q1)) & (F.col("created_at") <= F.lit(q2))),
+             ups.where(F.col("created_at") > F.lit(q2))]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(src / f"batch{i}"))
+    stream = (spark.readStream.schema(ups.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(str(src)))
+    root = str(tmp_path / "st2")
+    logs = live.stream_status_updates(stream, t.orders, root=root)
+    assert status_store.committed(spark, root).count() == 3
+    whole = updates.apply_status_updates(t.orders, ups)
+    assert logs.exceptAll(whole.logs).count() == 0 and whole.logs.exceptAll(logs).count() == 0
+    final = status_store.current_orders(spark, t.orders, root)
+    assert final.exceptAll(whole.snapshot).count() == 0
