@@ -148,3 +148,19 @@ def test_customer_pages_concatenate_to_unpaged_list(t):
         seen += [r["id"] for r in customers.list_customers(t, page=page).collect()]
     full = [r["id"] for r in t.users.orderBy(F.desc_nulls_first("created_at"), F.desc("id")).collect()]
     assert seen == full
+
+
+def test_dashboard_and_chart_bundles(t):
+    from orderlens.operators import charts
+
+    d = stats.dashboard(t, AS_OF)
+    kpis = d.kpis.first()
+    today = d.statistics.totals.first()
+    assert d.kpis.count() == 1 and kpis["pending_orders"] >= 0
+    assert d.todays_orders.count() <= 20 and d.top_items.count() <= 5
+    # the dashboard's whole-day count is at least the count up to as-of
+    assert kpis["today_orders"] >= today["total_orders"]
+    series = charts.chart_series(stats.order_statistics(t, "all", AS_OF))
+    assert set(series) == {"timeline", "items", "status"}
+    assert series["timeline"].count() <= 20 and series["items"].count() <= 10
+    assert series["status"].agg(F.sum("value")).first()[0] == stats.totals(t, "all", AS_OF).first()["total_orders"]
