@@ -39,6 +39,7 @@ def summarize(plan: str) -> dict[str, str]:
         "windows": ", ".join(w for w in ("WindowGroupLimit", "Window ") if w in plan).strip() or "-",
         "top-k": "yes" if "TakeOrderedAndProject" in plan else "-",
         "python": "YES" if ("EvalPython" in plan or "PythonUDF" in plan) else "-",
+        "codegen stages": str(len(set(re.findall(r"\*\((\d+)\)", plan)))),
     }
 
 
@@ -48,7 +49,8 @@ def main() -> None:
     root = tempfile.mkdtemp(prefix="orderlens-plans-")
     write_tables(shop_tables(spark, sf_dir), root)
     t = read_parquet_tables(spark, root)
-    cols = ["hash exchanges", "other exchanges", "broadcasts", "joins", "partial aggs", "windows", "top-k", "python"]
+    cols = ["hash exchanges", "other exchanges", "broadcasts", "joins", "partial aggs", "windows", "top-k", "python",
+            "codegen stages"]
     lines = ["# PLANS", "",
              "Executed (AQE final) physical plans of every registered operator, over shop tables written by",
              f"`write_tables` from `{sf_dir}` (orders partitioned by month, files range-partitioned by key),",
