@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 from oracle_util import compare, duck
+from orderlens.queries import ORACLE, QUERIES
 
-QS = entry.queries()
-ORC = entry.oracle_sql()
+QS = QUERIES
+ORC = ORACLE
 
 
 @pytest.fixture(scope="module")
