@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import exact_dedup, kd_shards, mixing
+from orderlens.llm import bpe, exact_dedup, kd_shards, language_id, licenses, mixing, quality
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_table(documents(spark, sf_dir))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_documents(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_table(documents(spark, sf_dir))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
@@ -24,7 +40,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.memberships(exact_dedup.build_index(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_sharding, op7_mixing, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op7_mixing, op9_exact_dedup)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
