@@ -84,7 +84,7 @@ class QualityModel:
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(_expand(x, self.edges) @ self.weights.ravel() + self.bias)
+        return _sigmoid(_expand(x, self.edges) @ self.weights.ravel() + self.bias).astype(np.float64)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, exact_dedup, kd_shards, language_id, licenses, mixing, quality
+from orderlens.llm import bpe, exact_dedup, kd_shards, language_id, licenses, mixing, near_dedup, quality, vector_search
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.memberships(exact_dedup.build_index(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_table(documents(spark, sf_dir), near_dedup.Rule(words=3, percent=85))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op7_mixing, op9_exact_dedup)}
+    op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op7_mixing, op8_nearest_neighbours, op9_exact_dedup,
+    op10_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
@@ -97,4 +106,22 @@ g AS (
          first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id
   FROM d)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op10_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i+2], ' ') FOR i IN range(1, len(ws) - 1)] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+           GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+          WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
+          UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c ON c.doc_id = d.doc_id""",
 }
