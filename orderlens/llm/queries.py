@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, exact_dedup, kd_shards, language_id, licenses, mixing, near_dedup, quality, vector_search
+from orderlens.llm import bpe, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality, vector_search
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
@@ -49,10 +53,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op7_mixing, op8_nearest_neighbours, op9_exact_dedup,
+    op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op6_line_dedup, op7_mixing, op8_nearest_neighbours, op9_exact_dedup,
     op10_near_dedup)}
 
 ORACLE: dict[str, str] = {
+    "op6_line_dedup": r"""
+WITH whole_lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+places AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM whole_lines),
+classes AS (SELECT line, length(line) AS n, min({'no_id': doc_id IS NULL, 'doc_id': doc_id, 'line_no': line_no}) AS ord
+            FROM places WHERE line <> '' GROUP BY line),
+variants AS (SELECT line, ord, n, unnest(range(1, n + 1)) AS i FROM classes),
+cut AS (SELECT line, ord, n, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v FROM variants),
+replaced AS (SELECT line, ord, min(ord) OVER (PARTITION BY v, i, n) AS other FROM cut),
+put_in AS (SELECT c.line AS long_line, c.ord AS long_ord, s.line AS short_line, s.ord AS short_ord
+           FROM cut c JOIN classes s ON c.v = s.line),
+near AS (
+  SELECT line, min(other) AS earlier FROM (
+    SELECT line, other FROM replaced WHERE other < ord
+    UNION ALL SELECT long_line, short_ord FROM put_in WHERE short_ord < long_ord
+    UNION ALL SELECT short_line, long_ord FROM put_in WHERE long_ord < short_ord) GROUP BY line)
+SELECT p.doc_id, p.line_no, coalesce(n.earlier, c.ord).doc_id AS keep_doc_id,
+       coalesce(n.earlier, c.ord).line_no AS keep_line_no, CASE WHEN n.earlier IS NULL THEN 0 ELSE 1 END AS distance
+FROM places p JOIN classes c ON c.line = p.line LEFT JOIN near n ON n.line = p.line
+WHERE n.earlier IS NOT NULL OR NOT (p.doc_id IS NOT DISTINCT FROM c.ord.doc_id AND p.line_no = c.ord.line_no)""",
     "op7_mixing": r"""
 WITH measured AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
