@@ -8,13 +8,14 @@ similarity precisely, so most candidates are dismissed from 64 bytes; the rest
 are confirmed on the full sets.
 
 A bucket of a band never emits its pairs.  Its members are first compared with
-the smallest one; what is confirmed joins a component.  Only buckets that then
+its hub, the one whose buckets are the fullest (in a group of edited copies,
+the original); what is confirmed joins a component.  Only buckets that then
 hold more than one component are searched again, and there only members
-outside the smallest one's component are compared with the others, since pairs
-within a component cannot change the result.
+outside the hub's component are compared with the others, since pairs within a
+component cannot change the result.
 
 Band sizes are chosen so that a pair at the threshold shares no band with a
-probability below ``MISS``; the sketch dismisses a pair only six standard
+probability below ``MISS``; the sketch dismisses a pair only five standard
 deviations below the threshold.
 """
 
@@ -37,6 +38,8 @@ from orderlens.llm.common import SharedFolder, ship_package
 SAMPLES = 240
 SKETCH_BITS = 512
 MISS = 1e-8
+#: Ids (8 bytes each) that are broadcast to pick texts; a larger set is joined by key.
+BROADCAST_IDS = 500_000
 #: Bytes of text hashed at once, shingles hashed at once.
 PIECE_BYTES, PIECE_SHINGLES = 1 << 20, 1 << 10
 
@@ -66,8 +69,10 @@ class Rule:
         toggles = 2 * k * (1 - t)
         kept = math.exp(-2 * toggles / n)
         share = (1 - kept) / 2
-        sketch_error = math.sqrt(n * share * (1 - share)) / kept / (2 * k)
-        least = t - 6 * math.hypot(math.sqrt(t * (1 - t) / k), sketch_error)
+        # of a fixed number of toggles on n bits
+        spread = n * share * (1 - share) - toggles * kept**2
+        sketch_error = math.sqrt(spread) / kept / (2 * k)
+        least = t - 5 * math.hypot(math.sqrt(t * (1 - t) / k), sketch_error)
         return math.ceil(n * (1 - math.exp(-4 * k * (1 - least) / n)) / 2)
 
 
@@ -265,7 +270,9 @@ class NearDuplicates:
         """The pairs ``(a, b)`` whose full sets are similar enough."""
         pairs = self.folder.write(pairs, f"{label}-pairs")
         needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
-        texts = self.docs.join(needed, "cid", "left_semi")
+        needed = self.folder.write(needed, f"{label}-needed")
+        few = needed.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(needed) if few else needed, "cid", "left_semi")
         sets = self.folder.write(shingle_sets(texts, self.rule), f"{label}-sets")
         one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
@@ -287,13 +294,21 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Confirmed pairs of classes that connect all similar ones."""
         keyed = self.classes.select(F.explode("keys").alias("key"), "cid")
-        least = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a < most")
-        stars = keyed.join(least.select("key", "a"), "key").where("cid <> a")
-        first = self._confirmed(self._described(stars.select("a", F.col("cid").alias("b")).distinct()), "star")
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        keyed = self.folder.write(keyed.join(sizes, "key"), "buckets")
+        degree = keyed.groupBy("cid").agg(F.sum("size").alias("degree"))
+        ranked = keyed.join(degree, "cid").select("key", "cid", F.struct("degree", "cid").alias("rank"))
+        hubs = self.folder.write(ranked.groupBy("key").agg(F.max("rank").alias("rank"))
+                                 .select("key", F.col("rank.cid").alias("hub")), "hubs")
+        stars = keyed.select("key", "cid").join(hubs, "key").where("cid <> hub")
+        stars = stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+        first = self._confirmed(self._described(stars), "star")
         found = components(first, self.folder, "star")
         members = keyed.join(found, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-        spread = members.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("other"))
-        members = members.join(spread.where("main < other").select("key", "main"), "key")
+        spread = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        mains = (spread.join(hubs, "key").join(found.withColumnRenamed("cid", "hub"), "hub", "left")
+                 .select("key", F.coalesce("comp", "hub").alias("main")))
+        members = members.join(mains, "key")
         members = members.join(self.classes.select("cid", "n", "odd"), "cid")
         members = self.folder.write(members, "open")
         x = members.where("comp <> main").select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"),
