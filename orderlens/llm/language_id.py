@@ -59,7 +59,7 @@ def presence(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), WIDTH), dtype=np.uint8)
     letters = letter_table()
     for row, text in zip(out, texts):
-        low = (text or "").lower()
+        low = (text or "").lower() + " "  # ends a last run of letters
         for at in range(0, len(low), PIECE_CHARS):
             # pieces overlap by an n-gram, so none is missed
             codes = _codes(low[max(0, at - LENGTHS[-1] + 1):at + PIECE_CHARS])
