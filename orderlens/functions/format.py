@@ -211,5 +211,7 @@ def status_color(col: str | Column) -> Column:
 
 
 def to_json_record(*cols: str | Column) -> Column:
-    """A nested record as JSON text (ISO timestamps, numeric decimals)."""
-    return F.to_json(F.struct(*[_c(c) for c in cols]), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    """A nested record as JSON text: ISO timestamps with microseconds,
+    numeric decimals, null fields written out."""
+    return F.to_json(F.struct(*[_c(c) for c in cols]),
+                     {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"})

@@ -31,6 +31,11 @@ UNKNOWN_ITEM = "Unknown Item"
 CATALOGUE_BROADCAST_ROWS = 200_000
 
 
+def _keys(ids: Iterable[int] | DataFrame | None) -> tuple[int, ...] | DataFrame | None:
+    """Keys that several tables are restricted to: an iterator is read once."""
+    return ids if ids is None or isinstance(ids, DataFrame) else tuple(ids)
+
+
 def _only(df: DataFrame, col: str, ids: Iterable[int] | DataFrame | None) -> DataFrame:
     """restrict to the given keys (a list, or a DataFrame of keys)."""
     if ids is None:
@@ -63,6 +68,7 @@ def named_items(t: Tables, ids=None) -> DataFrame:
     otherwise AQE plans from runtime sizes (and splits a hot item's skewed
     partition).
     """
+    ids = _keys(ids)
     items = _only(t.order_items, "order_id", ids)
     names = small_side(catalogue_names(t), CATALOGUE_BROADCAST_ROWS)
     joined = items.join(names, (F.col("item_type") == F.col("_type")) & (F.col("item_id") == F.col("_id")), "left")
@@ -82,6 +88,7 @@ def default_addresses(t: Tables) -> DataFrame:
 
 def first_payments(t: Tables, ids=None) -> DataFrame:
     """J9 + W1: one payment per order, the lowest ``payment_id``."""
+    ids = _keys(ids)
     return pick_one(_only(t.payments, "order_id", ids), "order_id", ["payment_id"], "payment")
 
 
@@ -93,6 +100,7 @@ def customers_with_default_address(t: Tables) -> DataFrame:
 
 def item_counts_by_order(t: Tables, ids=None) -> DataFrame:
     """Per order: ``item_count`` (COUNT(order_item_id)) and ``_n`` (rows)."""
+    ids = _keys(ids)
     return (_only(t.order_items, "order_id", ids).groupBy("order_id")
             .agg(F.count("order_item_id").alias("item_count"), F.count(F.lit(1)).alias("_n")))
 
@@ -101,6 +109,7 @@ def order_headers(t: Tables, ids=None, counts: DataFrame | None = None) -> DataF
     """V3 header: every order column, formatted fields, item count, payment
     struct and customer (user + default address).  ``customer`` is NULL when
     the order has no user (NULL or 0 id, F12) or the user is unknown."""
+    ids = _keys(ids)
     orders = _only(t.orders, "order_id", ids)
     counts = counts if counts is not None else item_counts_by_order(t, ids)
     out = attach_counts(orders, counts.select("order_id", "item_count"), "order_id", "item_count")
@@ -117,6 +126,7 @@ def order_headers(t: Tables, ids=None, counts: DataFrame | None = None) -> DataF
 
 def order_dossier_flat(t: Tables, ids=None) -> DataFrame:
     """The header flattened to columns (for comparison and tabular export)."""
+    ids = _keys(ids)
     h = order_headers(t, ids)
     return h.select(
         *[c for c in t.orders.columns], "item_count", "order_date_formatted", "total_amount_formatted",
@@ -132,12 +142,14 @@ def order_dossier_flat(t: Tables, ids=None) -> DataFrame:
 
 def order_logs_sorted(logs: DataFrame, ids=None) -> DataFrame:
     """J10 + O8: log rows of the orders, newest first by (created_at, log_id)."""
+    ids = _keys(ids)
     return _only(logs, "order_id", ids).orderBy("order_id", F.desc_nulls_first("created_at"), F.desc("log_id"))
 
 
 def order_item_chunks(t: Tables, ids=None, chunk_size: int = 500, counts: DataFrame | None = None) -> DataFrame:
     """J11 + A17: each order's named items as sorted arrays of about
     ``chunk_size`` elements, ``(order_id, part, parts, items)``."""
+    ids = _keys(ids)
     counts = counts if counts is not None else item_counts_by_order(t, ids)
     items = named_items(t, ids)
     payload = [c for c in items.columns if c not in ("order_id", "order_item_id", "item_id", "total")]
@@ -148,6 +160,7 @@ def order_item_chunks(t: Tables, ids=None, chunk_size: int = 500, counts: DataFr
 def address_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
     """J8 + O7 + A17: each user's addresses, default first, as sorted arrays
     of about ``chunk_size`` elements, ``(user_id, part, parts, addresses)``."""
+    ids = _keys(ids)
     from orderlens.operators.customers import addresses_ranked
 
     addr = _only(addresses_ranked(t), "user_id", ids)
@@ -163,6 +176,7 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
     elements per document, each part sorted).  Sections are unioned, never
     joined to each other, so no order's items are paired with its logs.
     """
+    ids = _keys(ids)
     counts = item_counts_by_order(t, ids)
     header = order_headers(t, ids, counts)
     order_cols = [c for c in t.orders.columns]
@@ -204,6 +218,7 @@ def payment_details(t: Tables, ids=None) -> DataFrame:
     Customer name and payment mode come from the order; amount and date are
     formatted; the signature is masked to 30 characters.
     """
+    ids = _keys(ids)
     pay = first_payments(t, ids).select("order_id", "payment.*")
     orders = _only(t.orders, "order_id", ids).select("order_id", "user_name", "payment_mode")
     p = pay.join(orders, "order_id", "left")
@@ -227,6 +242,7 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
     """V5 as JSON documents ``(user_id, section, part, parts, json)``: the user
     with totals, the last 10 orders (bounded by construction), and the
     addresses (chunked)."""
+    ids = _keys(ids)
     from orderlens.operators.customers import customer_stats, recent_orders
 
     users = _only(t.users, "id", ids)
@@ -264,6 +280,7 @@ class OrderDossiers:
 def order_dossiers(t: Tables, ids=None, logs: DataFrame | None = None) -> OrderDossiers:
     """V3 for all orders (or ``ids``): the dossier's sections as flat, keyed
     DataFrames; :func:`order_documents` renders them as JSON."""
+    ids = _keys(ids)
     logs = logs if logs is not None else t.order_logs
     return OrderDossiers(headers=order_headers(t, ids), items=named_items(t, ids),
                          logs=order_logs_sorted(logs, ids) if logs is not None else None)
@@ -278,6 +295,7 @@ class CustomerDossiers:
 
 def customer_dossiers(t: Tables, ids=None) -> CustomerDossiers:
     """V5 for all users (or ``ids``) as flat, keyed sections."""
+    ids = _keys(ids)
     from orderlens.operators.customers import addresses_ranked, customer_stats, recent_orders
 
     users = _only(t.users, "id", ids)

@@ -73,7 +73,9 @@ def todays_orders(t: Tables, as_of: datetime, mode: str = "from", limit: int | N
         pred, cols, months = between("order_date", midnight, as_of), TODAY_COLUMNS, (midnight, as_of)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    n = limit or TODAY_LIMIT[mode]
+    n = TODAY_LIMIT[mode] if limit is None else limit
+    if n < 1:
+        raise ValueError(f"limit must be at least 1, not {n}")
     page = prune_months(t.orders.where(pred), *months).select(*cols).orderBy(*newest()).limit(n)
     return item_counts_for(page, t, n)
 

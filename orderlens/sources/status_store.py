@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.operators.updates import StatusUpdateResult, current_status
+from orderlens.sources.optional import read_parquet_if_present
 
 SECTIONS = ("status_delta", "order_logs", "rejects")
 
@@ -38,10 +39,10 @@ def _path(root: str, section: str) -> str:
 def committed(spark: SparkSession, root: str, before: int | None = None,
               marker: str = "_commits") -> DataFrame | None:
     """Committed batch ids (optionally those below ``before``), or None."""
-    try:
-        commits = spark.read.parquet(_path(root, marker)).select("batch_id").distinct()
-    except Exception:  # no batch committed yet
+    markers = read_parquet_if_present(spark, _path(root, marker))
+    if markers is None:  # no batch committed yet
         return None
+    commits = markers.select("batch_id").distinct()
     if before is not None:
         commits = commits.where(F.col("batch_id") < before)
     return commits
@@ -54,11 +55,8 @@ def _read_section(spark: SparkSession, root: str, section: str, before: int | No
         return None
     if after is not None:
         commits = commits.where(F.col("batch_id") > after)
-    try:
-        df = spark.read.parquet(_path(root, section))
-    except Exception:
-        return None
-    return df.join(commits, "batch_id", "left_semi")
+    df = read_parquet_if_present(spark, _path(root, section))
+    return None if df is None else df.join(commits, "batch_id", "left_semi")
 
 
 def _latest_base(spark: SparkSession, root: str, before: int | None) -> int | None:

@@ -12,6 +12,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from orderlens.sources.optional import read_parquet_if_present
+
 MONEY = T.DecimalType(18, 2)
 
 # Column contracts of the shop tables (names and Spark types the operators
@@ -137,12 +139,7 @@ def read_parquet_tables(spark: SparkSession, root: str) -> Tables:
     """
     def read(name: str, required: bool = True) -> DataFrame | None:
         path = f"{root.rstrip('/')}/{name}"
-        try:
-            return spark.read.parquet(path)
-        except Exception:
-            if required:
-                raise
-            return None
+        return spark.read.parquet(path) if required else read_parquet_if_present(spark, path)
 
     return Tables(
         orders=read("orders"), order_items=read("order_items"), users=read("users"),

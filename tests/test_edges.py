@@ -154,3 +154,36 @@ def test_jdbc_reader_requires_bounds_for_parallel_reads(spark):
     from orderlens.sources.tables import read_jdbc_table
     with pytest.raises(ValueError):
         read_jdbc_table(spark, "jdbc:postgresql://db/shop", "orders", {"user": "u"}, partition_column="order_id")
+
+
+def test_ids_from_a_list_a_generator_and_a_table_give_equal_dossiers(spark):
+    from orderlens.operators import dossiers
+    from orderlens.sources.fixtures import shop_tables
+
+    t = shop_tables(spark, "/root/testdata/sf0.001")
+    ids = [r[0] for r in t.orders.select("order_id").orderBy("order_id").limit(3).collect()]
+    want = sorted(map(str, dossiers.order_headers(t, ids).collect()))
+    assert len(want) == 3
+    assert sorted(map(str, dossiers.order_headers(t, (i for i in ids)).collect())) == want
+    table = spark.createDataFrame([(i,) for i in ids], "order_id long")
+    assert sorted(map(str, dossiers.order_headers(t, table).collect())) == want
+
+
+def test_json_records_keep_microseconds_and_nulls(spark):
+    import json
+
+    from orderlens.functions.format import to_json_record
+
+    row = spark.sql("SELECT timestamp_ntz'2001-07-31 01:02:03.456789' AS at, CAST(NULL AS STRING) AS payment")
+    got = json.loads(row.select(to_json_record("at", "payment").alias("j")).first()["j"])
+    assert got == {"at": "2001-07-31T01:02:03.456789", "payment": None}
+
+
+def test_todays_orders_rejects_a_limit_below_one(spark):
+    import pytest
+
+    from orderlens.operators import orders
+    from conftest import AS_OF, make_tables
+
+    with pytest.raises(ValueError):
+        orders.todays_orders(make_tables(spark), AS_OF, limit=0)

@@ -10,9 +10,8 @@ from orderlens.streaming import live
 
 def test_live_timeline_over_several_batches_equals_batch(spark, tmp_path):
     """Orders arrive in three files, in time order, with one hour split across
-    the first two; each file is one micro-batch.  The split hour is emitted
-    by both batches and keeps the newest value, so the result equals the
-    batch timeline."""
+    the first two; each file is one micro-batch.  Both batches write a part
+    of the split hour and the parts add up to the batch timeline."""
     t = shop_tables(spark, SF_SMALL)
     orders = t.orders.where(F.col("order_date").isNotNull())
     # an hour holding two or more orders: cut between its first and last one
@@ -67,3 +66,34 @@ def test_status_update_stream_over_several_batches_equals_batch(spark, tmp_path)
     assert logs.exceptAll(whole.logs).count() == 0 and whole.logs.exceptAll(logs).count() == 0
     final = status_store.current_orders(spark, t.orders, root)
     assert final.exceptAll(whole.snapshot).count() == 0
+
+
+def test_live_timeline_loses_nothing_when_orders_come_in_any_order(spark, tmp_path):
+    """Four files dealt by order id, so that every micro-batch spans the whole time."""
+    orders = shop_tables(spark, SF_SMALL).orders.where(F.col("order_date").isNotNull())
+    src = tmp_path / "orders_in"
+    for i in (2, 0, 3, 1):
+        orders.where(F.col("order_id") % 4 == i).coalesce(1).write.parquet(str(src / f"batch{i}"))
+    stream = (spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(str(src)))
+    root = str(tmp_path / "st1")
+    got = live.live_timeline(spark, stream, root=root)
+    assert spark.read.parquet(f"{root}/out").select("batch_id").distinct().count() == 4
+    want = (orders.groupBy(stats.bucket("order_date", "hour").alias("period"))
+            .agg(F.count(F.lit(1)).alias("order_count"),
+                 F.coalesce(F.sum("total_amount").cast("double"), F.lit(0.0)).alias("total_revenue")))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_damaged_commit_marker_is_an_error_not_an_empty_store(spark, tmp_path):
+    import pytest
+
+    from orderlens.sources import status_store
+
+    root = tmp_path / "store"
+    assert status_store.committed(spark, str(root)) is None
+    marker = root / "_commits" / "batch_id=0"
+    marker.mkdir(parents=True)
+    (marker / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        status_store.committed(spark, str(root)).count()
