@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import SharedFolder, text_or_empty
+from orderlens.llm.common import SharedFolder, gapless, text_or_empty
 
 #: Characters of a hashed block.
 BLOCK = 256
@@ -53,7 +53,7 @@ def half_keys() -> Column:
 
 
 def variants(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``texts(h1, h2, ord, line)``: the key of every whole line and the
+    """Of ``texts(ord, line)``, ``ord`` a number: the key of every whole line and the
     keys of the lines without one of their characters."""
     n = F.length("line")
     starts = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
@@ -64,28 +64,35 @@ def variants(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def folded(keys: Column) -> Column:
         return F.aggregate(keys, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
 
-    base = texts.select(*IDENTITY, "ord", n.alias("n"), "line", starts.alias("starts"))
+    base = texts.select("ord", n.alias("n"), "line", starts.alias("starts"))
     base = base.withColumns({
         "own": F.transform("starts", lambda t: hashed(F.substr("line", t * BLOCK + 1, F.lit(BLOCK)), t)),
         "moved": F.transform("starts", lambda t: hashed(F.substr("line", t * BLOCK + 2, F.lit(BLOCK)), t))})
-    whole = base.select(*IDENTITY, "ord", "n", folded(F.col("own")).alias("key"))
-    blocks = base.select(*IDENTITY, "ord", "n", F.explode(F.transform("starts", lambda t: F.struct(
+    whole = base.select("ord", "n", folded(F.col("own")).alias("key"))
+    blocks = base.select("ord", "n", F.explode(F.transform("starts", lambda t: F.struct(
         t.alias("t"), F.substr("line", t * BLOCK + 1, F.lit(BLOCK + 1)).alias("b"),
         folded(F.slice("own", F.lit(1), t)).bitwiseXOR(
             folded(F.slice("moved", t + 2, F.size("moved")))).alias("rest")))).alias("e"))
-    blocks = blocks.select(*IDENTITY, "ord", "n", "e.*")
+    blocks = blocks.select("ord", "n", "e.*")
     at = F.sequence(F.lit(0), F.least(F.length("b"), F.lit(BLOCK)) - 1)
-    without = blocks.select(*IDENTITY, "ord", "n", F.explode(F.transform(at, lambda j: F.struct(
+    without = blocks.select("ord", "n", F.explode(F.transform(at, lambda j: F.struct(
         (F.col("t") * BLOCK + j).alias("at"),
         hashed(F.concat(F.substr("b", F.lit(1), j), F.substr("b", j + 2, F.lit(BLOCK))), F.col("t"))
         .bitwiseXOR(F.col("rest")).alias("key")))).alias("e"))
-    return whole, without.select(*IDENTITY, "ord", "n", "e.at", "e.key")
+    return whole, without.select("ord", "n", "e.at", "e.key")
 
 
 def neighbours(texts: DataFrame, folder: SharedFolder) -> DataFrame:
-    """``(h1, h2, earlier)``: for every line with an earlier one a single edit
-    away, the place of the earliest of those."""
-    whole, without = variants(texts)
+    """``(h1, h2, earlier)``: for every line of ``texts(h1, h2, ord, line)``
+    with an earlier one a single edit away, the place of the earliest of those.
+
+    The lines are numbered in their order first, so that a variant carries a
+    number and not a place."""
+    ranged = texts.repartitionByRange("ord").withColumns({"all": F.lit(0), "part": F.spark_partition_id()})
+    numbered = folder.write(gapless(folder.write(ranged, "ranged"), "all", F.col("part"), [F.col("ord")], "num")
+                            .select("num", "ord", "line", *IDENTITY), "numbered")
+    folder.drop("ranged")
+    whole, without = variants(numbered.select(F.col("num").alias("ord"), "line"))
     without = folder.write(without, "variants")
     star = without.groupBy("key", "n", "at").agg(F.min("ord").alias("to"))
     replaced = (without.join(star, ["key", "n", "at"]).where(F.col("ord") > F.col("to"))
@@ -94,10 +101,12 @@ def neighbours(texts: DataFrame, folder: SharedFolder) -> DataFrame:
     put_in = without.select("key", "n", "ord").distinct().join(short, ["key", "n"])
     put_in = put_in.select(F.greatest("ord", "short").alias("x"), F.least("ord", "short").alias("y"))
     pairs = replaced.union(put_in).distinct()
-    x = texts.select(F.col("ord").alias("x"), F.col("line").alias("lx"), *IDENTITY)
-    y = texts.select(F.col("ord").alias("y"), F.col("line").alias("ly"))
+    x = numbered.select(F.col("num").alias("x"), F.col("line").alias("lx"), *IDENTITY)
+    y = numbered.select(F.col("num").alias("y"), F.col("line").alias("ly"), "ord")
     near = pairs.join(x, "x").join(y, "y").where(F.levenshtein("lx", "ly", 1) == 1)
-    return folder.write(near.groupBy(*IDENTITY).agg(F.min("y").alias("earlier")), "near")
+    near = folder.write(near.groupBy(*IDENTITY).agg(F.min("ord").alias("earlier")), "near")
+    folder.drop("variants")
+    return near
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
