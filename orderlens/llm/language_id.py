@@ -94,15 +94,16 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     if not names:
         return LanguageModel([], np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32))
     index = np.array([names.index(x) for x in langs])
-    unit = bits.astype(np.float64)
-    unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
+    size = np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
     each = max(1, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(index == i)[:each] for i in range(len(names))])
-    marks = unit[chosen]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = bits[chosen].astype(np.float32) / size[chosen, None].astype(np.float32)
+    # kernel values in blocks of rows: the sample is never held as floats
+    kernel = np.vstack([bits[i:i + 256].astype(np.float32) @ marks.T for i in range(0, len(bits), 256)]) / size[:, None]
+    values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = unit @ marks.T @ root
+    features = kernel @ root
     features = np.hstack([features, np.ones((len(features), 1))])
     wanted = np.where(index[:, None] == np.arange(len(names)), 1.0, -1.0)
     # languages weigh the same however many rows of each were sampled
@@ -110,7 +111,7 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     weight *= len(index) / weight.sum()
     gram = features.T @ (features * weight[:, None]) + ridge * len(index) * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (wanted * weight[:, None]))
-    folded = marks.T @ (root @ solved[:-1])
+    folded = marks.T @ (root @ solved[:-1]).astype(np.float32)
     return LanguageModel(names, folded.astype(np.float32), solved[-1].astype(np.float32))
 
 
