@@ -92,7 +92,10 @@ def neighbours(texts: DataFrame, folder: SharedFolder) -> DataFrame:
     numbered = folder.write(gapless(folder.write(ranged, "ranged"), "all", F.col("part"), [F.col("ord")], "num")
                             .select("num", "ord", "line", *IDENTITY), "numbered")
     folder.drop("ranged")
-    whole, without = variants(numbered.select(F.col("num").alias("ord"), "line"))
+    # a line grows by the square of its block when its variants are made: spread them first
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = numbered.select(F.col("num").alias("ord"), "line").repartition(tasks, "ord")
+    whole, without = variants(spread)
     without = folder.write(without, "variants")
     star = without.groupBy("key", "n", "at").agg(F.min("ord").alias("to"))
     replaced = (without.join(star, ["key", "n", "at"]).where(F.col("ord") > F.col("to"))
