@@ -309,17 +309,22 @@ class NearDuplicates:
         mains = (spread.join(hubs, "key").join(found.withColumnRenamed("cid", "hub"), "hub", "left")
                  .select("key", F.coalesce("comp", "hub").alias("main")))
         members = members.join(mains, "key")
-        members = members.join(self.classes.select("cid", "n", "odd"), "cid")
+        members = members.join(self.classes.select("cid", "n", "odd", "keys"), "cid")
         members = self.folder.write(members, "open")
         x = members.where("comp <> main").select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"),
-                                                 F.col("n").alias("nx"), F.col("odd").alias("ox"))
+                                                 F.col("n").alias("nx"), F.col("odd").alias("ox"),
+                                                 F.col("keys").alias("kx"))
         y = members.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"),
-                           F.col("odd").alias("oy"))
-        # the join's own condition holds the tests: pairs that fail them are never emitted
+                           F.col("odd").alias("oy"), F.col("keys").alias("ky"), (F.col("comp") == F.col("main")).alias("home"))
+        # the join's own condition holds the tests: a pair that fails them is never
+        # emitted, any other once, in the first of the buckets that it shares (all
+        # of them are open, as its ends are of two components)
         across = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy"))
+                        & (F.col("home") | (F.col("x") < F.col("y")))
                         & _sizes_allow(F.col("nx"), F.col("ny"), self.rule)
-                        & _sketches_allow(F.col("ox"), F.col("oy"), self.rule))
-        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                        & _sketches_allow(F.col("ox"), F.col("oy"), self.rule)
+                        & (F.element_at(F.array_intersect("kx", "ky"), 1) == x["key"]))
+        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return first.union(self._confirmed(across, "rest"))
 
     def table(self) -> DataFrame:
