@@ -21,14 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.functions import format as fmt
-from orderlens.plans.joins import attach_counts, pick_one, small_side
+from orderlens.plans.joins import attach_counts, pick_one
 from orderlens.plans.nesting import nest_chunks
 from orderlens.sources.tables import Tables
 
 # Fixed value: the label of an item whose type is neither service nor menu.
 UNKNOWN_ITEM = "Unknown Item"
-# Catalogue tables at most this long are broadcast into the item join.
-CATALOGUE_BROADCAST_ROWS = 200_000
 
 
 def _keys(ids: Iterable[int] | DataFrame | None) -> tuple[int, ...] | DataFrame | None:
@@ -64,14 +62,12 @@ def named_items(t: Tables, ids=None) -> DataFrame:
     one-sided left joins of the reference (``ON type = 'service' AND id =
     s.id`` and the same for menu) are one equi-join on ``(type, id)`` against
     the tagged union of both catalogues: same rows, one pass over the items.
-    The union is broadcast only when a bounded probe shows it is small;
-    otherwise AQE plans from runtime sizes (and splits a hot item's skewed
-    partition).
+    AQE plans the join from measured sizes: a small union is broadcast, and a
+    hot item's skewed partition is split.
     """
     ids = _keys(ids)
     items = _only(t.order_items, "order_id", ids)
-    names = small_side(catalogue_names(t), CATALOGUE_BROADCAST_ROWS)
-    joined = items.join(names, (F.col("item_type") == F.col("_type")) & (F.col("item_id") == F.col("_id")), "left")
+    joined = items.join(catalogue_names(t), (F.col("item_type") == F.col("_type")) & (F.col("item_id") == F.col("_id")), "left")
     it = F.col("item_type")
     full = F.when(it.isin("service", "menu"), F.col("_name")).otherwise(F.lit(UNKNOWN_ITEM))
     return (joined.withColumn("full_name", full)
@@ -168,12 +164,26 @@ def address_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
     return nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
 
 
+def order_address_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
+    """J8 + O7 in V3: all addresses of each order's customer, default first,
+    ``(order_id, user_id, part, parts, addresses)``.  An order without a known
+    user has none; a user's addresses are nested once, then meet the orders."""
+    ids = _keys(ids)
+    has_user = F.col("user_id").isNotNull() & (F.col("user_id") != 0)
+    owned = _only(t.orders, "order_id", ids).where(has_user).select("order_id", "user_id")
+    owned = owned.join(t.users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    owners = None if ids is None else owned.select("user_id").distinct()
+    return owned.join(address_chunks(t, owners, chunk_size), "user_id").select(
+        "order_id", "user_id", "part", "parts", "addresses")
+
+
 def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame | None = None) -> DataFrame:
     """Dossiers as JSON documents ``(order_id, section, part, parts, json)``.
 
     ``section`` is ``order`` (header, customer, payment: one document per
-    order), ``items`` or ``logs`` (children, chunked to about ``chunk_size``
-    elements per document, each part sorted).  Sections are unioned, never
+    order), ``items``, ``addresses`` (all of the customer's, default first) or
+    ``logs`` (children, chunked to about ``chunk_size`` elements per document,
+    each part sorted).  Sections are unioned, never
     joined to each other, so no order's items are paired with its logs.
     """
     ids = _keys(ids)
@@ -189,6 +199,8 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
     item_docs = _document(item_chunks.select("order_id", F.lit("items").alias("section"), "part", "parts",
                                              "items"), "order_id")
     docs = head_doc.unionByName(item_docs)
+    docs = docs.unionByName(_document(order_address_chunks(t, ids, chunk_size).select(
+        "order_id", F.lit("addresses").alias("section"), "part", "parts", "addresses"), "order_id"))
     logs = logs if logs is not None else t.order_logs
     if logs is not None:
         lg = _only(logs, "order_id", ids)

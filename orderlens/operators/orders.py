@@ -20,7 +20,7 @@ from orderlens.functions.predicates import (all_of, between, from_day, on_day, o
                                             status_is)
 from orderlens.plans.joins import attach_counts, bounded_broadcast, restrict_to_keys
 from orderlens.plans.lineage import materialize_bounded
-from orderlens.plans.paging import check_page, keyset_page, newest_first, offset_page, sort_bounded
+from orderlens.plans.paging import check_page, check_size, keyset_page, newest_first, offset_page, sort_bounded
 from orderlens.sources.tables import Tables
 
 # Column lists of the reference's order lists.
@@ -41,6 +41,7 @@ def item_counts_for(page: DataFrame, t: Tables, max_rows: int) -> DataFrame:
     """A1 + J1 for a bounded set of orders: ``COUNT(order_item_id)`` per order,
     0 when it has none, in the page's order.  The page is computed once; its
     keys reach the item scan as a pushed ``IN`` filter."""
+    check_size(max_rows)
     page = materialize_bounded(page)
     counts = (restrict_to_keys(t.order_items.select("order_id", "order_item_id"), page, "order_id", max_rows)
               .groupBy("order_id").agg(F.count("order_item_id").alias("item_count")))
@@ -120,6 +121,7 @@ def with_display(page: DataFrame, t: Tables, max_rows: int = 20) -> DataFrame:
     from orderlens.functions import format as fmt
     from orderlens.plans.joins import pick_one
 
+    check_size(max_rows)
     page = materialize_bounded(page)
     pays = pick_one(restrict_to_keys(t.payments, page, "order_id", max_rows), "order_id", ["payment_id"], "_pay")
     out = page.join(bounded_broadcast(pays, max_rows), "order_id", "left")

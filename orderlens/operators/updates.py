@@ -84,7 +84,8 @@ def apply_status_updates(orders: DataFrame, updates: DataFrame,
         "created_at",
     )
 
-    changes = last_updates(valid)
+    # reduced before the join: a hot order is one row per map task when it is shuffled
+    changes = last_updates(updates).join(keys, "order_id", "left_semi")
     snapshot = current_status(orders, changes.select("order_id", F.col("status").alias("_new")))
     return StatusUpdateResult(snapshot=snapshot, changes=changes, logs=logs, rejects=rejects)
 

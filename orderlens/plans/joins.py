@@ -23,17 +23,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if a bounded probe proves it has at most ``max_rows``
-    rows; otherwise return it unhinted (shuffle join, AQE may still convert).
-
-    The probe reads at most ``max_rows + 1`` rows (a LIMIT, pushed to the
-    scan), never the whole side.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def pick_one(df: DataFrame, key: str | Sequence[str], order: Sequence[str], alias: str,
              payload: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the smallest by ``order`` (e.g. lowest id).

@@ -3,9 +3,11 @@
 ``collect_list`` over every child of a key puts the whole group into one row
 (one task, one executor's memory).  Here children are first counted per key
 (a partial aggregate), then each key's children are spread over
-``ceil(n / chunk_size)`` parts by a hash of the child's sort key, and each
-(key, part) is collected and sorted.  A key with a third of all rows becomes
-many bounded rows; a normal key stays one row.  Nothing is dropped: the
+``ceil(n / chunk_size)`` parts by a hash of the child's sort key, dealt out by
+(key, part), and each (key, part) is collected and sorted.  The exchange is
+explicit: the join with the counts leaves rows partitioned by key alone, which
+would satisfy the grouping and keep a hot key in one task.  A key with a third
+of all rows becomes many bounded rows in many tasks; a normal key stays one row.  Nothing is dropped: the
 union of a key's parts is exactly its children, and every element carries its
 sort key so a reader can merge parts back into order.
 """
@@ -42,5 +44,5 @@ def nest_chunks(children: DataFrame, key: str, sort_cols: Sequence[str | Column]
               .withColumn("part", F.pmod(F.xxhash64(*sort_exprs, *[F.col(c) for c in payload]),
                                          F.col("parts"))))
     element = F.struct(*sort_exprs, *[F.col(c) for c in payload])
-    return (salted.groupBy(key, "part", "parts")
+    return (salted.repartition(key, "part").groupBy(key, "part", "parts")
             .agg(F.sort_array(F.collect_list(element), asc=not descending).alias(alias)))

@@ -15,13 +15,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a page at most: its keys travel as a literal list and it is sorted in one task.
+MAX_PER_PAGE = 1000
+
+
+def check_size(per_page: int) -> int:
+    """The size of a page, which has at least one row and at most MAX_PER_PAGE."""
+    if not 1 <= per_page <= MAX_PER_PAGE:
+        raise ValueError(f"per_page must be >= 1 and <= {MAX_PER_PAGE}, got {per_page}")
+    return per_page
+
+
 def check_page(page: int, per_page: int) -> int:
     """Pages start at 1 (the reference's negative OFFSET is an error)."""
     if page < 1:
         raise ValueError(f"page must be >= 1, got {page}")
-    if per_page < 1:
-        raise ValueError(f"per_page must be >= 1, got {per_page}")
-    return (page - 1) * per_page
+    return (page - 1) * check_size(per_page)
 
 
 def offset_page(df: DataFrame, order: Sequence[Column], page: int, per_page: int) -> DataFrame:
@@ -48,11 +57,9 @@ def after_key(date_col: str, id_col: str, last_date, last_id) -> Column:
 
 def keyset_page(df: DataFrame, date_col: str, id_col: str, per_page: int, after=None) -> DataFrame:
     """Seek paging: the ``per_page`` rows after ``after=(date, id)``."""
-    if per_page < 1:
-        raise ValueError(f"per_page must be >= 1, got {per_page}")
     if after is not None:
         df = df.where(after_key(date_col, id_col, *after))
-    return df.orderBy(*newest_first(date_col, id_col)).limit(per_page)
+    return df.orderBy(*newest_first(date_col, id_col)).limit(check_size(per_page))
 
 
 def sort_bounded(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -681,6 +681,21 @@ register("address_chunks_flat", ORACLE["customer_addresses"])(
     lambda t: _exploded(dossiers.address_chunks(t, chunk_size=1), "user_id", "addresses"))
 
 
+def _order_addresses_sql(where: str) -> str:
+    return oracle_prelude("shop_orders", "users", "addresses") + f"""
+SELECT o.order_id, a.*, CASE WHEN a.is_default IS NULL THEN 0 WHEN a.is_default THEN 1 ELSE 2 END AS default_rank
+FROM shop_orders o JOIN users u ON u.id = o.user_id JOIN addresses a ON a.user_id = o.user_id
+WHERE o.user_id <> 0 AND {where}"""
+
+
+def _order_addresses(t, ids=None) -> DataFrame:
+    chunks = dossiers.order_address_chunks(t, ids, chunk_size=2)
+    return chunks.select("order_id", "user_id", F.explode("addresses").alias("_e")).select("order_id", "user_id", "_e.*")
+
+
+register("order_dossier_addresses", _order_addresses_sql("TRUE"))(_order_addresses)
+
+
 # --- remaining periods, unfiltered counts, keyset paging ------------------------------
 
 for _p in ("yesterday", "last_month"):

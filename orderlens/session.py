@@ -22,6 +22,8 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the keys of a page (paging.MAX_PER_PAGE) reach the parquet scan as values, not as their range
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # remove checkpoint files once the checkpointed data is no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -1,8 +1,10 @@
 """Both branches of the bounded join helpers."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from orderlens.plans.joins import restrict_to_key_range, restrict_to_keys, small_side
+from orderlens.plans.joins import restrict_to_key_range, restrict_to_keys
+from orderlens.plans.paging import MAX_PER_PAGE, check_page, keyset_page
 
 
 def _plan(df):
@@ -30,12 +32,10 @@ def test_restrict_to_key_range_is_a_superset(spark):
     assert restrict_to_key_range(child, keys.where("k < 0"), "k").count() == 0
 
 
-def test_small_side_broadcasts_only_under_bound(spark):
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in _plan(big.join(small_side(small, 100), "k"))
-        assert "BroadcastHashJoin" not in _plan(big.join(small_side(big.select("k"), 100), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_page_size_is_bounded(spark):
+    for size in (0, MAX_PER_PAGE + 1):
+        with pytest.raises(ValueError):
+            check_page(1, size)
+        with pytest.raises(ValueError):
+            keyset_page(spark.range(3), "id", "id", size)
+    assert check_page(3, MAX_PER_PAGE) == 2 * MAX_PER_PAGE

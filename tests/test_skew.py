@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orderlens.operators.updates import apply_status_updates
 from orderlens.plans.joins import pick_one
 from orderlens.plans.nesting import nest_chunks
 from orderlens.plans.sequence import with_previous
@@ -53,3 +54,25 @@ def test_pick_one_is_partial_aggregate(spark):
     assert picked.where("order_id = 7").first()["first"]["update_id"] == 0
     plan = picked._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan or "Partial" in plan
+
+
+def test_hot_key_of_nested_chunks_and_last_updates_spans_tasks(spark):
+    df = _updates(spark)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        chunks = nest_chunks(df, "order_id", ["created_at", "update_id"], ["new_status"], chunk_size=100)
+        tasks = chunks.where("order_id = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1
+        orders = spark.createDataFrame([(7, "new")] + [(100 + i, "new") for i in range(40)], "order_id long, status string")
+        changes = apply_status_updates(orders, df.withColumn("admin_id", F.lit(1)).withColumn("notes", F.lit("")),
+                                       num_partitions=4).changes
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+        # the partial aggregate runs on the unshuffled updates, below the semi join
+        assert plan.index("LeftSemi") < plan.index("partial_max")
+        assert "Exchange" in plan[plan.index("LeftSemi"):plan.index("partial_max")]
+        assert changes.count() == 41 and changes.where("order_id = 7").first()["update_id"] == 2999
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
