@@ -12,7 +12,10 @@ its hub, the one whose buckets are the fullest (in a group of edited copies,
 the original); what is confirmed joins a component.  Only buckets that then
 hold more than one component are searched again, and there only members
 outside the hub's component are compared with the others, since pairs within a
-component cannot change the result.
+component cannot change the result.  In crowded buckets each member also carries
+how its set differs from the hub's; two members' differences bound what they
+can share, so that edited copies of one text that are too far from each other
+are told apart without their sets.
 
 Band sizes are chosen so that a pair at the threshold shares no band with a
 probability below ``MISS``; the sketch dismisses a pair only five standard
@@ -40,6 +43,9 @@ SKETCH_BITS = 512
 MISS = 1e-8
 #: Ids (8 bytes each) that are broadcast to pick texts; a larger set is joined by key.
 BROADCAST_IDS = 500_000
+#: Members above which a bucket's members carry their differences from its hub;
+#: each difference is kept as the places of its shingles among PLACES.
+CROWD, PLACES = 32, 1024
 #: Bytes of text hashed at once, shingles hashed at once.
 PIECE_BYTES, PIECE_SHINGLES = 1 << 20, 1 << 10
 
@@ -254,6 +260,21 @@ def _sketches_allow(odd_a: Column, odd_b: Column, rule: Rule) -> Column:
     return different <= rule.most_different_bits
 
 
+def _places(shingles: Column) -> Column:
+    return F.array_distinct(F.transform(shingles, lambda h: F.pmod(h, F.lit(PLACES)).cast("int")))
+
+
+def _differences_allow(rule: Rule) -> Column:
+    """Whether members x and y of a bucket can be linked, by their differences
+    from its hub: of the hub's shingles they cannot share those at the places
+    that one of them lacks, and of those that the hub lacks they share at most
+    the places in common and the shingles that fall on a place already taken."""
+    most = (F.col("hx") - F.size(F.array_union("lx", "ly")) + F.size(F.array_intersect("ax", "ay"))
+            + F.least("sx", "sy"))
+    return F.col("hx").isNull() | F.col("hy").isNull() | (
+        most * 100 >= (F.col("nx") + F.col("ny") - most) * rule.percent)
+
+
 class NearDuplicates:
     """Links of equal or similar texts and their components."""
 
@@ -266,14 +287,36 @@ class NearDuplicates:
             F.first("odd").alias("odd"))
         self.classes = self.folder.write(first.where("cid IS NOT NULL"), "classes")
 
-    def _confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs ``(a, b)`` whose full sets are similar enough."""
-        pairs = self.folder.write(pairs, f"{label}-pairs")
-        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+    def _sets(self, pairs: DataFrame, label: str) -> DataFrame:
+        """``(cid, shingles)`` of all ids in the two columns of ``pairs``."""
+        one, two = pairs.columns
+        needed = pairs.select(F.col(one).alias("cid")).union(pairs.select(two)).distinct()
         needed = self.folder.write(needed, f"{label}-needed")
         few = needed.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(needed) if few else needed, "cid", "left_semi")
-        sets = self.folder.write(shingle_sets(texts, self.rule), f"{label}-sets")
+        return self.folder.write(shingle_sets(texts, self.rule), f"{label}-sets")
+
+    def _differences(self, pairs: DataFrame) -> DataFrame:
+        """How the sets of ``pairs(cid, hub)`` differ: the hub's size, the places
+        of what the member lacks and has besides, and the shingles besides that
+        share a place."""
+        pairs = self.folder.write(pairs, "crowd-pairs")
+        sets = self._sets(pairs, "crowd")
+        one = sets.select("cid", F.col("shingles").alias("own"))
+        two = sets.select(F.col("cid").alias("hub"), F.col("shingles").alias("of_hub"))
+        both = pairs.join(one, "cid").join(two, "hub").select(
+            "cid", "hub", F.size("of_hub").alias("hub_n"), _places(F.array_except("of_hub", "own")).alias("lacks"),
+            F.array_except("own", "of_hub").alias("besides"))
+        out = self.folder.write(both.select("cid", "hub", "hub_n", "lacks", _places(F.col("besides")).alias("adds"),
+                                            (F.size("besides") - F.size(_places(F.col("besides")))).alias("spare")),
+                                "crowd-differences")
+        self.folder.drop("crowd-sets")
+        return out
+
+    def _confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs ``(a, b)`` whose full sets are similar enough."""
+        pairs = self.folder.write(pairs, f"{label}-pairs")
+        sets = self._sets(pairs, label)
         one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -304,18 +347,22 @@ class NearDuplicates:
         stars = stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         first = self._confirmed(self._described(stars), "star")
         found = components(first, self.folder, "star")
-        members = keyed.join(found, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        members = keyed.join(found, "cid", "left").select("key", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
         spread = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         mains = (spread.join(hubs, "key").join(found.withColumnRenamed("cid", "hub"), "hub", "left")
-                 .select("key", F.coalesce("comp", "hub").alias("main")))
-        members = members.join(mains, "key")
+                 .select("key", "hub", F.coalesce("comp", "hub").alias("main")))
+        members = self.folder.write(members.join(mains, "key"), "open-members")
+        differences = self._differences(members.where(F.col("size") > CROWD).select("cid", "hub").distinct())
         members = members.join(self.classes.select("cid", "n", "odd", "keys"), "cid")
-        members = self.folder.write(members, "open")
-        x = members.where("comp <> main").select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"),
-                                                 F.col("n").alias("nx"), F.col("odd").alias("ox"),
-                                                 F.col("keys").alias("kx"))
-        y = members.select("key", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"),
-                           F.col("odd").alias("oy"), F.col("keys").alias("ky"), (F.col("comp") == F.col("main")).alias("home"))
+        members = self.folder.write(members.join(differences, ["cid", "hub"], "left"), "open")
+
+        def side(rows: DataFrame, of: str, *more: Column) -> DataFrame:
+            short = {"cid": of, "comp": "c" + of, "n": "n" + of, "odd": "o" + of, "keys": "k" + of, "hub_n": "h" + of,
+                     "lacks": "l" + of, "adds": "a" + of, "spare": "s" + of}
+            return rows.select("key", *(F.col(name).alias(to) for name, to in short.items()), *more)
+
+        x = side(members.where("comp <> main"), "x")
+        y = side(members, "y", (F.col("comp") == F.col("main")).alias("home"))
         # the join's own condition holds the tests: a pair that fails them is never
         # emitted, any other once, in the first of the buckets that it shares (all
         # of them are open, as its ends are of two components)
@@ -323,7 +370,8 @@ class NearDuplicates:
                         & (F.col("home") | (F.col("x") < F.col("y")))
                         & _sizes_allow(F.col("nx"), F.col("ny"), self.rule)
                         & _sketches_allow(F.col("ox"), F.col("oy"), self.rule)
-                        & (F.element_at(F.array_intersect("kx", "ky"), 1) == x["key"]))
+                        & (F.element_at(F.array_intersect("kx", "ky"), 1) == x["key"])
+                        & _differences_allow(self.rule))
         across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return first.union(self._confirmed(across, "rest"))
 

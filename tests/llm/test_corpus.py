@@ -314,3 +314,32 @@ def test_near_dedup_edges(docs):
     kept = near_dedup.drop_near_copies(docs(rows), near_dedup.Rule(3, 85))
     assert kept.where("doc_id BETWEEN 100 AND 105").count() == 1 and kept.columns == docs([]).columns
     assert near_dedup.near_duplicate_table(docs([])).count() == 0
+
+
+def test_crowds_of_edited_copies_against_all_pairs(docs):
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows, sets = [], {}
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 7)):
+            at = rnd.randrange(len(words))
+            words[at:at + 1] = rnd.choice([[], [f"x{rnd.randrange(4)}"], [words[at], f"y{rnd.randrange(99)}"]])
+        rows.append((i, " ".join(words), None, None))
+        sets[i] = {tuple(words[k:k + 3]) for k in range(len(words) - 2)}
+    comp = {i: i for i in sets}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((top(i), top(j)))
+                comp[high] = low
+    want = {i: (len(sets[i]), top(i)) for i in sets}
+    assert len({c for _, c in want.values()}) > 5
+    got = near_dedup.near_duplicate_table(docs(rows), near_dedup.Rule(3, 85)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
