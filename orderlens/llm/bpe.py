@@ -66,8 +66,9 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids' bytes, special tokens kept, as the library's decode gives it."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
     def word(self, raw: bytes) -> list[int]:
         """The ids of one word, by the merges alone."""
@@ -195,7 +196,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def digest_ids(ids: list[int]) -> str:
+def digest_ids(ids: list[int] | np.ndarray) -> str:
     return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
 
 
@@ -272,7 +273,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for batch in batches:
             ids = batch.column(1).to_pylist()
             for i, one in enumerate(ids):
-                text = pa.array(model.decode([one or []]), pa.string())
+                text = pa.array([model.decode(one or [])], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:i + 1], batch.column(1)[i:i + 1], text],
                                                  ["id", "ids", "text"])
 
@@ -290,8 +291,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out: list[tuple[int, str, str]] = []
             for one in batch.column(1):
-                ids = one.as_py()
-                out.append((len(ids), digest_ids(ids), digest_text(model.decode([ids])[0])))
+                ids = one.values.to_numpy()
+                out.append((len(ids), digest_ids(ids), digest_text(model.decode(ids.tolist()))))
             n, ids_sha, text_sha = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),

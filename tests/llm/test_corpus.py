@@ -91,6 +91,14 @@ def test_joined_pieces_equal_the_whole():
         assert model.tree([model.piece(p) for p in cut]) == reference([text])[0], text
 
 
+def test_any_ids_decode_as_in_the_library():
+    model, rnd = bpe.bpe(bpe.default_tokenizer()), random.Random(13)
+    size = len(model.bytes)
+    for _ in range(3000):  # many are not valid UTF-8
+        ids = [rnd.choice([rnd.randrange(size), rnd.randrange(256), *model.specials]) for _ in range(rnd.randint(0, 20))]
+        assert model.decode(ids) == model.tok.decode(ids, skip_special_tokens=False), ids
+
+
 def test_encode_decode_in_spark_equals_the_library(docs):
     texts = {10: "ab" * 3000, 11: "<|endoftext|>" * 40 + " x", 12: "Hello  world\r\n" * 200}
     rows = [*EDGES, *((i, t, None, None) for i, t in texts.items())]
