@@ -7,9 +7,12 @@ aligned in the same way.  The coverage of a template is the share of its words
 that are aligned.
 
 Only stretches with words of the template are aligned: a text is read once,
-and the positions of words that the template also has are grouped into
-windows of at most ``REACH`` times its length, so the work follows the length of
-the text.  A notice that a text repeats is found each time.
+and places where the last ``REACH`` times its length of words hold enough of
+the template's words are looked at, so the work follows the length of the
+text.  There a table of latest starts names the first place where a notice can
+end and the tightest stretch up to it; the stretch grows while it gains more
+words than it passes over, is aligned, and the scan goes on right behind it.
+A notice that a text repeats, edited or not, is so found each time.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +107,36 @@ def increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def candidates(own: list[str], spots: list[int], counts: Counter, need: int, reach: int) -> Iterator[tuple[int, int]]:
+    """Places in ``spots`` where a notice may end, each with the place of the first spot it can hold: the
+    spots between have ``need`` words of the template, each as often as the template at most."""
+    lo, common, held = 0, 0, Counter()
+    for hi, i in enumerate(spots):
+        held[own[i]] += 1
+        common += held[own[i]] <= counts[own[i]]
+        while spots[lo] <= i - reach:
+            common -= held[own[spots[lo]]] <= counts[own[spots[lo]]]
+            held[own[spots[lo]]] -= 1
+            lo += 1
+        if common >= need:
+            yield lo, hi
+
+
+def grown(own: list[str], spots: list[int], places: dict[str, list[int]], size: int, first: int, hit: int,
+          reach: int) -> tuple[int, int]:
+    """(place of the last spot, common words) of the stretch from spot ``first``
+    that ends at ``hit`` or later and has most common words for its length."""
+    row = np.zeros(size + 1, np.int32)  # common words of the stretch and the template's first words
+    best = (0, hit, 0)
+    for k in range(first, bisect_left(spots, spots[first] + reach)):
+        for j in places[own[spots[k]]]:
+            np.maximum(row[j + 1:], row[j] + 1, out=row[j + 1:])
+        gain = 2 * int(row[size]) - (spots[k] - spots[first])
+        if k == hit or k > hit and gain > best[0]:
+            best = (gain, k, int(row[size]))
+    return best[1:]
+
+
 def scan(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, int, int, int, float]]:
     """(name, first word, last word, aligned words, coverage) of every notice in a text."""
     found = []
@@ -113,24 +147,36 @@ def scan(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE)
         if w in vocabulary:
             index.setdefault(w, []).append(i)
     for name, t in templates.items():
-        need = -(-len(t) * coverage // 1)
+        need = max(1, int(-(-len(t) * coverage // 1)))
         counts = Counter(t)
         if sum(min(n, len(index.get(w, ()))) for w, n in counts.items()) < need:
             continue
         spots = sorted(i for w in counts for i in index.get(w, ()))
-        reach, k = REACH * len(t), 0
-        while k < len(spots):
-            last = bisect_left(spots, spots[k] + reach)  # spots of the window from this one
-            if last - k < need:
-                k += 1
+        places = {w: [j for j in range(len(t) - 1, -1, -1) if t[j] == w] for w in counts}
+        reach, free, upto = REACH * len(t), 0, 0
+        starts = np.full((need + 1, len(t) + 1), -1, np.int64)
+        for lo, hi in candidates(own, spots, counts, need, reach):
+            if hi < free:  # inside the last notice
                 continue
-            pairs = align(own, t, spots[k], spots[last - 1] + 1, 0, len(t))
-            share = len(pairs) / len(t)
-            if share < coverage:
-                k += 1
+            if max(lo, free) > upto:
+                upto = max(lo, free)
+                starts[:] = -1
+            # starts[c, j]: the latest spot from which c words up to here align with the template's first j
+            while upto <= hi:
+                starts[0] = upto
+                for j in places[own[spots[upto]]]:
+                    np.maximum(starts[1:, j + 1:], starts[:-1, j, None], out=starts[1:, j + 1:])
+                upto += 1
+            first = int(starts[need, len(t)])
+            if first < lo:
                 continue
-            found.append((name, pairs[0][0], pairs[-1][0], len(pairs), share))
-            k = bisect_left(spots, pairs[-1][0] + 1)
+            last, common = grown(own, spots, places, len(t), first, hi, reach)
+            # where words repeat inside the stretch, patience may find fewer than there are
+            aligned = len(align(own, t, spots[first], spots[last] + 1, 0, len(t)))
+            aligned = aligned if aligned >= need else common
+            found.append((name, spots[first], spots[last], aligned, aligned / len(t)))
+            free = upto = last + 1
+            starts[:] = -1
     return found
 
 
