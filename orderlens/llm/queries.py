@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, centroids, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality, vector_search
+from orderlens.llm import bpe, centroids, context_tree, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality, vector_search
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_table(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op6_line_dedup, op7_mixing, op8_nearest_neighbours, op9_exact_dedup,
-    op10_near_dedup, op12_centroids)}
+    op10_near_dedup, op12_centroids, op13_context_tree)}
 
 ORACLE: dict[str, str] = {
     "op12_centroids": centroids.oracle(),
