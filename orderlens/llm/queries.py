@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, centroids, context_tree, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality, vector_search
+from orderlens.llm import bpe, centroids, context_tree, conversation_repair, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality, vector_search
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_table(documents(spark, sf_dir), near_dedup.Rule(words=3, percent=85))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -62,9 +66,10 @@ def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_license_scan, op2_bpe, op3_sharding, op4_language_id, op5_quality, op6_line_dedup, op7_mixing, op8_nearest_neighbours, op9_exact_dedup,
-    op10_near_dedup, op12_centroids, op13_context_tree)}
+    op10_near_dedup, op11_conversation_repair, op12_centroids, op13_context_tree)}
 
 ORACLE: dict[str, str] = {
+    "op11_conversation_repair": conversation_repair.ORACLE,
     "op12_centroids": centroids.oracle(),
     "op6_line_dedup": r"""
 WITH whole_lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
