@@ -16,6 +16,8 @@ from orderlens.operators.stats import money_avg, money_sum
 from orderlens.plans.joins import bounded_broadcast, restrict_to_keys
 from orderlens.plans.lineage import materialize_bounded
 from orderlens.plans.paging import check_page, keyset_page, offset_page, sort_bounded
+from orderlens.plans.selection import DEEP, deep_page
+from orderlens.sources.search_index import SearchIndex
 from orderlens.sources.tables import Tables
 
 RECENT_ORDERS = 10
@@ -52,25 +54,28 @@ def customer_metrics(t: Tables) -> DataFrame:
     return _attach(t.users, _lifetime(t.user_orders.select("user_id", "order_id", "total_amount", "order_date")))
 
 
-def filtered_users(t: Tables, search: str | None = None) -> DataFrame:
+def filtered_users(t: Tables, search: str | None = None, index: SearchIndex | None = None) -> DataFrame:
+    if index is not None:
+        return index.search(t.users, search)
     pred = customer_search(search)
     return t.users.where(pred) if pred is not None else t.users
 
 
 def list_customers(t: Tables, page: int = 1, per_page: int = 20, search: str | None = None,
-                   after=None) -> DataFrame:
+                   after=None, index: SearchIndex | None = None) -> DataFrame:
     """V4: a page of users, newest first, with lifetime metrics.
 
     The page is taken from ``users`` alone (metrics take no part in filtering
     or ordering), then only that page's orders are aggregated: the page's ids
     reach the orders scan as a pushed ``IN`` filter.  ``after=(created_at,
-    id)`` switches to keyset paging (``page`` is then ignored).
+    id)`` switches to keyset paging (``page`` is then ignored); a page at an
+    offset of ``DEEP`` rows or more is found by selecting its first key.
     """
     if after is not None:
-        top = keyset_page(filtered_users(t, search), "created_at", "id", per_page, after)
+        top = keyset_page(filtered_users(t, search, index), "created_at", "id", per_page, after)
     else:
-        check_page(page, per_page)
-        top = offset_page(filtered_users(t, search), newest_users(), page, per_page)
+        rows, deep = filtered_users(t, search, index), check_page(page, per_page) >= DEEP
+        top = deep_page(rows, "created_at", "id", page, per_page) if deep else offset_page(rows, newest_users(), page, per_page)
     top = materialize_bounded(top)
     orders = restrict_to_keys(t.user_orders.select("user_id", "order_id", "total_amount", "order_date"),
                               top, "user_id", per_page, key_col="id")

@@ -21,6 +21,8 @@ from orderlens.functions.predicates import (all_of, between, from_day, on_day, o
 from orderlens.plans.joins import attach_counts, bounded_broadcast, restrict_to_keys
 from orderlens.plans.lineage import materialize_bounded
 from orderlens.plans.paging import check_page, check_size, keyset_page, newest_first, offset_page, sort_bounded
+from orderlens.plans.selection import DEEP, deep_page
+from orderlens.sources.search_index import SearchIndex
 from orderlens.sources.tables import Tables
 
 # Column lists of the reference's order lists.
@@ -81,31 +83,37 @@ def todays_orders(t: Tables, as_of: datetime, mode: str = "from", limit: int | N
     return item_counts_for(page, t, n)
 
 
-def filtered_orders(t: Tables, status: str | None = None, search: str | None = None) -> DataFrame:
-    """The list's optional predicates, ANDed."""
-    return t.orders.where(all_of(status_is(status), order_search(search)))
+def filtered_orders(t: Tables, status: str | None = None, search: str | None = None,
+                    index: SearchIndex | None = None) -> DataFrame:
+    """The list's optional predicates, ANDed; with an ``index`` the
+    search reads only the row groups of its candidates."""
+    rows = t.orders if index is None else index.search(t.orders, search)
+    return rows.where(all_of(status_is(status), order_search(search) if index is None else None))
 
 
-def list_orders(t: Tables, page: int = 1, per_page: int = 20, status: str | None = None,
-                search: str | None = None, live_columns: bool = False, after=None) -> DataFrame:
+def list_orders(t: Tables, page: int = 1, per_page: int = 20, status: str | None = None, search: str | None = None,
+                live_columns: bool = False, after=None, index: SearchIndex | None = None) -> DataFrame:
     """V2: one page of orders, newest first, with item counts.
 
     ``after=(order_date, order_id)`` switches to keyset paging (``page`` is
-    then ignored), which keeps deep pages as cheap as the first.
+    then ignored), which keeps deep pages as cheap as the first.  A page at an
+    offset of ``DEEP`` rows or more is found by selecting its first key, so no
+    task keeps the rows before it.
     """
     cols = LIST_COLUMNS_LIVE if live_columns else LIST_COLUMNS
-    rows = filtered_orders(t, status, search).select(*cols)
+    rows = filtered_orders(t, status, search, index).select(*cols)
     if after is not None:
         top = keyset_page(rows, "order_date", "order_id", per_page, after)
     else:
-        check_page(page, per_page)
-        top = offset_page(rows, newest(), page, per_page)
+        deep = check_page(page, per_page) >= DEEP
+        top = deep_page(rows, "order_date", "order_id", page, per_page) if deep else offset_page(rows, newest(), page, per_page)
     return item_counts_for(top, t, per_page)
 
 
-def count_orders(t: Tables, status: str | None = None, search: str | None = None) -> DataFrame:
+def count_orders(t: Tables, status: str | None = None, search: str | None = None,
+                 index: SearchIndex | None = None) -> DataFrame:
     """A10: number of orders matching the list's predicates (one row)."""
-    return filtered_orders(t, status, search).agg(F.count(F.lit(1)).alias("total"))
+    return filtered_orders(t, status, search, index).agg(F.count(F.lit(1)).alias("total"))
 
 
 def count_orders_distinct(t: Tables, status: str | None = None, search: str | None = None) -> DataFrame:

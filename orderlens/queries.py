@@ -8,6 +8,7 @@ tables.  Money leaves as ``double`` in both engines so values hash alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.functions.period import period_bounds, sql_ts
+from orderlens.functions.period import ntz_to_instant, period_bounds, sql_ts
 from orderlens.operators import stats
 from orderlens.sources.fixtures import oracle_prelude, shop_tables
 
@@ -115,7 +116,9 @@ for _name, _p, _u in (("today_hour", "today", "hour"), ("week_day", "week", "day
 # --- V1, V2: order lists ------------------------------------------------------
 
 from orderlens.operators import customers, orders  # noqa: E402
+from orderlens.plans.lineage import materialize  # noqa: E402
 from orderlens.plans.paging import page_count  # noqa: E402
+from orderlens.plans.selection import deep_page  # noqa: E402
 
 _AS_OF_DAY = "DATE '2001-07-31'"
 
@@ -740,3 +743,120 @@ def _keyset_second_customer_page(t):
 
 
 register("customers_keyset_page", _customers_sql("TRUE", 20, 20))(_keyset_second_customer_page)
+
+
+# --- search through the trigram index, deep pages ------------------------------------------
+
+from orderlens.sources.search_index import SearchIndex, customer_index, order_index  # noqa: E402
+from orderlens.session import ensure_checkpoint_dir  # noqa: E402
+
+# Tables that the store-backed queries derive from the shop tables, once per session and folder (as the
+# fixtures are): a shop would build them once and keep them up to date.
+_BUILT: dict[tuple[int, str], tuple] = {}
+
+
+def _built(t, name: str, build: Callable):
+    key = (id(t), name)
+    if key not in _BUILT:
+        spark = t.orders.sparkSession
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        _BUILT[key] = (t, build(spark, root))  # t is kept, so that its id is not given to another
+    return _BUILT[key][1]
+
+
+def _order_index(t) -> SearchIndex:
+    def build(spark, root):
+        index = order_index(spark, root)
+        # in two batches that share blocks, as a table that has grown
+        index.add(t.orders.where(F.col("order_id") % 3 != 0), 0)
+        index.add(t.orders.where(F.col("order_id") % 3 == 0), 1)
+        return index
+    return _built(t, "order-index", build)
+
+
+def _customer_index(t) -> SearchIndex:
+    def build(spark, root):
+        index = customer_index(spark, root)
+        index.add(t.users)
+        return index
+    return _built(t, "customer-index", build)
+
+
+register("orders_search_indexed", ORACLE["orders_search"])(
+    lambda t: orders.list_orders(t, search="#0000011", index=_order_index(t)))
+register("orders_search_indexed_wildcard", _orders_list_sql(
+    orders.LIST_COLUMNS, "o.status = 'delivered' AND " + _search_sql("omer.00%01_@EXA", _ORDER_SEARCH_COLS), 20))(
+    lambda t: orders.list_orders(t, status="delivered", search="omer.00%01_@EXA", index=_order_index(t)))
+register("orders_search_indexed_parts", _orders_list_sql(
+    orders.LIST_COLUMNS, _search_sql("STOMER.0000%1@EXAM", _ORDER_SEARCH_COLS), 20, 20))(
+    lambda t: orders.list_orders(t, page=2, search="STOMER.0000%1@EXAM", index=_order_index(t)))
+register("orders_search_indexed_short", ORACLE["orders_search_wildcard"])(
+    lambda t: orders.list_orders(t, status="delivered", search="9_0%12", index=_order_index(t)))
+register("orders_search_indexed_none", _orders_list_sql(
+    orders.LIST_COLUMNS, _search_sql("nobody of this name", _ORDER_SEARCH_COLS), 20))(
+    lambda t: orders.list_orders(t, search="nobody of this name", index=_order_index(t)))
+register("orders_count_indexed", ORACLE["orders_count_filtered"])(
+    lambda t: orders.count_orders(t, status="shipped", search="0001", index=_order_index(t)))
+register("customers_search_indexed", ORACLE["customers_search"])(
+    lambda t: customers.list_customers(t, search="customer#00000", index=_customer_index(t)))
+
+# 15,000 orders and 1,500 customers at sf 0.01; an empty page at smaller sizes
+register("orders_page_deep", _orders_list_sql(orders.LIST_COLUMNS, "TRUE", 20, 12_340))(
+    lambda t: orders.list_orders(t, page=618))
+register("orders_page_deep_status", _orders_list_sql(orders.LIST_COLUMNS, "o.status = 'pending'", 7, 1_400))(
+    lambda t: orders.item_counts_for(deep_page(orders.filtered_orders(t, "pending").select(*orders.LIST_COLUMNS),
+                                               "order_date", "order_id", 201, 7), t, 7))
+
+
+def _deep_customers(t) -> DataFrame:
+    top = deep_page(t.users, "created_at", "id", 71, 20).select("id")
+    return customers.customer_metrics(t).join(F.broadcast(top), "id", "left_semi")  # a page of ids
+
+
+register("customers_page_deep", _customers_sql("TRUE", 20, 1_400))(_deep_customers)
+
+
+# --- period figures from the hourly roll-up ------------------------------------------------
+
+from orderlens.sources import rollup  # noqa: E402
+
+
+def _rollup(t):
+    """The roll-up of the orders, and after it that of two batches of status updates: (store, orders) of each."""
+    def build(spark, root):
+        fresh = rollup.rollup_store(spark, f"{root}/fresh")
+        rollup.add_orders(fresh, 0, t.orders.where(F.col("order_id") % 2 == 0))
+        rollup.add_orders(fresh, 1, t.orders.where(F.col("order_id") % 2 != 0))
+        changed = rollup.rollup_store(spark, f"{root}/changed", fanout=2)
+        rollup.add_orders(changed, 0, t.orders)
+        when = F.unix_micros(ntz_to_instant("created_at"))
+        early = when <= F.lit(t.status_updates.agg(F.percentile_approx(when, 0.5)).first()[0])
+        now = t.orders
+        for batch, part in ((1, t.status_updates.where(early)), (2, t.status_updates.where(~early))):
+            result = updates.apply_status_updates(now, part)
+            changes = materialize(result.changes)
+            rollup.change_statuses(changed, batch, now, changes)
+            now = materialize(updates.current_status(now, changes.select("order_id", F.col("status").alias("_new"))))
+        return {"fresh": (fresh, t.orders), "changed": (changed, now)}
+    return _built(t, "order-rollup", build)
+
+
+def _updated_sql(sql: str) -> str:
+    """A query of ``shop_orders`` over the orders after all status updates."""
+    orders_now = """orders_now AS (SELECT o.* REPLACE (CASE WHEN l.order_id IS NOT NULL THEN l.new_status ELSE o.status END AS status)
+  FROM shop_orders o LEFT JOIN last_update l ON l.order_id = o.order_id)"""
+    body = sql[sql.index("SELECT", len(oracle_prelude("shop_orders")) - 1):]
+    return (oracle_prelude("shop_orders", "status_updates", extra=(*_UPDATE_CTES, orders_now))
+            + body.replace("FROM shop_orders", "FROM orders_now"))
+
+
+for _p in ("today", "yesterday", "week", "month", "last_month", "all"):
+    register(f"rollup_totals_{_p}", ORACLE[f"totals_{_p}"])(
+        lambda t, p=_p: rollup.totals(*_rollup(t)["fresh"], p, AS_OF))
+    register(f"rollup_updated_totals_{_p}", _updated_sql(_totals_sql(_p)))(
+        lambda t, p=_p: rollup.totals(*_rollup(t)["changed"], p, AS_OF))
+    register(f"rollup_updated_status_{_p}", _updated_sql(_status_sql(_p)))(
+        lambda t, p=_p: rollup.status_distribution(*_rollup(t)["changed"], p, AS_OF))
+for _name, _p, _u in (("today_hour", "today", "hour"), ("week_day", "week", "day"), ("all_month", "all", "month")):
+    register(f"rollup_timeline_{_name}", ORACLE[f"timeline_{_name}"])(
+        lambda t, p=_p, u=_u: rollup.timeline(*_rollup(t)["fresh"], p, AS_OF, u))

@@ -2,9 +2,9 @@
 
 ST1 replaces the dashboard's 5-minute refetch with an incremental hourly
 aggregate.  Orders may arrive in any order and none is dropped: every
-micro-batch writes the partial sums of its own windows to its ``batch_id``
-folder (idempotent on replay), and a reader adds them up.  There is no state
-to bound; the output grows by the windows that a batch touches.
+micro-batch commits the partial sums of its own windows to a tiered store
+(``sources.tiered_store``), and a reader adds up what is committed.  There is
+no state to bound; merges keep the number of parts logarithmic in the batches.
 
 ST2 applies status changes as they arrive: every micro-batch runs the batch
 operator (V11) against the current status and commits its delta, logs and
@@ -20,13 +20,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orderlens.functions.period import instant_to_ntz, ntz_to_instant
-from orderlens.operators.stats import money_sum
 from orderlens.operators.updates import apply_status_updates
+from orderlens.plans.lineage import materialize
 from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources import status_store
+from orderlens.sources.tables import SCHEMAS
+from orderlens.sources.tiered_store import FANOUT, TieredStore
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -43,15 +46,25 @@ def partial_timeline(orders: DataFrame, width: str = "1 hour") -> DataFrame:
     return agg.select(instant_to_ntz(F.col("w.start")).alias("period"), "order_count", "revenue")
 
 
-def start_live_timeline(orders_stream: DataFrame, out_dir: str, checkpoint: str,
-                        width: str = "1 hour", processing_time: str | None = "5 minutes") -> StreamingQuery:
-    """Run ST1: write each micro-batch's partial windows to ``out_dir``.
+TIMELINE_SCHEMA = T.StructType([T.StructField("period", T.TimestampNTZType()), T.StructField("order_count", T.LongType()),
+                                T.StructField("revenue", T.DecimalType(38, 2))])
+
+
+def timeline_store(spark: SparkSession, out_dir: str, fanout: int = FANOUT) -> TieredStore:
+    return TieredStore(spark, out_dir, TIMELINE_SCHEMA, ("period",), fanout)
+
+
+def start_live_timeline(orders_stream: DataFrame, out_dir: str, checkpoint: str, width: str = "1 hour",
+                        processing_time: str | None = "5 minutes", fanout: int = FANOUT) -> StreamingQuery:
+    """Run ST1: commit each micro-batch's partial windows to the store in ``out_dir``.
 
     ``processing_time=None`` processes what is available and stops (tests,
     catch-up runs); the default matches the reference's 5-minute refresh.
     """
+    store = timeline_store(orders_stream.sparkSession, out_dir, fanout)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        partial_timeline(batch, width).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        store.write(batch_id, partial_timeline(batch, width))
 
     writer = orders_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if processing_time is None else writer.trigger(
@@ -59,10 +72,10 @@ def start_live_timeline(orders_stream: DataFrame, out_dir: str, checkpoint: str,
     return writer.start()
 
 
-def read_live_timeline(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Every window, added up over the micro-batches written so far."""
-    return spark.read.parquet(out_dir).groupBy("period").agg(
-        F.sum("order_count").alias("order_count"), money_sum("revenue").alias("total_revenue"))
+def read_live_timeline(spark: SparkSession, out_dir: str, fanout: int = FANOUT) -> DataFrame:
+    """Every window, added up over the micro-batches committed so far; no window before the first."""
+    sums = timeline_store(spark, out_dir, fanout).read()
+    return sums.select("period", "order_count", F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("total_revenue"))
 
 
 def live_timeline(spark: SparkSession, orders_stream: DataFrame, root: str | None = None) -> DataFrame:
@@ -86,7 +99,8 @@ def start_status_updates(updates_stream: DataFrame, base_orders: DataFrame, root
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = status_store.current_orders(spark, base_orders, root, before=batch_id)
-        result = apply_status_updates(current, batch, num_partitions)
+        updates = materialize(batch)  # the source is read once for the three outputs
+        result = apply_status_updates(current, updates, num_partitions)
         status_store.write_batch(spark, root, batch_id, result)
         if compact_every and (batch_id + 1) % compact_every == 0:
             status_store.compact(spark, base_orders, root, upto=batch_id)
@@ -105,4 +119,4 @@ def stream_status_updates(updates_stream: DataFrame, base_orders: DataFrame, roo
     root = root or _scratch(spark, "status_updates")
     start_status_updates(updates_stream, base_orders, root, num_partitions=num_partitions).awaitTermination()
     logs = status_store.read_logs(spark, root)
-    return logs
+    return spark.createDataFrame([], SCHEMAS["order_logs"]) if logs is None else logs

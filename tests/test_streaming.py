@@ -31,10 +31,10 @@ def test_live_timeline_over_several_batches_equals_batch(spark, tmp_path):
               .option("recursiveFileLookup", "true").parquet(str(src)))
     root = str(tmp_path / "st1")
     got = live.live_timeline(spark, stream, root=root)
-    out = spark.read.parquet(f"{root}/out")
-    assert out.select("batch_id").distinct().count() >= 3
+    out = spark.read.parquet(f"{root}/out/parts")
+    assert out.select("level", "seq").distinct().count() >= 3
     split = out.where(F.col("period") == F.lit(hour["h"].isoformat(sep=" ")).cast("timestamp_ntz"))
-    assert split.select("batch_id").distinct().count() == 2  # the split hour was updated twice
+    assert split.select("level", "seq").distinct().count() == 2  # the split hour was updated twice
     want = (orders.groupBy(stats.bucket("order_date", "hour").alias("period"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.coalesce(F.sum("total_amount").cast("double"), F.lit(0.0)).alias("total_revenue")))
@@ -78,7 +78,7 @@ def test_live_timeline_loses_nothing_when_orders_come_in_any_order(spark, tmp_pa
               .option("recursiveFileLookup", "true").parquet(str(src)))
     root = str(tmp_path / "st1")
     got = live.live_timeline(spark, stream, root=root)
-    assert spark.read.parquet(f"{root}/out").select("batch_id").distinct().count() == 4
+    assert len(live.timeline_store(spark, f"{root}/out").visible()) == 4
     want = (orders.groupBy(stats.bucket("order_date", "hour").alias("period"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.coalesce(F.sum("total_amount").cast("double"), F.lit(0.0)).alias("total_revenue")))
@@ -97,3 +97,27 @@ def test_a_damaged_commit_marker_is_an_error_not_an_empty_store(spark, tmp_path)
     (marker / "part-0.parquet").write_bytes(b"not parquet")
     with pytest.raises(Exception):
         status_store.committed(spark, str(root)).count()
+
+
+def test_an_empty_stream_gives_empty_tables(spark, tmp_path):
+    t = shop_tables(spark, SF_SMALL)
+    (tmp_path / "in").mkdir()
+    for schema, run in ((t.orders.schema, lambda s: live.live_timeline(spark, s, root=str(tmp_path / "st1"))),
+                        (t.status_updates.schema, lambda s: live.stream_status_updates(s, t.orders, root=str(tmp_path / "st2")))):
+        got = run(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        assert got.count() == 0 and got.columns
+
+
+def test_a_batch_that_is_not_committed_is_not_read(spark, tmp_path):
+    import shutil
+
+    store = live.timeline_store(spark, str(tmp_path / "out"))
+    sums = live.partial_timeline(shop_tables(spark, SF_SMALL).orders)
+    store.write(0, sums)
+    store.write(1, sums)
+    once = store.read().agg(F.sum("order_count")).first()[0]
+    shutil.rmtree(tmp_path / "out" / "_commits" / "level=0" / "seq=1", ignore_errors=True)
+    (tmp_path / "out" / "_commits" / "level=0" / "seq=1").unlink(missing_ok=True)
+    assert store.read().agg(F.sum("order_count")).first()[0] * 2 == once
+    store.write(1, sums)  # the replay
+    assert store.read().agg(F.sum("order_count")).first()[0] == once
