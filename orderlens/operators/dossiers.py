@@ -8,23 +8,29 @@ reuse one hash partitioning, so the orders side is shuffled once for them.
 
 Children with unbounded fan-out (items, addresses, logs) are returned flat,
 keyed and carrying their sort keys; :func:`order_documents` renders JSON with
-those children cut into bounded chunks (``plans.nesting``).
+those children cut into pages by position (``plans.positions``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.functions import format as fmt
 from orderlens.plans.joins import attach_counts, pick_one
-from orderlens.plans.nesting import nest_chunks
+from orderlens.plans.positions import nest_pages
 from orderlens.sources.tables import Tables
 
+#: Keys that go to a scan as a literal list; more become a table of keys and a semi join.
+MAX_LITERAL_KEYS = 1000
+
+#: The folder column of the partitioned layout, no part of an order.
+LAYOUT_COLUMN = "order_month"
+
 # Fixed value: the label of an item whose type is neither service nor menu.
 UNKNOWN_ITEM = "Unknown Item"
 
@@ -38,6 +44,8 @@ def _only(df: DataFrame, col: str, ids: Iterable[int] | DataFrame | None) -> Dat
     """restrict to the given keys (a list, or a DataFrame of keys)."""
     if ids is None:
         return df
+    if not isinstance(ids, DataFrame) and len(ids) > MAX_LITERAL_KEYS:  # too many for a pushed list
+        ids = df.sparkSession.createDataFrame([(i,) for i in set(ids)], f"{col} long")
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(col)), col, "left_semi")
     return df.where(F.col(col).isin(list(ids)))
@@ -125,7 +133,7 @@ def order_dossier_flat(t: Tables, ids=None) -> DataFrame:
     ids = _keys(ids)
     h = order_headers(t, ids)
     return h.select(
-        *[c for c in t.orders.columns], "item_count", "order_date_formatted", "total_amount_formatted",
+        *[c for c in t.orders.columns if c != LAYOUT_COLUMN], "item_count", "order_date_formatted", "total_amount_formatted",
         F.col("payment.payment_id").alias("payment_id"),
         F.col("payment.payment_status").alias("payment_status"),
         F.col("payment.amount").alias("payment_amount"),
@@ -142,39 +150,59 @@ def order_logs_sorted(logs: DataFrame, ids=None) -> DataFrame:
     return _only(logs, "order_id", ids).orderBy("order_id", F.desc_nulls_first("created_at"), F.desc("log_id"))
 
 
-def order_item_chunks(t: Tables, ids=None, chunk_size: int = 500, counts: DataFrame | None = None) -> DataFrame:
-    """J11 + A17: each order's named items as sorted arrays of about
-    ``chunk_size`` elements, ``(order_id, part, parts, items)``."""
+def order_item_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
+    """J11 + A17 + O6: each order's named items in pages of ``chunk_size``,
+    ``(order_id, part, parts, items)``; an order without items has an empty page."""
     ids = _keys(ids)
-    counts = counts if counts is not None else item_counts_by_order(t, ids)
     items = named_items(t, ids)
-    payload = [c for c in items.columns if c not in ("order_id", "order_item_id", "item_id", "total")]
-    return nest_chunks(items, "order_id", ["order_item_id", "item_id", "total"], payload,
-                       chunk_size, alias="items", counts=counts.select("order_id", "_n"))
+    lead = ["order_id", "order_item_id", "item_id", "total"]
+    items = items.select(*lead, *[c for c in items.columns if c not in lead])
+    return nest_pages(items, _only(t.orders, "order_id", ids), "order_id",
+                      [F.asc_nulls_first("order_item_id"), F.asc_nulls_first("item_id"), F.asc_nulls_first("total")], chunk_size, "items")
 
 
 def address_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
-    """J8 + O7 + A17: each user's addresses, default first, as sorted arrays
-    of about ``chunk_size`` elements, ``(user_id, part, parts, addresses)``."""
+    """J8 + O7 + A17: each user's addresses, default first, in pages of
+    ``chunk_size``, ``(user_id, part, parts, addresses)``; a user without
+    addresses has an empty page."""
     ids = _keys(ids)
     from orderlens.operators.customers import addresses_ranked
 
     addr = _only(addresses_ranked(t), "user_id", ids)
-    payload = [c for c in addr.columns if c not in ("user_id", "default_rank", "id")]
-    return nest_chunks(addr, "user_id", ["default_rank", "id"], payload, chunk_size, alias="addresses")
+    lead = ["user_id", "default_rank", "id"]
+    addr = addr.select(*lead, *[c for c in addr.columns if c not in lead])
+    users = _only(t.users.select(F.col("id").alias("user_id")), "user_id", ids)
+    return nest_pages(addr, users, "user_id", [F.col("default_rank").asc(), F.asc_nulls_first("id")], chunk_size, "addresses")
 
 
 def order_address_chunks(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
     """J8 + O7 in V3: all addresses of each order's customer, default first,
-    ``(order_id, user_id, part, parts, addresses)``.  An order without a known
-    user has none; a user's addresses are nested once, then meet the orders."""
+    ``(order_id, user_id, part, parts, addresses)``; an empty page where the
+    order has no known user or the user no address.  A user's addresses are
+    nested once, then meet the orders."""
     ids = _keys(ids)
     has_user = F.col("user_id").isNotNull() & (F.col("user_id") != 0)
-    owned = _only(t.orders, "order_id", ids).where(has_user).select("order_id", "user_id")
-    owned = owned.join(t.users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    owners = None if ids is None else owned.select("user_id").distinct()
-    return owned.join(address_chunks(t, owners, chunk_size), "user_id").select(
-        "order_id", "user_id", "part", "parts", "addresses")
+    orders = _only(t.orders, "order_id", ids).select("order_id", F.when(has_user, F.col("user_id")).alias("user_id"))
+    owners = None if ids is None else orders.where("user_id IS NOT NULL").select("user_id").distinct()
+    chunks = address_chunks(t, owners, chunk_size)
+    none = F.slice(F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema["addresses"].dataType.elementType])), 1, 0)
+    # orders without a user are told apart, so that they do not meet in one task
+    with_user = orders.where("user_id IS NOT NULL").join(chunks, "user_id", "left")
+    without = orders.where("user_id IS NULL").select(
+        "user_id", "order_id", *[F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in ("part", "parts", "addresses")])
+    return with_user.unionByName(without).select(
+        "order_id", "user_id", F.coalesce("part", F.lit(0).cast("long")).alias("part"),
+        F.coalesce("parts", F.lit(1).cast("long")).alias("parts"), F.coalesce("addresses", none).alias("addresses"))
+
+
+def log_chunks(t: Tables, logs: DataFrame, ids=None, chunk_size: int = 500) -> DataFrame:
+    """J10 + O8 + A17: each order's log, newest first, in pages of
+    ``chunk_size``, ``(order_id, part, parts, logs)``; an empty page without any."""
+    ids = _keys(ids)
+    lg = _only(logs, "order_id", ids)
+    lead = ["order_id", "created_at", "log_id"]
+    lg = lg.select(*lead, *[c for c in lg.columns if c not in lead])
+    return nest_pages(lg, _only(t.orders, "order_id", ids), "order_id", [F.desc_nulls_first("created_at"), F.desc("log_id")], chunk_size, "logs")
 
 
 def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame | None = None) -> DataFrame:
@@ -182,36 +210,65 @@ def order_documents(t: Tables, ids=None, chunk_size: int = 500, logs: DataFrame
 
     ``section`` is ``order`` (header, customer, payment: one document per
     order), ``items``, ``addresses`` (all of the customer's, default first) or
-    ``logs`` (children, chunked to about ``chunk_size`` elements per document,
-    each part sorted).  Sections are unioned, never
-    joined to each other, so no order's items are paired with its logs.
+    ``logs`` (newest first): lists in pages of ``chunk_size`` elements with
+    their positions, an empty list where an order has none.  Sections are
+    unioned, never joined to each other, so no order's items are paired with
+    its logs.
     """
     ids = _keys(ids)
-    counts = item_counts_by_order(t, ids)
-    header = order_headers(t, ids, counts)
-    order_cols = [c for c in t.orders.columns]
-    head_doc = _document(header.select(
+    header = order_headers(t, ids)
+    order_cols = [c for c in t.orders.columns if c != LAYOUT_COLUMN]
+    docs = _document(header.select(
         "order_id", F.lit("order").alias("section"), F.lit(0).cast("long").alias("part"),
         F.lit(1).cast("long").alias("parts"),
         F.struct(*order_cols, "order_date_formatted", "total_amount_formatted", "item_count").alias("order"),
         "customer", "payment"), "order_id")
-    item_chunks = order_item_chunks(t, ids, chunk_size, counts)
-    item_docs = _document(item_chunks.select("order_id", F.lit("items").alias("section"), "part", "parts",
-                                             "items"), "order_id")
-    docs = head_doc.unionByName(item_docs)
-    docs = docs.unionByName(_document(order_address_chunks(t, ids, chunk_size).select(
-        "order_id", F.lit("addresses").alias("section"), "part", "parts", "addresses"), "order_id"))
+    sections = {"items": order_item_chunks(t, ids, chunk_size), "addresses": order_address_chunks(t, ids, chunk_size)}
     logs = logs if logs is not None else t.order_logs
     if logs is not None:
-        lg = _only(logs, "order_id", ids)
-        payload = [c for c in lg.columns if c not in ("order_id", "created_at", "log_id")]
-        log_chunks = nest_chunks(lg, "order_id", ["created_at", "log_id"], payload, chunk_size,
-                                 alias="logs", descending=True)
-        docs = docs.unionByName(_document(log_chunks.select("order_id", F.lit("logs").alias("section"), "part",
-                                                            "parts", "logs"), "order_id"))
+        sections["logs"] = log_chunks(t, logs, ids, chunk_size)
+    for name, chunks in sections.items():
+        docs = docs.unionByName(_document(chunks.select("order_id", F.lit(name).alias("section"), "part", "parts", name), "order_id"))
     return docs
 
 
+# What an element of each section is told by when documents are read back: id, label, amount, time.
+_ELEMENTS = {
+    "items": ("order_item_id bigint, full_name string, total decimal(18,2)", ("order_item_id", "full_name", "total", None)),
+    "addresses": ("id bigint, city string", ("id", "city", None, None)),
+    "logs": ("log_id bigint, new_status string, created_at string", ("log_id", "new_status", None, "created_at")),
+    "orders": ("order_id bigint, status string, total_amount decimal(18,2), order_date string", ("order_id", "status", "total_amount", "order_date")),
+}
+
+
+def document_elements(docs: DataFrame, key: str) -> DataFrame:
+    """JSON documents read back: ``(key, section, part, parts, position, id,
+    label, amount, at_time)``, a row for each list element, one with NULLs for an
+    empty list, and one for each order or user section."""
+    schema = ", ".join([*(f"{name}: array<struct<position: bigint, recent_rank: bigint, {', '.join(f.replace(' ', ': ', 1) for f in fields.split(', '))}>>"
+                          for name, (fields, _) in _ELEMENTS.items()),
+                        "`order`: struct<order_id: bigint, status: string, total_amount: decimal(18,2), order_date: string>",
+                        "user: struct<id: bigint, full_name: string>, stats: struct<total_spent: decimal(18,2), total_orders: bigint>"])
+    kinds = ("string", "string", "decimal(18,2)", "string")
+
+    def told(source: Column, names: Sequence[str | None], position: Column) -> Column:
+        return F.struct(position.alias("position"), *[(source[n] if n else F.lit(None)).cast(kind).alias(alias)
+                                                      for n, kind, alias in zip(names, kinds, ("id", "label", "amount", "at_time"))])
+
+    doc = F.col("_doc")
+    parsed = docs.select(key, "section", "part", "parts", F.from_json("json", f"struct<{schema}>").alias("_doc"))
+    def listed(name: str, names: Sequence[str | None]) -> Column:
+        return F.transform(doc[name], lambda e: told(e, names, F.coalesce(e["position"], e["recent_rank"] - 1)))
+
+    lists = [listed(name, names) for name, (_, names) in _ELEMENTS.items()]
+    order = F.when(doc["order"].isNotNull(), F.array(told(doc["order"], ("order_id", "status", "total_amount", "order_date"), F.lit(0).cast("bigint"))))
+    user = F.when(doc["user"].isNotNull(), F.array(F.struct(F.lit(0).cast("bigint").alias("position"), doc["user"]["id"].cast("string").alias("id"),
+                                                           doc["user"]["full_name"].alias("label"), doc["stats"]["total_spent"].alias("amount"),
+                                                           F.lit(None).cast("string").alias("at_time"))))
+    return (parsed.select(key, "section", "part", "parts", F.explode_outer(F.coalesce(*lists, order, user)).alias("_e"))
+            .select(key, "section", "part", "parts", "_e.*"))
+
+
 def _document(df: DataFrame, key: str) -> DataFrame:
     """Key columns plus the whole row as one self-describing JSON text."""
     return df.select(key, "section", "part", "parts", fmt.to_json_record(*df.columns).alias("json"))
@@ -268,10 +325,11 @@ def customer_documents(t: Tables, ids=None, chunk_size: int = 500) -> DataFrame:
                  fmt.currency("avg_order_value").alias("avg_order_value_formatted")).alias("stats")), "user_id")
     recent = recent_orders(t.with_tables(orders=_only(t.orders, "user_id", ids),
                                          orders_by_user=_only(t.user_orders, "user_id", ids)))
-    order_cols = [c for c in recent.columns if c not in ("user_id", "recent_rank")]
+    order_cols = [c for c in recent.columns if c not in ("user_id", "recent_rank", LAYOUT_COLUMN)]
+    listed = recent.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("recent_rank", *order_cols))).alias("orders"))
+    none = F.slice(F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in listed.schema["orders"].dataType.elementType])), 1, 0)
     recent_docs = _document(
-        recent.groupBy("user_id")
-        .agg(F.sort_array(F.collect_list(F.struct("recent_rank", *order_cols))).alias("orders"))
+        users.select(F.col("id").alias("user_id")).join(listed, "user_id", "left").withColumn("orders", F.coalesce("orders", none))
         .select("user_id", F.lit("orders").alias("section"), F.lit(0).cast("long").alias("part"),
                 F.lit(1).cast("long").alias("parts"), "orders"), "user_id")
     addr_docs = _document(

@@ -66,12 +66,13 @@ def apply_status_updates(orders: DataFrame, updates: DataFrame,
     rejects = (updates.join(keys, "order_id", "left_anti")
                .withColumn("reason", F.lit(NOT_FOUND)))
 
-    seq = with_previous(valid, "order_id", UPDATE_ORDER, "new_status", num_partitions)
-    # Only the first update of each order needs the order's current status:
-    # one row per order meets the orders table, so a hot order adds no skew.
-    firsts = seq.where(~F.col("has_prev")).join(touched, "order_id", "left")
-    rest = seq.where(F.col("has_prev")).withColumn("_current", F.lit(None).cast("string"))
-    both = firsts.unionByName(rest)
+    # Only the first update of each order needs the order's current status.  The others carry their own id as
+    # join key, which meets nothing: one pass over the sequence, and a hot order adds no skew.
+    seq = (with_previous(valid, "order_id", UPDATE_ORDER, "new_status", num_partitions)
+           .withColumn("_first", ~F.col("has_prev"))
+           .withColumn("_key", F.when(F.col("_first"), F.col("order_id")).otherwise(F.col("update_id"))))
+    before = touched.select(F.col("order_id").alias("_key"), F.lit(True).alias("_first"), "_current")
+    both = seq.join(before, ["_key", "_first"], "left")
     old = F.when(F.col("has_prev"), F.col("prev_new_status")).otherwise(F.col("_current"))
     logs = both.select(
         F.col("update_id").alias("log_id"),

@@ -237,8 +237,9 @@ FROM addresses a""")(customers.addresses_ranked)
 # --- V3, V12: dossiers and payments --------------------------------------------
 
 from orderlens.operators import dossiers, updates  # noqa: E402
+from orderlens.plans.positions import with_positions  # noqa: E402
 
-_RUPEE = "'₹' || format('{:,.2f}', CAST(%s AS DOUBLE))"
+_RUPEE = "'₹' || format('{:,.2f}', COALESCE(CAST(%s AS DOUBLE), 0))"  # NULL reads as zero
 _DT_FMT = "coalesce(strftime(%s, '%%d %%b %%Y, %%I:%%M %%p'), '')"
 
 register("order_items_named", oracle_prelude("order_items", "services", "menu") + f"""
@@ -295,9 +296,85 @@ SELECT p.order_id, p.payment_id, o.user_name, o.payment_mode, p.payment_status,
 FROM first_payment p LEFT JOIN shop_orders o ON o.order_id = p.order_id""")(
     lambda t: dossiers.payment_details(t))
 
-register("order_dossier_json")(lambda t: dossiers.order_documents(
-    t, chunk_size=3, logs=updates.apply_status_updates(t.orders, t.status_updates).logs))
-register("customer_dossier_json")(lambda t: dossiers.customer_documents(t, chunk_size=1))
+_NAMED_ITEMS = """named_items AS (
+  SELECT oi.*, CASE WHEN oi.item_type = 'service' THEN s.name WHEN oi.item_type = 'menu' THEN m.name ELSE 'Unknown Item' END AS full_name
+  FROM order_items oi LEFT JOIN services s ON oi.item_type = 'service' AND oi.item_id = s.id
+  LEFT JOIN menu m ON oi.item_type = 'menu' AND oi.item_id = m.id)"""
+_RANKED_ADDRESSES = """ranked_addresses AS (
+  SELECT user_id, id, city, row_number() OVER (PARTITION BY user_id
+    ORDER BY CASE WHEN is_default IS NULL THEN 0 WHEN is_default THEN 1 ELSE 2 END, id) - 1 AS position FROM addresses)"""
+_JSON_TIME = "strftime(%s, '%%Y-%%m-%%dT%%H:%%M:%%S.%%f')"
+
+
+def _order_json_sql(where: str = "TRUE", size: int = 3) -> str:
+    """Every element of the order documents: pages of ``size``, a row of NULLs for an empty list."""
+    return oracle_prelude("shop_orders", "order_items", "services", "menu", "users", "addresses", "order_logs",
+                          extra=(_NAMED_ITEMS, _RANKED_ADDRESSES)) + f""",
+elements AS (
+  SELECT order_id, 'items' AS section, row_number() OVER (PARTITION BY order_id ORDER BY order_item_id, item_id, total) - 1 AS position,
+    order_item_id AS id, full_name AS label, CAST(total AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS at_time FROM named_items
+  UNION ALL
+  SELECT o.order_id, 'addresses', a.position, a.id, a.city, NULL, NULL FROM shop_orders o JOIN users u ON u.id = o.user_id
+    JOIN ranked_addresses a ON a.user_id = o.user_id WHERE o.user_id <> 0
+  UNION ALL
+  SELECT order_id, 'logs', row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC NULLS FIRST, log_id DESC) - 1,
+    log_id, new_status, NULL, {_JSON_TIME % 'created_at'} FROM order_logs
+  UNION ALL
+  SELECT order_id, 'order', 0, order_id, status, CAST(total_amount AS DOUBLE), {_JSON_TIME % 'order_date'} FROM shop_orders),
+lists AS (SELECT o.order_id, s.section FROM shop_orders o, (VALUES ('items'), ('addresses'), ('logs'), ('order')) s(section)),
+counted AS (SELECT *, COUNT(*) OVER (PARTITION BY order_id, section) AS n FROM elements)
+SELECT l.order_id, l.section, CAST(COALESCE(position // {size}, 0) AS BIGINT) AS part,
+  CAST(CASE WHEN l.section = 'order' THEN 1 ELSE GREATEST(CEIL(COALESCE(n, 0) / {size}), 1) END AS BIGINT) AS parts,
+  position, CAST(id AS VARCHAR) AS id, label, amount, at_time
+FROM lists l LEFT JOIN counted e ON e.order_id = l.order_id AND e.section = l.section WHERE {where}"""
+
+
+def _customer_json_sql(where: str = "TRUE") -> str:
+    return oracle_prelude("shop_orders", "users", "addresses", extra=(_RANKED_ADDRESSES,)) + f""",
+elements AS (
+  SELECT u.id AS user_id, 'user' AS section, 0 AS position, u.id AS id, u.full_name AS label,
+    COALESCE(CAST(SUM(o.total_amount) AS DOUBLE), 0) AS amount, CAST(NULL AS VARCHAR) AS at_time
+  FROM users u LEFT JOIN shop_orders o ON o.user_id = u.id GROUP BY u.id, u.full_name
+  UNION ALL
+  SELECT user_id, 'addresses', position, id, city, NULL, NULL FROM ranked_addresses
+  UNION ALL
+  SELECT user_id, 'orders', rank - 1, order_id, status, CAST(total_amount AS DOUBLE), {_JSON_TIME % 'order_date'} FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY order_date DESC NULLS FIRST, order_id DESC) AS rank
+    FROM shop_orders) WHERE rank <= 10),
+lists AS (SELECT u.id AS user_id, s.section FROM users u, (VALUES ('user'), ('addresses'), ('orders')) s(section)),
+counted AS (SELECT *, COUNT(*) OVER (PARTITION BY user_id, section) AS n FROM elements)
+SELECT l.user_id, l.section, CAST(CASE WHEN l.section = 'addresses' THEN COALESCE(position, 0) ELSE 0 END AS BIGINT) AS part,
+  CAST(CASE WHEN l.section = 'addresses' THEN GREATEST(COALESCE(n, 0), 1) ELSE 1 END AS BIGINT) AS parts,
+  position, CAST(id AS VARCHAR) AS id, label, amount, at_time
+FROM lists l LEFT JOIN counted e ON e.user_id = l.user_id AND e.section = l.section WHERE {where}"""
+
+
+_SOME_ORDERS = tuple(range(7, 4000, 101))          # a literal list of keys
+_MANY_ORDERS = tuple(range(0, 18000, 9))           # above the bound of a literal list
+_SOME_USERS = tuple(range(1, 140, 6))
+
+
+def _in(col: str, ids: tuple[int, ...]) -> str:
+    return f"{col} IN ({', '.join(map(str, ids))})"
+
+
+# JSON documents, written and read back element by element
+register("order_dossier_json", _order_json_sql())(
+    lambda t: dossiers.document_elements(dossiers.order_documents(t, chunk_size=3), "order_id"))
+register("order_dossier_json_ids", _order_json_sql(_in("l.order_id", _SOME_ORDERS), 2))(
+    lambda t: dossiers.document_elements(dossiers.order_documents(t, iter(_SOME_ORDERS), chunk_size=2), "order_id"))
+register("customer_dossier_json", _customer_json_sql())(
+    lambda t: dossiers.document_elements(dossiers.customer_documents(t, chunk_size=1), "user_id"))
+register("customer_dossier_json_ids", _customer_json_sql(_in("l.user_id", _SOME_USERS)))(
+    lambda t: dossiers.document_elements(dossiers.customer_documents(t, list(_SOME_USERS), chunk_size=1), "user_id"))
+for _n, _ids in (("some", _SOME_ORDERS), ("many", _MANY_ORDERS)):
+    register(f"order_dossier_flat_ids_{_n}", f"SELECT * FROM ({ORACLE['order_dossier_flat']}) q WHERE {_in('order_id', _ids)}")(
+        lambda t, ids=_ids: dossiers.order_dossier_flat(t, ids))
+    register(f"payment_details_ids_{_n}", f"SELECT * FROM ({ORACLE['payment_details']}) q WHERE {_in('order_id', _ids)}")(
+        lambda t, ids=_ids: dossiers.payment_details(t, ids))
+register("stored_order_logs_ranked", oracle_prelude("order_logs") + """
+SELECT l.*, row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC NULLS FIRST, log_id DESC) - 1 AS position FROM order_logs l""")(
+    lambda t: with_positions(t.order_logs, "order_id", [F.desc_nulls_first("created_at"), F.desc("log_id")]))
 
 
 # --- V10: catalogue ------------------------------------------------------------
@@ -675,7 +752,7 @@ register("statistics_all_status", ORACLE["status_distribution_all"])(
 # --- nested dossier parts, compared flattened ------------------------------------------
 
 def _exploded(chunks: DataFrame, key: str, alias: str) -> DataFrame:
-    return chunks.select(key, F.explode(alias).alias("_e")).select(key, "_e.*")
+    return chunks.select(key, F.explode(alias).alias("_e")).select(key, "_e.*").drop("position")
 
 
 register("order_item_chunks_flat", ORACLE["order_items_named"])(
@@ -693,7 +770,7 @@ WHERE o.user_id <> 0 AND {where}"""
 
 def _order_addresses(t, ids=None) -> DataFrame:
     chunks = dossiers.order_address_chunks(t, ids, chunk_size=2)
-    return chunks.select("order_id", "user_id", F.explode("addresses").alias("_e")).select("order_id", "user_id", "_e.*")
+    return chunks.select("order_id", "user_id", F.explode("addresses").alias("_e")).select("order_id", "user_id", "_e.*").drop("position")
 
 
 register("order_dossier_addresses", _order_addresses_sql("TRUE"))(_order_addresses)

@@ -29,14 +29,16 @@ SELECT c_custkey AS id, c_name AS full_name,
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
   JOIN {region} ON n_regionkey = r_regionkey""",
     "shop_orders": """
-SELECT o_orderkey AS order_id, o_custkey AS user_id, u.full_name AS user_name,
-  u.phone AS user_phone, u.email AS user_email,
-  CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount,
+SELECT o_orderkey AS order_id,
+  CASE WHEN o_orderkey % 211 = 0 THEN NULL WHEN o_orderkey % 223 = 0 THEN 0 ELSE o_custkey END AS user_id,
+  u.full_name AS user_name, u.phone AS user_phone, u.email AS user_email,
+  CASE WHEN o_orderkey % 233 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total_amount,
   CASE WHEN o_orderkey % 3 = 0 THEN 'COD' ELSE 'Online' END AS payment_mode,
   u.city AS delivery_location,
-  CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'processing'
-    WHEN 3 THEN 'shipped' WHEN 4 THEN 'delivered' ELSE 'cancelled' END AS status,
-  o_orderdate + ((o_orderkey * 7919) % 86400) * INTERVAL '1' SECOND AS order_date,
+  CASE WHEN o_orderkey % 227 = 0 THEN NULL ELSE CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed'
+    WHEN 2 THEN 'processing' WHEN 3 THEN 'shipped' WHEN 4 THEN 'delivered' ELSE 'cancelled' END END AS status,
+  CASE WHEN o_orderkey % 229 = 0 THEN NULL
+    ELSE o_orderdate + ((o_orderkey * 7919) % 86400) * INTERVAL '1' SECOND END AS order_date,
   o_orderdate + ((o_orderkey * 7919) % 86400 + 3600) * INTERVAL '1' SECOND AS delivery_date
 FROM {orders} JOIN {users} u ON o_custkey = u.id""",
     "order_items": """
@@ -76,6 +78,12 @@ SELECT o_orderkey AS payment_id, o_orderkey AS order_id, CAST(o_totalprice AS DE
   concat('txn_', lpad(CAST(o_orderkey AS STRING), 12, '0')) AS transaction_id,
   concat('sig_', lpad(CAST(o_orderkey AS STRING), 40, '0')) AS razorpay_signature
 FROM {orders} WHERE o_orderkey % 5 <> 0""",
+    # Stored log entries, beside those that status updates bring.
+    "order_logs": """
+SELECT event_id + 100000000 AS log_id, event_id % 1499 AS order_id, user_id AS admin_id, 'note' AS action,
+  event_type AS details, CAST(NULL AS STRING) AS old_status,
+  CASE WHEN event_id % 2 = 0 THEN 'pending' END AS new_status, ts AS created_at
+FROM {events} WHERE event_id % 3 = 0""",
     "status_updates": """
 SELECT event_id AS update_id,
   CASE WHEN event_id % 50 = 0 THEN -event_id - 1 ELSE event_id % 997 END AS order_id,
@@ -136,7 +144,7 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         orders=d["shop_orders"], order_items=d["order_items"], users=d["users"],
         addresses=d["addresses"], payments=d["payments"], services=d["services"],
-        menu=d["menu"], status_updates=d["status_updates"],
+        menu=d["menu"], order_logs=d["order_logs"], status_updates=d["status_updates"],
     )
 
 

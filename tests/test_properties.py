@@ -47,11 +47,11 @@ def test_document_chunks_hold_every_item(t):
     items = docs.where("section = 'items'").select(
         "order_id", F.size(F.from_json("json", "struct<items: array<string>>").getField("items")).alias("n"))
     per_doc = items.groupBy("order_id").agg(F.sum("n").alias("n"))
-    counts = orders.item_counts(t).where("item_count > 0")
+    counts = orders.item_counts(t)  # an order without items has an empty list
     diff = counts.join(per_doc, "order_id", "full").where(
         F.coalesce("item_count", F.lit(-1)) != F.coalesce("n", F.lit(-2)))
     assert diff.count() == 0
-    assert items.agg(F.max("n")).first()[0] <= 8  # chunks stay near chunk_size
+    assert items.agg(F.max("n")).first()[0] == 2  # pages are full
 
 
 def test_one_batch_equals_two_batches(spark, t):
