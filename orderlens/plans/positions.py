@@ -60,10 +60,11 @@ def nest_pages(children: DataFrame, parents: DataFrame, key: str, order: Sequenc
     ranged = _ranged(children, key, order, num_partitions)
     payload = [c for c in children.columns if c != key]
     pages = (_numbered(ranged, key, order).withColumn("part", F.floor(F.col("position") / F.lit(size)).cast("long"))
-             .groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("position", *payload))).alias(alias)))
+             .repartition(key, "part").groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("position", *payload))).alias(alias)))
     counts = ranged.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     parts = F.greatest(F.ceil(F.coalesce(F.col("_n"), F.lit(0)) / F.lit(size)), F.lit(1)).cast("long")
     listed = (parents.select(key).join(counts, key, "left").select(key, parts.alias("parts"))
-              .select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "parts"))
+              .select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "parts")
+              .repartition(key, "part"))  # left by the join dealt by key alone, which would do for the join below
     empty = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("position"), *[F.lit(None).cast(children.schema[c].dataType).alias(c) for c in payload])), 1, 0)
     return listed.join(pages, [key, "part"], "left").select(key, "part", "parts", F.coalesce(alias, empty).alias(alias))
