@@ -6,13 +6,14 @@ template are anchors; the longest run of anchors in the same order in both
 aligned in the same way.  The coverage of a template is the share of its words
 that are aligned.
 
-Only stretches with words of the template are aligned: a text is read once,
-and places where the last ``REACH`` times its length of words hold enough of
-the template's words are looked at, so the work follows the length of the
-text.  There a table of latest starts names the first place where a notice can
-end and the tightest stretch up to it; the stretch grows while it gains more
-words than it passes over, is aligned, and the scan goes on right behind it.
-A notice that a text repeats, edited or not, is so found each time.
+The alignment decides whether a notice is reported, where it stands and how
+much of it is there.  A text is read once; where the last ``reach`` times the
+template's length of words hold enough of its words, whatever their order, the
+stretches that end there are aligned, the shortest first.  The first one that
+covers enough of the template is a notice; it grows while the alignment gains
+more words than it passes over, and the scan goes on right behind it.  So a
+stretch holds one copy, its words are anchors, and a notice that a text repeats,
+edited or not, is found each time.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,25 @@ TEMPLATES = {
                 "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
                 "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
                 "furnished to do so, subject to the following conditions:",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+                "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+                "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+                "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+                "furnished to do so, subject to the following conditions: The above copyright notice and this "
+                "permission notice shall be included in all copies or substantial portions of the Software. THE "
+                "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+                "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+                "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+                "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+                "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+                "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+                "in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+                "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+                "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+                "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+                "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+                "THIS SOFTWARE.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
                 "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
                 "in all copies.",
@@ -54,7 +73,7 @@ TEMPLATES = {
 }
 #: Least share of a template's words that must be aligned.
 COVERAGE = 0.8
-#: Words of the text that an alignment may span, as a multiple of the template's.
+#: Words of the text that an alignment may span, as a multiple of the template's (a parameter of the table).
 REACH = 2
 
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
@@ -122,22 +141,39 @@ def candidates(own: list[str], spots: list[int], counts: Counter, need: int, rea
             yield lo, hi
 
 
-def grown(own: list[str], spots: list[int], places: dict[str, list[int]], size: int, first: int, hit: int,
-          reach: int) -> tuple[int, int]:
-    """(place of the last spot, common words) of the stretch from spot ``first``
-    that ends at ``hit`` or later and has most common words for its length."""
-    row = np.zeros(size + 1, np.int32)  # common words of the stretch and the template's first words
-    best = (0, hit, 0)
-    for k in range(first, bisect_left(spots, spots[first] + reach)):
-        for j in places[own[spots[k]]]:
-            np.maximum(row[j + 1:], row[j] + 1, out=row[j + 1:])
-        gain = 2 * int(row[size]) - (spots[k] - spots[first])
-        if k == hit or k > hit and gain > best[0]:
-            best = (gain, k, int(row[size]))
-    return best[1:]
+def covered(own: list[str], t: list[str], first: int, last: int) -> int:
+    """Words of the template that patience aligns with the text's words from ``first`` to ``last``."""
+    return len(align(own, t, first, last + 1, 0, len(t)))
+
+
+def tightest(own: list[str], t: list[str], spots: list[int], counts: Counter, lo: int, hi: int, need: int) -> int | None:
+    """The last of the spots ``lo`` to ``hi`` from which the stretch up to spot ``hi`` covers enough of the template."""
+    held, common = Counter(), 0
+    for k in range(hi, lo - 1, -1):
+        word = own[spots[k]]
+        held[word] += 1
+        common += held[word] <= counts[word]
+        # only with enough common words, and as the stretch begins with one that can be aligned
+        if common >= need and covered(own, t, spots[k], spots[hi]) >= need:
+            return k
+    return None
+
+
+def grown(own: list[str], t: list[str], spots: list[int], first: int, hit: int, reach: int) -> int:
+    """The spot, ``hit`` or later, up to which the stretch from spot ``first`` has most aligned words for its length."""
+    best = (2 * covered(own, t, spots[first], spots[hit]) - (spots[hit] - spots[first]), hit)
+    for k in range(hit + 1, bisect_left(spots, spots[first] + reach)):
+        length = spots[k] - spots[first]
+        if 2 * len(t) - length <= best[0]:  # no longer stretch can gain
+            break
+        gain = 2 * covered(own, t, spots[first], spots[k]) - length
+        if gain > best[0]:
+            best = (gain, k)
+    return best[1]
 
 
-def scan(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, int, int, int, float]]:
+def scan(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE,
+         reach: int = REACH) -> list[tuple[str, int, int, int, float]]:
     """(name, first word, last word, aligned words, coverage) of every notice in a text."""
     found = []
     own = words(text)
@@ -152,40 +188,29 @@ def scan(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE)
         if sum(min(n, len(index.get(w, ()))) for w, n in counts.items()) < need:
             continue
         spots = sorted(i for w in counts for i in index.get(w, ()))
-        places = {w: [j for j in range(len(t) - 1, -1, -1) if t[j] == w] for w in counts}
-        reach, free, upto = REACH * len(t), 0, 0
-        starts = np.full((need + 1, len(t) + 1), -1, np.int64)
-        for lo, hi in candidates(own, spots, counts, need, reach):
+        span, free = reach * len(t), 0
+        for lo, hi in candidates(own, spots, counts, need, span):
             if hi < free:  # inside the last notice
                 continue
-            if max(lo, free) > upto:
-                upto = max(lo, free)
-                starts[:] = -1
-            # starts[c, j]: the latest spot from which c words up to here align with the template's first j
-            while upto <= hi:
-                starts[0] = upto
-                for j in places[own[spots[upto]]]:
-                    np.maximum(starts[1:, j + 1:], starts[:-1, j, None], out=starts[1:, j + 1:])
-                upto += 1
-            first = int(starts[need, len(t)])
-            if first < lo:
+            first = tightest(own, t, spots, counts, max(lo, free), hi, need)
+            if first is None:
                 continue
-            last, common = grown(own, spots, places, len(t), first, hi, reach)
-            # where words repeat inside the stretch, patience may find fewer than there are
-            aligned = len(align(own, t, spots[first], spots[last] + 1, 0, len(t)))
-            aligned = aligned if aligned >= need else common
+            last = grown(own, t, spots, first, hi, span)
+            aligned = covered(own, t, spots[first], spots[last])
             found.append((name, spots[first], spots[last], aligned, aligned / len(t)))
-            free = upto = last + 1
-            starts[:] = -1
+            free = last + 1
     return found
 
 
-def license_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
+def license_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE,
+                  reach: int = REACH) -> DataFrame:
     """One row per notice found: doc_id, license, first_word, last_word
     (positions from 0), aligned (words) and coverage.
 
     A null or empty text has none; rows that repeat an id are scanned each;
-    a notice of two templates is reported for both.
+    a notice of two templates is reported for both.  A notice with more than
+    ``reach`` times its template's words, other words among them, is not found;
+    an empty table gives an empty result and other columns are not read.
     """
     ship_package(docs.sparkSession)
     split = {name: words(t) for name, t in templates.items()}
@@ -194,7 +219,7 @@ def license_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out += [(doc, *hit) for hit in scan(text.as_py() or "", split, coverage)]
+                out += [(doc, *hit) for hit in scan(text.as_py() or "", split, coverage, reach)]
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
