@@ -561,8 +561,8 @@ SELECT order_id, {_RUPEE % 'total_amount'} AS total_amount_formatted,
 
 register("fmt_datetime", oracle_prelude("shop_orders") + f"""
 SELECT order_id, {_DT_FMT % 'order_date'} AS order_date_text,
-  strftime(order_date, '%I:%M %p') AS order_time_text,
-  strftime(order_date, '%d %b %I:%M %p') AS order_short_text FROM shop_orders""")(
+  coalesce(strftime(order_date, '%I:%M %p'), '') AS order_time_text,
+  coalesce(strftime(order_date, '%d %b %I:%M %p'), '') AS order_short_text FROM shop_orders""")(
     lambda t: t.orders.select("order_id", fmt.datetime_text("order_date").alias("order_date_text"),
                               fmt.datetime_text("order_date", fmt.TIME_FORMAT).alias("order_time_text"),
                               fmt.datetime_text("order_date", fmt.CHART_LABEL_FORMAT).alias("order_short_text")))
