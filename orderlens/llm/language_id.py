@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import fold, ship_package
@@ -54,24 +54,27 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     return h >> np.uint32(32 - WIDTH_BITS)
 
 
-def presence(texts: list[str | None]) -> np.ndarray:
+def presence(texts: list[str | None], piece: int = PIECE_CHARS) -> np.ndarray:
     """A row of WIDTH bits (as bytes) for every text; no bit where it has no letter."""
     out = np.zeros((len(texts), WIDTH), dtype=np.uint8)
     letters = letter_table()
     for row, text in zip(out, texts):
         low = (text or "").lower() + " "  # ends a last run of letters
-        for at in range(0, len(low), PIECE_CHARS):
-            # pieces overlap by an n-gram, so none is missed
-            codes = _codes(low[max(0, at - LENGTHS[-1] + 1):at + PIECE_CHARS])
+        # what a piece leaves for the next: its last codes, so that no n-gram over the border is missed
+        tail, open_run = np.array([32], np.uint32), False
+        for at in range(0, len(low), piece):
+            codes = _codes(low[at:at + piece])
             is_letter = letters[codes]
             keep = is_letter.copy()
             keep[1:] |= is_letter[:-1]  # one space after a run of letters
-            if not is_letter.any():
+            keep[0] |= open_run
+            open_run = bool(is_letter[-1])
+            if not keep.any():
                 continue
-            plain = np.where(is_letter, codes, np.uint32(32))[keep]
-            plain = np.concatenate([[np.uint32(32)], plain]).astype(np.uint32) if at == 0 else plain.astype(np.uint32)
-            for n in LENGTHS:
+            plain = np.concatenate([tail, np.where(is_letter, codes, np.uint32(32))[keep].astype(np.uint32)])
+            for n in LENGTHS if letters[plain].any() else ():
                 row[_grams(plain, n)] = 1
+            tail = plain[1 - LENGTHS[-1]:]
     return out
 
 
@@ -140,58 +143,55 @@ def sampled(docs: DataFrame, trained: Column, id_col: str, text_col: str, lang_c
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:i + 1], batch.column(2)[i:i + 1],
                                                   pa.array([packed], pa.binary())], ["lang", "u", "bits"])
 
-    # 1.2 times the wanted rows are expected at most; the surplus goes here
-    got = (marked.where(F.col("u") < below).select("text", "lang", "u")
+    # 1.2 times the wanted rows are expected; the rank, by text where ids repeat, bounds them whatever the ids are
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", F.xxhash64("text")))
+    got = (marked.where(F.col("u") < below).select("text", "lang", "u", rank.alias("rank")).where(F.col("rank") <= each).drop("rank")
            .mapInArrow(bits, "lang string, u double, bits binary").collect())
-    got.sort(key=lambda r: (r["u"], bytes(r["bits"])))
-    taken: dict[str, int] = {}
-    kept = []
-    for r in got:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            kept.append(r)
-    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in kept), np.uint8).reshape(len(kept), -1)
+    kept = sorted(got, key=lambda r: (r["u"], bytes(r["bits"])))
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in kept), np.uint8).reshape(len(kept), WIDTH // 8)
     return np.unpackbits(packed, axis=1), [r["lang"] for r in kept]
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None,
-             least_score: float | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) with ``lang_pred`` and
-    ``lang_score``, which replace columns of these names.
+def predicted(model: LanguageModel, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The language and score of each text.
 
     The score of the best language lies between 0 and 1 (a half: the
     regression says neither yes nor no).  A text that is null or has no letter,
-    or any text where nothing was learned, gets ``und`` and 0; rows with
-    ``und`` or a score below ``least_score`` are left out if that is given.
+    or any text where nothing was learned, gets ``und`` and 0.
     """
+    langs, best = [], []
+    for at in range(0, len(texts), BATCH_TEXTS):
+        bits = presence(texts.slice(at, BATCH_TEXTS).to_pylist())
+        known = bits.any(axis=1) & bool(model.langs)
+        names, score = np.full(len(bits), UNKNOWN, dtype=object), np.zeros(len(bits))
+        if known.any():
+            value = model.scores(bits)
+            top = value.argmax(axis=1)
+            score = np.where(known, np.clip((value[np.arange(len(bits)), top] + 1) / 2, 0, 1), 0.0)
+            names[known] = np.array(model.langs, dtype=object)[top[known]]
+        langs.append(pa.array(names, pa.string()))
+        best.append(pa.array(score, pa.float64()))
+    return pa.concat_arrays(langs or [pa.array([], pa.string())]), pa.concat_arrays(best or [pa.array([], pa.float64())])
+
+
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score``, which replace columns of
+    these names; rows with ``und`` or a score below ``least_score`` are left out
+    if that is given.  Only the texts go to the Python workers and only the two
+    values come back."""
     ship_package(docs.sparkSession)
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "lang_score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH times the languages, 4 bytes each
-    only_text = text_col not in names
-    source = docs.select(*[F.col(f"`{c}`") for c in names], *([F.col(text_col).alias("_text")] if only_text else []))
-    schema = source.select(*names).schema.add("lang_pred", "string").add("lang_score", "double")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1 if only_text else names.index(text_col))
-            for at in range(0, batch.num_rows, BATCH_TEXTS):
-                bits = presence(column[at:at + BATCH_TEXTS].to_pylist())
-                known = bits.any(axis=1) & bool(own.langs)
-                langs, best = np.full(len(bits), UNKNOWN, dtype=object), np.zeros(len(bits))
-                if known.any():
-                    value = own.scores(bits)
-                    top = value.argmax(axis=1)
-                    best = np.where(known, np.clip((value[np.arange(len(bits)), top] + 1) / 2, 0, 1), 0.0)
-                    langs[known] = np.array(own.langs, dtype=object)[top[known]]
-                part = [batch.column(i)[at:at + BATCH_TEXTS] for i in range(len(names))]
-                out = pa.RecordBatch.from_arrays([*part, pa.array(langs, pa.string()), pa.array(best, pa.float64())],
-                                                 [*names, "lang_pred", "lang_score"])
-                if least_score is not None:
-                    out = out.filter(pa.array(known & (best >= least_score)))
-                yield out
-
-    return source.mapInArrow(score, schema)
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(predicted(shared.value, texts), ["lang_pred", "lang_score"])
+
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    # not to be repeated for a filter on its result
+    found = F.arrow_udf(score, "lang_pred string, lang_score double").asNondeterministic()(F.col(f"`{text_col}`"))
+    out = docs.select(*names, found.alias("_language"))
+    if least_score is not None:
+        out = out.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.lang_score") >= least_score))
+    return out.select(*names, "_language.lang_pred", "_language.lang_score")
 
 
 def trained_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -204,6 +204,13 @@ def trained_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def language_table(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (a null id is
     in no fold: neither learned from nor held out)."""
-    out = identify(docs, trained_model(docs), keep=["doc_id"])
-    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(trained_model(docs))
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *predicted(shared.value, batch.column(2))],
+                                             ["doc_id", "held_out", "lang_pred", "score"])
+
+    schema = rows.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return rows.mapInArrow(score, schema)
