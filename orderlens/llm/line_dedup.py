@@ -36,7 +36,8 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line_no", "line"))
     return lines.where("line <> ''").withColumns({"h1": F.xxhash64("line"),
-                                                  "h2": F.xxhash64("line", F.lit("second"))})
+                                                  # another seed: with the line first, h2 would follow from h1
+                                                  "h2": F.xxhash64(F.lit("second"), "line")})
 
 
 def half_keys() -> Column:
