@@ -126,13 +126,23 @@ def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return number[starts], np.add.reduceat(count, starts) if len(starts) else count
 
 
+def squeezed(values: bytes) -> bytes:
+    """Bytes for a shuffle: their number and, in zstd, themselves."""
+    return len(values).to_bytes(8, "little") + pa.compress(values, codec="zstd", asbytes=True)
+
+
+def released(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Sorted numbers as their differences, which compress well."""
-    return np.diff(numbers, prepend=np.int64(0)).astype("<i8").tobytes()
+    return squeezed(np.diff(numbers, prepend=np.int64(0)).astype("<i8").tobytes())
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, "<i8"))
+    return np.cumsum(np.frombuffer(released(blob), "<i8"))
 
 
 def run_bucket(number: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -186,8 +196,8 @@ class Chunk:
         for bucket, mine in enumerate(np.split(order, ends[:-1])):
             own = words.get(bucket, [])
             if len(mine) or own:
-                yield (bucket, packed(number[mine]), (count[mine] * once).astype("<i4").tobytes(), b" ".join(own),
-                       np.array([self.words[w] * once for w in own], "<i4").tobytes())
+                yield (bucket, packed(number[mine]), squeezed((count[mine] * once).astype("<i4").tobytes()),
+                       squeezed(b" ".join(own)), squeezed(np.array([self.words[w] * once for w in own], "<i4").tobytes()))
 
 
 def prepared(docs: DataFrame, held_out: Column, depth: int, buckets: int, chunk_bytes: int, id_col: str, text_col: str) -> DataFrame:
@@ -336,12 +346,12 @@ def weigh(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
         found, waiting, words = [], 0, Counter()
         for part in parts:
             for r in part.to_pylist():
-                found.append((unpacked(r["runs"]), np.frombuffer(r["run_n"], "<i4").astype(np.int64)))
+                found.append((unpacked(r["runs"]), np.frombuffer(released(r["run_n"]), "<i4").astype(np.int64)))
                 waiting += len(found[-1][0])
                 if waiting >= PIECE:  # merged as they come: the bucket's distinct runs are held, not the chunks'
                     found = [merged(found)]
                     waiting = 0
-                for word, n in zip(r["words"].split(), np.frombuffer(r["word_n"], "<i4").tolist()):
+                for word, n in zip(released(r["words"]).split(), np.frombuffer(released(r["word_n"]), "<i4").tolist()):
                     words[word] += n
         number, count = merged(found)
         if len(number):
@@ -354,7 +364,7 @@ def weigh(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
         counts = np.array(list(words.values()), np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.float64()) for _ in range(4)),
-             *(pa.array([b], pa.binary()) for b in (packed(number), count.tobytes(), b" ".join(words), counts.tobytes())),
+             *(pa.array([b], pa.binary()) for b in (packed(number), squeezed(count.tobytes()), squeezed(b" ".join(words)), squeezed(counts.tobytes()))),
              pa.array([int(counts.sum())], pa.int64()), pa.array([int((counts > 0).sum())], pa.int64())], WEIGHED)
 
 
@@ -373,19 +383,19 @@ def answer(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
             for to, name in ((node, "node"), (given, "given"), (left, "left")):
                 to.append(inner.column(name).to_numpy())
             for r in part.slice(inner.num_rows).to_pylist():
-                words = r["words"].split()
+                words = released(r["words"]).split()
                 if r["kind"] == 1:
                     number = unpacked(r["runs"])
-                    value = dict(zip(words, np.log10(np.frombuffer(r["word_n"], "<i8") + 1.0).tolist()))
+                    value = dict(zip(words, np.log10(np.frombuffer(released(r["word_n"]), "<i8") + 1.0).tolist()))
                     if len(number):
-                        tree = Subtrees(number, np.frombuffer(r["run_n"], "<i8"), depth)
+                        tree = Subtrees(number, np.frombuffer(released(r["run_n"]), "<i8"), depth)
                         logp = tree.log10_probabilities(*(np.concatenate(x) for x in (node, given, left)))
                     continue
                 asked = unpacked(r["runs"])
                 values = np.fromiter(map(value.__getitem__, words), "<f8", len(words))
                 own = logp[np.searchsorted(number, asked)] if len(asked) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()),
-                                                  *(pa.array([b], pa.binary()) for b in (r["runs"], own.astype("<f8").tobytes(), r["words"], values.tobytes()))],
+                                                  *(pa.array([b], pa.binary()) for b in (r["runs"], squeezed(own.astype("<f8").tobytes()), r["words"], squeezed(values.tobytes())))],
                                                  ["of_chunk", "runs", "logp", "words", "value"])
 
 
@@ -435,11 +445,11 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: str = "
     ship_package(spark)
     folder = SharedFolder(spark, "context-tree")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ready = folder.write(prepared(docs, held_out, depth, buckets, chunk_bytes, id_col, text_col), "chunks")
+    ready = folder.write(prepared(docs, held_out, depth, buckets, chunk_bytes, id_col, text_col), "chunks", "zstd")
     texts = ready.where("bucket IS NULL").select("chunk", "doc_id", "held_out", "n_tokens", "body")
     asked = ready.where("bucket IS NOT NULL").select("bucket", "chunk", "runs", "run_n", "words", "word_n")
     by_bucket = asked.drop("chunk").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    weighed = folder.write(by_bucket.mapInArrow(lambda batches: weigh(batches, depth), WEIGHED_SCHEMA), "weighed")
+    weighed = folder.write(by_bucket.mapInArrow(lambda batches: weigh(batches, depth), WEIGHED_SCHEMA), "weighed", "zstd")
     tops = weighed.where("node IS NOT NULL").select("bucket", "node", "zeros", "ones", "weighted")
 
     totals = weighed.where("node IS NULL")
@@ -462,12 +472,12 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: str = "
 
     def score_chunk(mine: pa.Table, known: pa.Table) -> pa.Table:
         run = np.concatenate([unpacked(b.as_py()) for b in known.column("runs")])
-        value = np.concatenate([np.frombuffer(b.as_py(), "<f8") for b in known.column("logp")])
+        value = np.concatenate([np.frombuffer(released(b.as_py()), "<f8") for b in known.column("logp")])
         order = np.argsort(run)
         run, value = run[order], value[order]
         lookup: dict[bytes, float] = {}
         for words, values in zip(known.column("words"), known.column("value")):
-            lookup.update(zip(words.as_py().split(), np.frombuffer(values.as_py(), "<f8").tolist()))
+            lookup.update(zip(released(words.as_py()).split(), np.frombuffer(released(values.as_py()), "<f8").tolist()))
         n = mine.num_rows
         got, base, seen, size = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n)
         parts: list[bytes] = []
