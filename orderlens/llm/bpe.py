@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding; long texts by tree concatenation.
 
-A text up to ``LEAF_CHARS`` code points is encoded whole.  A longer one is
+A text up to ``LEAF_CHARS`` code points is encoded whole, word by word: the merges
+never cross a word, and most words have been met before.  A longer one is
 halved until its pieces are that short; the pieces are dealt over the cluster
 and encoded on their own, then joined pairwise up the tree.  Around a join
 the words are split anew, in a window that grows until a word boundary of the
@@ -18,13 +19,19 @@ is never cut and never in a window.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +44,27 @@ BATCH_CHARS = 200_000
 UNSETTLED = 3
 
 
+#: Words whose ids a worker remembers.
+REMEMBERED = 1 << 18
+#: Fixed value: the words that the merges of a byte-level tokenizer never cross.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters beyond those of ASCII texts, or white space that not all engines take for such.
+UNUSUAL = re.compile(r"[^\t\n\x0b\x0c\r -~]")
+
+
+@lru_cache(maxsize=1)
+def settled() -> np.ndarray:
+    """The characters of two bytes that were letters, numbers or neither in
+    Unicode 3.2 and are now: all engines agree on them.  White space counts
+    only as far as ASCII has it."""
+    def kind(category: str) -> str:
+        return category[0] if category[0] in "LN" else "?" if category in ("Cn", "Cs", "Co") else "-"
+
+    old = unicodedata.ucd_3_2_0
+    return np.array([kind(old.category(c)) == kind(unicodedata.category(c)) != "?" and (not c.isspace() or c in "\t\n\x0b\x0c\r ")
+                     and not 0x1c <= ord(c) <= 0x1f for c in map(chr, range(0x10000))])
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -56,6 +84,13 @@ class Bpe:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        spec = json.loads(self.tok.to_str())
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        #: Whether words are those of WORDS and nothing but the merges makes their ids.
+        self.plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+                      and pre.get("use_regex", True) and model["type"] == "BPE" and not model.get("dropout")
+                      and not model.get("ignore_merges") and not model.get("unk_token"))
+        self.known: dict[str, list[int]] = {}
         back = {c: b for b, c in self.letters.items()}
         self.specials = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         size = self.tok.get_vocab_size(with_added_tokens=True)
@@ -64,11 +99,36 @@ class Bpe:
             self.bytes[i] = token.encode() if i in self.specials else bytes(back[c] for c in token)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of whole texts: word by word where the words are certain, by the library elsewhere."""
+        certain = [self.certain(t) for t in texts]
+        rest = iter(self.tok.encode_batch_fast([t for t, c in zip(texts, certain) if not c], add_special_tokens=False))
+        return [list(chain.from_iterable(self.by_word(t))) if c else next(rest).ids for t, c in zip(texts, certain)]
+
+    def certain(self, text: str) -> bool:
+        """Whether every Unicode version cuts the text into the same words, and no special token is in it."""
+        if not self.plain or any(s in text for s in self.specials.values()):
+            return False
+        if not UNUSUAL.search(text):
+            return True
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return bool(codes.max() < 0x10000 and settled()[codes].all())
+
+    def by_word(self, text: str) -> list[list[int]]:
+        """The ids of each word of a text; a word's are remembered while there is room."""
+        words = WORDS.findall(text)
+        out = list(map(self.known.get, words))
+        for i, ids in enumerate(out) if None in out else ():
+            if ids is None:
+                out[i] = ids = self.word(words[i].encode())
+                if len(self.known) < REMEMBERED:
+                    self.known[words[i]] = ids
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids' bytes, special tokens kept, as the library's decode gives it."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        if len(ids) < 2:  # a getter of one place gives no tuple
+            return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(itemgetter(*ids)(self.bytes)).decode("utf-8", "replace")
 
     def word(self, raw: bytes) -> list[int]:
         """The ids of one word, by the merges alone."""
@@ -83,10 +143,12 @@ class Bpe:
 
     def piece(self, text: str) -> list[list[int]]:
         """The ids of a piece of text, word by word; a special token is a word."""
+        if self.certain(text):
+            return self.by_word(text)
         enc = self.tok.encode(text, add_special_tokens=False)
         out: list[list[int]] = []
         last = object()
-        for i, word, span in zip(enc.ids, enc.word_ids, enc.offsets):
+        for i, word in zip(enc.ids, enc.word_ids):
             special = i in self.specials
             if special or word != last or not out:
                 out.append([i])
@@ -197,32 +259,36 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def digest_ids(ids: list[int] | np.ndarray) -> str:
-    return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
+    return hashlib.sha256(blob(ids)).hexdigest()
+
+
+def blob(ids: list[int] | np.ndarray) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return (np.frombuffer(array("I", ids), dtype="=u4") if isinstance(ids, list) else ids).astype("<u4", copy=False).tobytes()
 
 
 def digest_text(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-           leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """``(id, ids)``: the ids of every whole text, as the tokenizer's library
-    gives them without added special tokens.  Null text counts as empty and
-    has no ids; rows that repeat an id are encoded each; other columns of
-    ``docs`` play no part.
-    """
+#: What becomes of each text's ids: the columns behind ``id``, and their arrays for a list of ids of texts.
+Finish = Callable[["Bpe", list[list[int]]], list[pa.Array]]
+
+
+def _encoded(docs: DataFrame, finish: Finish, columns: str, id_col: str, text_col: str, path: str, leaf_chars: int) -> DataFrame:
+    """``id`` and the ``columns`` that ``finish`` makes of the ids of every whole
+    text, in the task that has encoded it."""
     ship_package(docs.sparkSession)
-    path = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
     long = F.length("text") > leaf_chars
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
-                ids = pa.array(model.encode(texts[a:b]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], ids], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *finish(model, model.encode(texts[a:b]))], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
@@ -237,32 +303,44 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for batch in batches:
             for row, doc, leaf, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = model.piece(text)
-                yield pa.RecordBatch.from_pydict(
-                    {"row": [row], "id": [doc], "leaf": [leaf], "ids": [[i for w in words for i in w]],
-                     "lengths": [[len(w) for w in words]]}, schema=pieces_schema)
+                yield pa.RecordBatch.from_pydict({"row": [row], "id": [doc], "leaf": [leaf], "ids": [blob([i for w in words for i in w])],
+                                                  "lengths": [blob([len(w) for w in words])]}, schema=pieces_schema)
 
     def concatenate(table: pa.Table) -> pa.Table:
         model = bpe(path)
         table = table.sort_by("leaf")
         pieces = []
-        for ids, lengths in zip(table["ids"].to_pylist(), table["lengths"].to_pylist()):
+        for parts in zip(table["ids"].to_pylist(), table["lengths"].to_pylist()):
+            ids, lengths = (np.frombuffer(x, "<u4").tolist() for x in parts)
             ends = list(accumulate(lengths))
             pieces.append([ids[a:b] for a, b in zip([0, *ends], ends)])
-        ids = pa.array([model.tree(pieces)], pa.list_(pa.int32()))
-        return pa.Table.from_arrays([table["id"].slice(0, 1), ids], ["id", "ids"])
+        return pa.Table.from_arrays([table["id"].slice(0, 1), *finish(model, [model.tree(pieces)])], names)
 
     leaves_schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("leaf", pa.int32()), ("text", pa.string())])
-    pieces_schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("leaf", pa.int32()),
-                               ("ids", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
-    short = rows.where(~long).mapInArrow(whole, "id long, ids array<int>")
+    pieces_schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("leaf", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary())])
+    short = rows.where(~long).mapInArrow(whole, f"id long, {columns}")
     leaves = (rows.where(long).select(F.monotonically_increasing_id().alias("row"), "id", "text")
               .mapInArrow(cut, "row long, id long, leaf int, text string"))
-    pieces = leaves.repartition("row", "leaf").mapInArrow(
-        encode_leaves, "row long, id long, leaf int, ids array<int>, lengths array<int>")
-    joined = pieces.groupBy("row").applyInArrow(concatenate, "id long, ids array<int>")
+    # few bytes, much work: a number of tasks that is not coalesced
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = leaves.repartition(tasks, "row", "leaf").mapInArrow(encode_leaves, "row long, id long, leaf int, ids binary, lengths binary")
+    joined = pieces.groupBy("row").applyInArrow(concatenate, f"id long, {columns}")
     return short.unionByName(joined)
 
 
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
+           leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """``(id, ids)``: the ids of every whole text, as the tokenizer's library
+    gives them without added special tokens.  Null text counts as empty and
+    has no ids; rows that repeat an id are encoded each; a null id stays null; an
+    empty table gives an empty result; other columns of ``docs`` play no part.
+    """
+    def listed(model: Bpe, ids: list[list[int]]) -> list[pa.Array]:
+        return [pa.array(ids, pa.list_(pa.int32()))]
+
+    return _encoded(docs, listed, "ids array<int>", id_col, text_col, tokenizer or default_tokenizer(), leaf_chars)
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``(id, ids, text)``: the text of every row of ids, special tokens kept."""
     ship_package(encoded.sparkSession)
@@ -283,20 +361,12 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
                leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: the
-    digests of the ids (little-endian, 32 bits) and of the decoded text."""
-    path = tokenizer or default_tokenizer()
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(path)
-        for batch in batches:
-            out: list[tuple[int, str, str]] = []
-            for one in batch.column(1):
-                ids = one.values.to_numpy()
-                out.append((len(ids), digest_ids(ids), digest_text(model.decode(ids.tolist()))))
-            n, ids_sha, text_sha = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(docs, id_col, text_col, path, leaf_chars).mapInArrow(
-        digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests of the ids (little-endian, 32 bits) and of the decoded text.  Ids are
+    decoded and digested in the task that has encoded them; nulls, repeated rows
+    and empty tables are as for ``encode``."""
+    def digests(model: Bpe, ids: list[list[int]]) -> list[pa.Array]:
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([digest_ids(x) for x in ids], pa.string()),
+                pa.array([digest_text(model.decode(x)) for x in ids], pa.string())]
+
+    return _encoded(docs, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col,
+                    tokenizer or default_tokenizer(), leaf_chars).withColumnRenamed("id", "doc_id")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from llm_edges import EDGES
 from orderlens.llm import (bpe, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality,
@@ -110,6 +114,32 @@ def test_encode_decode_in_spark_equals_the_library(docs):
     assert sorted(r.text for r in back) == sorted(r[1] or "" for r in rows)
 
 
+@given(st.text(st.one_of(st.sampled_from(" \n\t'aäß1²٣.,!\x1c\x85\xa0\u2028\u200b\u0345一Ⅷ😀\u180e\ufeff"), st.characters(exclude_categories=["Cs"])), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_words_give_the_ids_of_the_library(text):
+    model = bpe.bpe(bpe.default_tokenizer())
+    want = model.tok.encode(text, add_special_tokens=False).ids
+    assert model.encode([text, text + "<|endoftext|>"]) == [want, want + [50256]]
+    assert [i for w in model.piece(text) for i in w] == want
+
+
+def test_settled_characters_are_cut_as_the_library_cuts_them():
+    model = bpe.bpe(bpe.default_tokenizer())
+    codes = np.flatnonzero(bpe.settled())
+    assert len(codes) > 30_000
+    for at in range(0, len(codes), 500):
+        text = "".join(f"a{chr(c)}1{chr(c)} .{chr(c)}  " for c in codes[at:at + 500])
+        assert model.certain(text)
+        assert list(map(bytes, model.words(text))) == [w.encode() for w in bpe.WORDS.findall(text)]
+
+
+def test_bpe_of_an_empty_table_and_of_clashing_columns(docs):
+    assert bpe.round_trip(docs([])).count() == 0 and bpe.encode(docs([])).count() == 0
+    plain = sorted(map(tuple, bpe.round_trip(docs(EDGES), leaf_chars=1000).collect()), key=str)
+    clash = docs(EDGES).selectExpr("*", "1 AS id", "'x' AS ids", "2 AS row", "3 AS leaf", "4 AS n_tokens")
+    assert sorted(map(tuple, bpe.round_trip(clash, leaf_chars=1000).collect()), key=str) == plain
+
+
 # --- sharding
 
 def test_shards_are_near_equal_and_slots_gapless(spark):
@@ -145,6 +175,40 @@ def test_presence_kernel_is_that_of_the_sets():
         assert set(np.flatnonzero(bits)) == want
 
 
+def test_pieces_of_a_long_text_miss_no_gram():
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices("ab,. cdß", k=rnd.randint(0, 60))) for _ in range(300)]
+    whole = language_id.presence(texts)
+    for piece in (1, 2, 3, 12):
+        assert (language_id.presence(texts, piece) == whole).all()
+
+
+def test_language_sample_is_bounded_whatever_the_ids_are(docs):
+    rows = [(3, f"some words number {'abcdefghij'[i % 10]} {'klmnop'[i % 6]}", "en", None) for i in range(400)]
+    bits, langs = language_id.sampled(docs(rows), F.lit(True), "doc_id", "text", "lang", rows=50)
+    assert len(bits) == len(langs) <= 50
+
+
+def test_language_scores_are_those_of_the_kernel_regression():
+    """Nyström features, ridge regression and scores worked out in full, without folding."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices(letters, k=40)) for letters in ("abcde fgh", "xyzuv wst", "mnopq rlk") for _ in range(30)]
+    langs = [name for name in "abc" for _ in range(30)]
+    model = language_id.fit(language_id.presence(texts), langs, landmarks=12, ridge=1e-2)
+
+    def sets(text):
+        return set(np.flatnonzero(language_id.presence([text])[0]).tolist())
+
+    grams = [sets(t) for t in texts]
+    marks = [i for name in "abc" for i in [k for k, x in enumerate(langs) if x == name][:4]]
+    kernel = np.array([[len(a & grams[m]) / math.sqrt(len(a) * len(grams[m])) for m in marks] for a in grams])
+    w, v = np.linalg.eigh(kernel[marks])
+    features = np.hstack([kernel @ (v / np.sqrt(w)), np.ones((len(texts), 1))])
+    wanted = np.array([[1.0 if x == name else -1.0 for name in "abc"] for x in langs])
+    solved = np.linalg.solve(features.T @ features + 1e-2 * len(texts) * np.eye(features.shape[1]), features.T @ wanted)
+    assert np.allclose(model.scores(language_id.presence(texts)), features @ solved, atol=2e-3)
+
+
 def test_language_edges(docs):
     got = table(language_id.language_table(docs(EDGES)))
     assert len(got) == len(EDGES) and all(r["lang_pred"] == "und" for r in got if r["doc_id"] in (1, 2, 3))
@@ -212,6 +276,12 @@ def test_line_dedup_edges(docs):
     assert line_dedup.duplicate_lines(docs([])).count() == 0
 
 
+def test_the_two_line_hashes_do_not_follow_from_each_other(spark):
+    row = line_dedup.split_lines(spark.createDataFrame([(1, "a line")], "doc_id long, text string")).withColumn("alone", F.xxhash64(F.lit("a line"))).first()
+    chained = spark.range(1).select(F.xxhash64(F.lit("a line"), F.lit("second"))).first()[0]
+    assert row.h1 == row.alone and row.h2 != chained
+
+
 # --- mixing
 
 def test_mixing_edges_and_reruns(docs):
