@@ -3,6 +3,7 @@ folds, weighted cuts and gapless numbering, all as DataFrame operations."""
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import uuid
@@ -40,6 +41,14 @@ class SharedFolder:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def sweep(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now:
+        it does so when the driver's JVM collects plans that nothing refers to,
+        which in a loop of small plans would be long after the disk is full."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once a session: Python functions of
     its modules then run on workers that do not have it installed."""
