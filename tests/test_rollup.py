@@ -71,3 +71,14 @@ def test_a_store_without_batches_gives_zeros(spark, tmp_path):
     store = rollup.rollup_store(spark, str(tmp_path / "r"))
     same(rollup.totals(store, t.orders, "all", AS_OF), stats.totals(t, "all", AS_OF))
     assert rollup.timeline(store, t.orders, "all", AS_OF).count() == 0
+
+
+def test_orders_after_the_updates_are_a_view_of_the_stored_ones(spark):
+    from conftest import SF_SMALL
+    from orderlens.queries import _rollup
+    from orderlens.sources.fixtures import shop_tables
+
+    t = shop_tables(spark, SF_SMALL)
+    now = _rollup(t)["changed"][1]
+    assert set(t.orders.inputFiles()) <= set(now.inputFiles())  # no copy of all orders is written
+    assert now.count() == t.orders.count()
