@@ -93,3 +93,13 @@ def test_a_batch_without_marker_is_not_searched(spark, tmp_path):
     shutil.rmtree(tmp_path / "_commits" / "batch_id=1")
     assert index.candidates("customer").where("order_id % 2 = 1").count() == 0
     assert index.candidates("customer").count() == df.where("order_id % 2 = 0").count()
+
+
+def test_rows_are_dealt_by_block_and_postings_tell_keys_by_bits(spark, tmp_path):
+    df = spark.range(-200, 9000).select("id", F.lit("same name").alias("name"))
+    index = SearchIndex(spark, str(tmp_path), "id", ("name",))
+    index.add(df)
+    stored = index.postings()
+    # a number for 64 keys, not one for a key
+    assert stored.agg(F.max(F.size("ids"))).first()[0] <= search_index.BLOCK // search_index.WORD
+    assert sorted(r.id for r in index.candidates("same na").collect()) == list(range(-200, 9000))
