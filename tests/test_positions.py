@@ -60,3 +60,39 @@ def test_a_hot_group_spans_tasks(spark):
 def test_bad_size(spark):
     with pytest.raises(ValueError):
         nest_pages(spark.range(1).withColumnRenamed("id", "k"), spark.range(1).withColumnRenamed("id", "k"), "k", [], 0, "list")
+
+
+def test_keys_of_a_task_are_shuffled_once_and_not_written(spark, monkeypatch):
+    from orderlens.plans import positions
+
+    monkeypatch.setattr(positions, "_ranged", None)  # the way of hot keys
+    df = spark.createDataFrame(rows(300), "k long, at int, id long").repartition(4)
+    parents = spark.createDataFrame([(1,), (2,), (50,), (None,)], "k long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = nest_pages(df, parents, "k", [F.col("id").asc()], 7, "list")
+        assert len(pages.collect()) > 4
+        plan = pages._jdf.queryExecution().optimizedPlan().toString()
+        final = pages._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Window" in plan and final.count("Exchange hashpartitioning") == 2  # children and parents, once each
+
+
+@pytest.mark.parametrize("hot", [0, 30, 10_000])
+def test_hot_and_small_keys_have_the_same_pages(spark, monkeypatch, hot):
+    from orderlens.plans import positions
+
+    monkeypatch.setattr(positions, "HOT", hot)
+    data = rows(300)
+    df = spark.createDataFrame(data, "k long, at int, id long").repartition(4)
+    parents = spark.createDataFrame([(1,), (2,), (3,), (50,), (None,)], "k long")
+    got = sorted((r.k or -1, r.part, r.parts, [(e.position, e.id) for e in r.list]) for r in
+                 nest_pages(df, parents, "k", [F.col("id").asc()], 7, "list", 8).collect())
+    want = []
+    for key in (1, 2, 3, 50, None):
+        ids = sorted(i for k, _, i in data if k == key and key is not None)
+        parts = max(1, -(-len(ids) // 7))
+        want += [(key or -1, p, parts, list(enumerate(ids))[p * 7:p * 7 + 7]) for p in range(parts)]
+    assert got == sorted(want)
