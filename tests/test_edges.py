@@ -156,6 +156,27 @@ def test_jdbc_reader_requires_bounds_for_parallel_reads(spark):
         read_jdbc_table(spark, "jdbc:postgresql://db/shop", "orders", {"user": "u"}, partition_column="order_id")
 
 
+def test_flat_dossier_breaks_ties_as_the_header(spark):
+    from pyspark.sql import functions as F
+
+    from orderlens.operators import dossiers
+
+    t = make_tables(spark, orders=[order(n, user_id=u) for n, u in ((1, 1), (2, 0), (3, None), (4, 9), (1, 1))], users=[user(1), user(1, "Bob"), user(0)],
+                    payments=[(4, 1, D(7), "failed", "t1", "b"), (4, 1, D(7), "failed", "t0", "a"), (4, 1, D(9), "completed", "t2", None),
+                              (None, 2, D(1), "pending", None, None), (3, 2, None, "failed", None, None)],
+                    addresses=[(20, 1, True, "B", "S"), (20, 1, True, "A", "T"), (19, 1, False, "C", "S")])
+    # a column before those that are returned breaks ties first
+    t = t.with_tables(payments=t.payments.select("payment_id", "order_id", F.col("payment_status").alias("note"), *t.payments.columns[2:]))
+    heads = dossiers.order_headers(t).select(
+        "order_id", "item_count", "payment.payment_id", "payment.payment_status", F.col("payment.amount").alias("payment_amount"),
+        F.col("customer.user.full_name").alias("customer_name"), F.col("customer.address.id").alias("default_address_id"),
+        F.col("customer.address.city").alias("default_address_city"))
+    flat = dossiers.order_dossier_flat(t).select(*heads.columns)
+    got = sorted(map(str, flat.collect()))
+    assert got == sorted(map(str, heads.collect())) and len(got) == 7
+    assert flat.where("order_id = 1").select("payment_amount").distinct().collect() == [(D("9.00"),)]  # completed before failed
+
+
 def test_ids_from_a_list_a_generator_and_a_table_give_equal_dossiers(spark):
     from orderlens.operators import dossiers
     from orderlens.sources.fixtures import shop_tables

@@ -45,6 +45,22 @@ def test_datetime_text_and_ist(spark):
     assert tuple(rows[1]) == ("", "", "N/A")
 
 
+def test_datetime_text_comes_from_the_parts_of_the_value(spark):
+    df = spark.createDataFrame([("0999-01-02 00:03:04.5",), ("1582-10-10 12:59:59",), ("9999-12-31 23:00:00",)], "s string")
+    df = df.select(F.col("s").cast("timestamp_ntz").alias("v")).localCheckpoint()
+    made = df.select(fmt.format_ntz("v", "yyyy MM MMM dd HH hh mm ss a").alias("t"))
+    assert [r[0] for r in made.collect()] == ["0999 01 Jan 02 00 12 03 04 AM", "1582 10 Oct 10 12 12 59 59 PM", "9999 12 Dec 31 23 11 00 00 PM"]
+    p = made._jdf.queryExecution().executedPlan().toString()
+    assert "hour(v" in p and "dayofmonth(" in p
+
+
+def test_years_beyond_four_digits_keep_their_text_form(spark):
+    df = spark.range(1).select(F.timestamp_add("YEAR", F.lit(9000), F.lit("2001-07-31 13:05:06").cast("timestamp_ntz")).alias("v"))
+    row = df.select(fmt.format_ntz("v", "yyyy ss"), F.concat(F.substring(F.col("v").cast("string"), 1, 4), F.lit(" "),
+                                                             F.substring(F.col("v").cast("string"), 18, 2))).first()
+    assert row[0] == row[1] == "+110 5:"
+
+
 def test_datetime_from_text(spark):
     df = spark.createDataFrame([("2001-07-31 13:05:00",), ("garbage",), (None,)], "v string")
     got = [r[0] for r in df.select(fmt.datetime_text_from_string("v")).collect()]

@@ -32,6 +32,15 @@ def test_column_pruning_on_scan(stored):
     assert "ReadSchema: struct<status:string,order_date:timestamp_ntz>" in p
 
 
+def test_flat_dossier_reads_only_what_it_returns(stored):
+    from orderlens.operators import dossiers
+
+    p = plan(dossiers.order_dossier_flat(stored))
+    assert "payment_status" in p and "full_name" in p
+    for unread in ("razorpay_signature", "transaction_id", "is_active", "created_at"):
+        assert unread not in p
+
+
 def test_order_page_is_top_k_then_key_filtered(stored):
     from orderlens.plans.paging import offset_page
     page = offset_page(orders.filtered_orders(stored).select(*orders.LIST_COLUMNS), orders.newest(), 3, 20)
