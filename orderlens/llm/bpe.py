@@ -26,16 +26,17 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import ship_package, text_or_empty
+from orderlens.llm.common import keep_only, ship_package, text_or_empty
 
 LEAF_CHARS = 32_768
 #: Code points handed to the tokenizer at once; bounds a task's memory.
@@ -44,8 +45,8 @@ BATCH_CHARS = 200_000
 UNSETTLED = 3
 
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 18
+#: Words whose ids a worker remembers, and their longest: longer ones are seldom met again.
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
 #: Fixed value: the words that the merges of a byte-level tokenizer never cross.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters beyond those of ASCII texts, or white space that not all engines take for such.
@@ -90,7 +91,8 @@ class Bpe:
         self.plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                       and pre.get("use_regex", True) and model["type"] == "BPE" and not model.get("dropout")
                       and not model.get("ignore_merges") and not model.get("unk_token"))
-        self.known: dict[str, list[int]] = {}
+        #: The ids of words, 4 bytes each; lists of numbers would hold several times as much.
+        self.known: dict[str, bytes] = {}
         back = {c: b for b, c in self.letters.items()}
         self.specials = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         size = self.tok.get_vocab_size(with_added_tokens=True)
@@ -102,7 +104,7 @@ class Bpe:
         """The ids of whole texts: word by word where the words are certain, by the library elsewhere."""
         certain = [self.certain(t) for t in texts]
         rest = iter(self.tok.encode_batch_fast([t for t, c in zip(texts, certain) if not c], add_special_tokens=False))
-        return [list(chain.from_iterable(self.by_word(t))) if c else next(rest).ids for t, c in zip(texts, certain)]
+        return [array("I", b"".join(self.by_word(t))).tolist() if c else next(rest).ids for t, c in zip(texts, certain)]
 
     def certain(self, text: str) -> bool:
         """Whether every Unicode version cuts the text into the same words, and no special token is in it."""
@@ -113,14 +115,14 @@ class Bpe:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         return bool(codes.max() < 0x10000 and settled()[codes].all())
 
-    def by_word(self, text: str) -> list[list[int]]:
-        """The ids of each word of a text; a word's are remembered while there is room."""
+    def by_word(self, text: str) -> list[bytes]:
+        """The ids of each word of a text, as bytes; a word's are remembered while there is room."""
         words = WORDS.findall(text)
         out = list(map(self.known.get, words))
         for i, ids in enumerate(out) if None in out else ():
             if ids is None:
-                out[i] = ids = self.word(words[i].encode())
-                if len(self.known) < REMEMBERED:
+                out[i] = ids = array("I", self.word(words[i].encode())).tobytes()
+                if len(self.known) < REMEMBERED and len(words[i]) <= REMEMBERED_CHARS:
                     self.known[words[i]] = ids
         return out
 
@@ -144,7 +146,7 @@ class Bpe:
     def piece(self, text: str) -> list[list[int]]:
         """The ids of a piece of text, word by word; a special token is a word."""
         if self.certain(text):
-            return self.by_word(text)
+            return [array("I", w).tolist() for w in self.by_word(text)]
         enc = self.tok.encode(text, add_special_tokens=False)
         out: list[list[int]] = []
         last = object()
@@ -243,19 +245,30 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def bpe(path: str) -> Bpe:
+def _loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _forget() -> None:
+    _loaded.cache_clear()
+    settled.cache_clear()
+
+
+def bpe(path: str) -> Bpe:
+    """The tokenizer of a file, kept until another operator has this worker."""
+    keep_only("bpe", _forget)
+    return _loaded(path)
+
+
+def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
     first = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > BATCH_CHARS:
+    for i, n in enumerate(lengths):
+        if held and held + n > BATCH_CHARS:
             yield first, i
             first, held = i, 0
-        held += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        held += n + 1
+    if first < len(lengths):
+        yield first, len(lengths)
 
 
 def digest_ids(ids: list[int] | np.ndarray) -> str:
@@ -286,9 +299,9 @@ def _encoded(docs: DataFrame, finish: Finish, columns: str, id_col: str, text_co
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *finish(model, model.encode(texts[a:b]))], names)
+            texts = batch.column(1)
+            for a, b in _slices(pc.utf8_length(texts).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *finish(model, model.encode(texts[a:b].to_pylist()))], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)

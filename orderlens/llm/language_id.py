@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import fold, ship_package
+from orderlens.llm.common import fold, keep_only, ship_package
 
 WIDTH_BITS = 14
 WIDTH = 1 << WIDTH_BITS
@@ -56,6 +56,7 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
 
 def presence(texts: list[str | None], piece: int = PIECE_CHARS) -> np.ndarray:
     """A row of WIDTH bits (as bytes) for every text; no bit where it has no letter."""
+    keep_only("language_id", letter_table.cache_clear)
     out = np.zeros((len(texts), WIDTH), dtype=np.uint8)
     letters = letter_table()
     for row, text in zip(out, texts):

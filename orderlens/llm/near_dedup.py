@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import SharedFolder, ship_package
+from orderlens.llm.common import SharedFolder, keep_only, ship_package
 
 SAMPLES = 240
 SKETCH_BITS = 512
@@ -108,6 +108,11 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(7).integers(1 << 32, 1 << 63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
 
 
+def _forget() -> None:
+    _tables.cache_clear()
+    _multipliers.cache_clear()
+
+
 def _word_hashes(raw: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of a piece of at most PIECE_BYTES bytes, or of one longer word."""
     codes, space, up, down = _tables()
@@ -190,6 +195,7 @@ def sketches(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
                         ("keys", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup", _forget)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 ids = batch.column(0)[first:first + 256]
@@ -216,6 +222,7 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup", _forget)
         for batch in batches:
             for i in range(batch.num_rows):
                 own = shingle_set(batch.column(1)[i].as_py(), rule.words).view(np.int64)

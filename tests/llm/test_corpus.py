@@ -133,6 +133,40 @@ def test_settled_characters_are_cut_as_the_library_cuts_them():
         assert list(map(bytes, model.words(text))) == [w.encode() for w in bpe.WORDS.findall(text)]
 
 
+def test_bpe_remembers_words_of_bounded_length_as_bytes():
+    bpe._forget()
+    model = bpe.bpe(bpe.default_tokenizer())
+    texts = ["plain words, again plain words", "x" * 5000 + " end", "", "Straße 12 Straße 13"]
+    want = [e.ids for e in model.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert model.encode(texts) == want and model.encode(texts) == want  # met for the first time, and remembered
+    assert " words" in model.known and " end" in model.known and max(map(len, model.known)) <= bpe.REMEMBERED_CHARS
+    assert all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in model.known.values())
+    assert sum(model.piece(texts[0]), []) == want[0]
+
+
+def test_a_worker_keeps_the_tables_of_one_operator(spark, docs):
+    rows = docs([(i, f"some words of text number {i} and more of it", "en", "a") for i in range(40)]).repartition(4)
+
+    def kept(batches):
+        for batch in batches:
+            names = ",".join(k for k, f in (("bpe", bpe._loaded), ("language_id", language_id.letter_table),
+                                            ("near_dedup", near_dedup._tables)) if f.cache_info().currsize)
+            yield batch.from_pydict({"kept": [names] * batch.num_rows})
+
+    bpe.round_trip(rows).collect()
+    near_dedup.sketches(rows, near_dedup.Rule()).collect()
+    language_id.identify(rows, language_id.fit(language_id.presence(["some words"]), ["en"])).collect()
+    # workers are shared with other tests: each holds what one operator keeps, whichever was its last
+    assert all("," not in r["kept"] for r in rows.mapInArrow(kept, "kept string").collect())
+    # the same in one process, call by call
+    bpe.bpe(bpe.default_tokenizer())
+    assert bpe._loaded.cache_info().currsize == 1
+    language_id.presence(["a b"])
+    assert bpe._loaded.cache_info().currsize == 0 and language_id.letter_table.cache_info().currsize == 1
+    bpe.bpe(bpe.default_tokenizer())
+    assert language_id.letter_table.cache_info().currsize == 0 and bpe._loaded.cache_info().currsize == 1
+
+
 def test_bpe_of_an_empty_table_and_of_clashing_columns(docs):
     assert bpe.round_trip(docs([])).count() == 0 and bpe.encode(docs([])).count() == 0
     plain = sorted(map(tuple, bpe.round_trip(docs(EDGES), leaf_chars=1000).collect()), key=str)
