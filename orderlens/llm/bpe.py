@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import keep_only, ship_package, text_or_empty
+from orderlens.llm.common import bound_batches, give_back, keep_only, resting, ship_package, text_or_empty
 
 LEAF_CHARS = 32_768
 #: Code points handed to the tokenizer at once; bounds a task's memory.
@@ -246,7 +246,9 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> Bpe:
-    return Bpe(path)
+    model = Bpe(path)
+    give_back()  # what reading the file took besides
+    return model
 
 
 def _forget() -> None:
@@ -292,6 +294,7 @@ def _encoded(docs: DataFrame, finish: Finish, columns: str, id_col: str, text_co
     """``id`` and the ``columns`` that ``finish`` makes of the ids of every whole
     text, in the task that has encoded it."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
     long = F.length("text") > leaf_chars
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
@@ -331,12 +334,12 @@ def _encoded(docs: DataFrame, finish: Finish, columns: str, id_col: str, text_co
 
     leaves_schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("leaf", pa.int32()), ("text", pa.string())])
     pieces_schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("leaf", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary())])
-    short = rows.where(~long).mapInArrow(whole, f"id long, {columns}")
+    short = rows.where(~long).mapInArrow(resting(whole), f"id long, {columns}")
     leaves = (rows.where(long).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-              .mapInArrow(cut, "row long, id long, leaf int, text string"))
+              .mapInArrow(resting(cut), "row long, id long, leaf int, text string"))
     # few bytes, much work: a number of tasks that is not coalesced
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = leaves.repartition(tasks, "row", "leaf").mapInArrow(encode_leaves, "row long, id long, leaf int, ids binary, lengths binary")
+    pieces = leaves.repartition(tasks, "row", "leaf").mapInArrow(resting(encode_leaves), "row long, id long, leaf int, ids binary, lengths binary")
     joined = pieces.groupBy("row").applyInArrow(concatenate, f"id long, {columns}")
     return short.unionByName(joined)
 
@@ -357,6 +360,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``(id, ids, text)``: the text of every row of ids, special tokens kept."""
     ship_package(encoded.sparkSession)
+    bound_batches(encoded.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +372,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:i + 1], batch.column(1)[i:i + 1], text],
                                                  ["id", "ids", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(texts, "id long, ids array<int>, text string")
+    return encoded.select("id", "ids").mapInArrow(resting(texts), "id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,

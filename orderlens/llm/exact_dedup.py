@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,10 @@ MAX_DEPTH = 16
 #: reached its longest prefix (2**16 buckets of this size are 134 million rows).
 CAPACITY = 2048
 
+#: Columns of a bucket while the directory is made.
+DIRECTORY = pa.schema([("first", pa.int32()), ("span", pa.int32()), ("first_page", pa.int32()), ("pages", pa.int32()),
+                       ("before", pa.int64()), ("rows", pa.float64())])
+
 
 def normalised(name: str = "text") -> Column:
     """The text without white space; null counts as empty."""
@@ -72,7 +77,9 @@ def build_directory(hashes: DataFrame, capacity: int = CAPACITY, max_depth: int
         chain = max(1, -(-n // room))
         rows.append((first, span, page, chain, before, n / chain))
         page, before = page + chain, before + n
-    buckets = spark.createDataFrame(rows, "first int, span int, first_page int, pages int, before long, rows double")
+    # as an Arrow table, which the JVM reads; rows of Python objects would start Python workers of another kind,
+    # beside those of the other operators
+    buckets = spark.createDataFrame(pa.table([pa.array(v, t) for v, t in zip(zip(*rows), DIRECTORY.types)], schema=DIRECTORY))
     entries = buckets.select(F.explode(F.sequence("first", F.col("first") + F.col("span") - 1)).alias("prefix"),
                              "first_page", "pages", "before", "rows")
     return Directory(entries, page, before)

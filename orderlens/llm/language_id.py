@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import fold, keep_only, ship_package
+from orderlens.llm.common import bound_batches, fold, keep_only, resting, ship_package
 
 WIDTH_BITS = 14
 WIDTH = 1 << WIDTH_BITS
@@ -125,6 +125,7 @@ def sampled(docs: DataFrame, trained: Column, id_col: str, text_col: str, lang_c
     each language, chosen by a hash of the id.  The bits are made in the
     cluster; 2 KB a row come to the driver."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     has = trained & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
     marked = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                          ((F.xxhash64(F.lit("sample"), F.col(id_col)).bitwiseAND(0xFFFFFF)) / float(1 << 24)).alias("u"),
@@ -147,7 +148,7 @@ def sampled(docs: DataFrame, trained: Column, id_col: str, text_col: str, lang_c
     # 1.2 times the wanted rows are expected; the rank, by text where ids repeat, bounds them whatever the ids are
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", F.xxhash64("text")))
     got = (marked.where(F.col("u") < below).select("text", "lang", "u", rank.alias("rank")).where(F.col("rank") <= each).drop("rank")
-           .mapInArrow(bits, "lang string, u double, bits binary").collect())
+           .mapInArrow(resting(bits), "lang string, u double, bits binary").collect())
     kept = sorted(got, key=lambda r: (r["u"], bytes(r["bits"])))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in kept), np.uint8).reshape(len(kept), WIDTH // 8)
     return np.unpackbits(packed, axis=1), [r["lang"] for r in kept]
@@ -181,6 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", leas
     if that is given.  Only the texts go to the Python workers and only the two
     values come back."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH times the languages, 4 bytes each
 
     def score(texts: pa.Array) -> pa.Array:
@@ -214,4 +216,4 @@ def language_table(docs: DataFrame) -> DataFrame:
                                              ["doc_id", "held_out", "lang_pred", "score"])
 
     schema = rows.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(resting(score), schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import SharedFolder, keep_only, ship_package
+from orderlens.llm.common import SharedFolder, bound_batches, keep_only, resting, ship_package
 
 SAMPLES = 240
 SKETCH_BITS = 512
@@ -46,8 +46,8 @@ BROADCAST_IDS = 500_000
 #: Members above which a bucket's members carry their differences from its hub;
 #: each difference is kept as the places of its shingles among PLACES.
 CROWD, PLACES = 32, 1024
-#: Bytes of text hashed at once, shingles hashed at once.
-PIECE_BYTES, PIECE_SHINGLES = 1 << 20, 1 << 10
+#: Bytes of text hashed at once (a worker's tables hold 16 bytes for each), shingles hashed at once.
+PIECE_BYTES, PIECE_SHINGLES = 1 << 17, 1 << 10
 
 _U = np.uint64
 
@@ -191,6 +191,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n, set_id, keys, odd)`` of every row; ``set_id`` is a 128-bit digest of the full set."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()),
                         ("keys", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
@@ -214,12 +215,13 @@ def sketches(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
                     [ids, *(pa.array(v, t) for v, t in zip((n, digest, keys, odd), schema.types[1:]))], schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n long, set_id binary, keys array<long>, odd array<long>")
+        resting(run), "doc_id long, n long, set_id binary, keys array<long>, odd array<long>")
 
 
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """``(cid, shingles)`` of rows ``(cid, text)``."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("near_dedup", _forget)
@@ -229,7 +231,7 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:i + 1], pa.array([own], pa.list_(pa.int64()))],
                                                  ["cid", "shingles"])
 
-    return docs.select("cid", "text").mapInArrow(run, "cid long, shingles array<long>")
+    return docs.select("cid", "text").mapInArrow(resting(run), "cid long, shingles array<long>")
 
 
 def components(edges: DataFrame, folder: SharedFolder, label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from llm_edges import EDGES
-from orderlens.llm import (bpe, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality,
+from orderlens.llm import (bpe, common, exact_dedup, kd_shards, language_id, licenses, line_dedup, mixing, near_dedup, quality,
                            vector_search)
 from orderlens.llm.queries import ORACLE, QUERIES
 from oracle_util import compare, duck
@@ -167,6 +167,48 @@ def test_a_worker_keeps_the_tables_of_one_operator(spark, docs):
     assert language_id.letter_table.cache_info().currsize == 0 and bpe._loaded.cache_info().currsize == 1
 
 
+def test_batches_for_python_workers_are_bounded_by_bytes(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = docs([(i, "some words " * 20_000, "en", "a") for i in range(60)]).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"size": [batch.nbytes]})
+
+    def largest():
+        return max(r["size"] for r in rows.mapInArrow(sizes, "size long").collect())
+
+    model = language_id.fit(language_id.presence(["some words"]), ["en"])
+    for operator in (lambda: language_id.identify(rows, model), lambda: near_dedup.sketches(rows, near_dedup.Rule()),
+                     lambda: bpe.round_trip(rows)):
+        spark.conf.unset(key)
+        operator()
+        assert largest() < 6_000_000  # of 13 MB in the one partition
+    try:
+        spark.conf.set(key, "1m")
+        bpe.round_trip(rows)
+        assert largest() < 2_000_000  # a bound that the session names stays
+    finally:
+        spark.conf.unset(key)
+
+
+def test_an_idle_worker_gives_back_what_its_task_has_freed(monkeypatch):
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append("given"))
+    run = common.resting(lambda batches: (said.append(b) or b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2] and said == [1, 2, "given"]
+    near_dedup._forget()
+    assert sum(t.nbytes for t in near_dedup._tables()) < 4 << 20
+
+
+def test_the_directory_starts_no_python_worker(docs):
+    rows = docs([(i, f"text {i % 7}", "en", "a") for i in range(40)])
+    directory = exact_dedup.build_directory(rows.select(F.xxhash64("text").alias("h")), capacity=4, max_depth=4)
+    assert "ExistingRDD" not in directory.table._jdf.queryExecution().executedPlan().toString()
+    assert directory.rows == 40 and directory.table.count() == 2**4
+    assert [f.dataType.simpleString() for f in directory.table.schema] == ["int", "int", "int", "bigint", "double"]
+
+
 def test_bpe_of_an_empty_table_and_of_clashing_columns(docs):
     assert bpe.round_trip(docs([])).count() == 0 and bpe.encode(docs([])).count() == 0
     plain = sorted(map(tuple, bpe.round_trip(docs(EDGES), leaf_chars=1000).collect()), key=str)
